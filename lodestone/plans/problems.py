@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators.multivalue import split_values
 from lodestone.operators.nearby import neighbourhood
 from lodestone.runtime import read
 
@@ -12,7 +13,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbourhood(read(spark, sf_dir, "obs"), read(spark, sf_dir, "regions"))
 
 
-QUERIES = {"p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_values(read(spark, sf_dir, "hom_allorganism"), "rec_id", "synonyms", "synonym")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found}
 
 #: A ray to the right crosses the ring an odd number of times: the point lies inside.
 SQL = {
