@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.mixing import mix
+from lodestone.llm.neighbours import mutual, nearest
 from lodestone.llm.packing import pack, packing_report
 from lodestone.llm.tokens import with_tokens
+from lodestone.llm.vectors import dense
 from lodestone.runtime import cut, read
 
 CAPACITY = 1024
 
 
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(*dense(read(spark, sf_dir, "counts")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutual(p1_neighbours(spark, sf_dir), 0.97)
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(with_tokens(read(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
 
@@ -42,7 +52,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(_mixture(spark, sf_dir)[1]).filter("short").select("source")
 
 
-QUERIES = {"p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))"
 
