@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.clusters import assign, describe
 from lodestone.llm.mixing import mix
 from lodestone.llm.neighbours import mutual, nearest
 from lodestone.llm.packing import pack, packing_report
 from lodestone.llm.tokens import with_tokens
 from lodestone.llm.vectors import dense
+from lodestone.operators.nearby import latest
 from lodestone.runtime import cut, read
 
 CAPACITY = 1024
@@ -23,6 +25,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutual(p1_neighbours(spark, sf_dir), 0.97)
 
 
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As many clusters as categories."""
+    categories = read(spark, sf_dir, "categories")
+    k = categories.select("annotation_key").distinct().count()
+    labels = latest(read(spark, sf_dir, "obs").select("obs", "annotation_key", "loaded_at"), "obs", "loaded_at")
+    labels = labels.select(F.col("obs").alias("k"), F.col("annotation_key").alias("label"))
+    assigned = cut(assign(*dense(read(spark, sf_dir, "counts")), k))
+    return describe(assigned, labels, categories)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, clusters = _clusters(spark, sf_dir)
+    most = clusters.select("cluster", F.col("prevailing_label").alias("annotation_key"), F.col("p").alias("most"))
+    odd = members.filter("listed").join(F.broadcast(most), "cluster")  # one row for each cluster
+    return odd.filter(~F.col("p").eqNullSafe(F.col("most"))).select(F.col("k").alias("obs"), "annotation_key")
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[1].drop("p")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(with_tokens(read(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
 
@@ -52,7 +75,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(_mixture(spark, sf_dir)[1]).filter("short").select("source")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))"
 
