@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.clusters import assign, describe
+from lodestone.llm.clusters import assign, describe, plain
 from lodestone.llm.mixing import mix
 from lodestone.llm.neighbours import mutual, nearest
 from lodestone.llm.packing import pack, packing_report
+from lodestone.llm.sampling import canonical, draw
 from lodestone.llm.tokens import with_tokens
 from lodestone.llm.vectors import dense
 from lodestone.operators.nearby import latest
@@ -46,6 +47,30 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir)[1].drop("p")
 
 
+def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    categories = read(spark, sf_dir, "categories")
+    now = latest(read(spark, sf_dir, "obs").select("obs", "sample", "annotation_key", "loaded_at"), "obs", "loaded_at")
+    spelled = categories.select(plain(F.col("annotation_key")).alias("p"), F.col("annotation_key").alias("name")).groupBy("p").agg(F.min("name").alias("name"))
+    records = now.withColumn("p", plain(F.col("annotation_key"))).join(spelled, "p", "left").select(F.col("obs").alias("i"), "sample", F.col("name").alias("annotation_key"))
+    plan = canonical(read(spark, sf_dir, "subsample_plan"), "annotation_key", categories, "annotation_key", plain)
+    targets = plan.select(F.col("draw_id").alias("draw"), "sample", F.lit("annotation_key").alias("attribute"), F.col("annotation_key").alias("category"), F.col("target_share").alias("share"), F.col("draw_size").alias("size"), F.col("n_min").alias("minimum"))
+    return draw(records, targets, ["annotation_key"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _draws(spark, sf_dir)[1].filter("short").select(F.col("draw").alias("draw_id"), F.col("category").alias("annotation_key"))
+
+
+def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _draws(spark, sf_dir)[0].select(F.col("draw").alias("draw_id"), F.col("i").alias("obs"))
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was drawn, with the fields that an earlier run recorded: all, modification and new."""
+    r = _draws(spark, sf_dir)[1]
+    return r.select(F.col("draw").alias("draw_id"), F.col("category").alias("annotation_key"), "wanted", F.col("available").alias("n_all"), F.try_divide(F.col("drawn"), F.col("available")).alias("modification"), F.col("drawn").alias("n_new"), F.col("share").alias("target_share"), "actual_share", "short")
+
+
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(with_tokens(read(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id", "n_tokens", CAPACITY)
 
@@ -75,11 +100,29 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(_mixture(spark, sf_dir)[1]).filter("short").select("source")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))"
 
+_PLAIN = r"nullif(regexp_replace(lower({}), '[\s\p{{Z}}_-]+', '', 'g'), '')".format
+
 SQL = {
+    "p6_found": f"""
+WITH cur AS (
+  SELECT sample, {_PLAIN('annotation_key')} AS p FROM (
+    SELECT *, row_number() OVER (PARTITION BY obs ORDER BY loaded_at DESC NULLS LAST) AS rn FROM obs) t
+  WHERE rn = 1 AND sample IS NOT NULL),
+have AS (SELECT sample, p, count(*) AS n FROM cur GROUP BY sample, p),
+names AS (SELECT annotation_key AS name, {_PLAIN('annotation_key')} AS p FROM categories),
+plan AS (SELECT draw_id, sample, {_PLAIN('annotation_key')} AS p, target_share, draw_size, n_min FROM subsample_plan),
+spelled AS (
+  SELECT DISTINCT q.p AS written, coalesce(e.name, c.name) AS name, coalesce(e.p, c.p) AS p
+  FROM (SELECT DISTINCT p FROM plan) q LEFT JOIN names e ON e.p = q.p
+  LEFT JOIN names c ON starts_with(c.p, q.p)
+    AND (SELECT count(*) FROM names o WHERE starts_with(o.p, q.p)) = 1)
+SELECT DISTINCT l.draw_id, s.name AS annotation_key
+FROM plan l JOIN spelled s ON s.written = l.p AND s.name IS NOT NULL LEFT JOIN have h ON h.sample = l.sample AND h.p = s.p
+WHERE coalesce(h.n, 0) < greatest(l.n_min, CAST(floor(l.target_share * l.draw_size + 0.5) AS BIGINT))""",
     "p7_found": f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {_TOKENS} > 1024",
     "p8_found": f"""
 WITH d AS (SELECT source, {_TOKENS} AS n FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
