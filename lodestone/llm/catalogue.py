@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import assign, describe, plain
 from lodestone.llm.mixing import mix
+from lodestone.llm.names import map_records
 from lodestone.llm.neighbours import mutual, nearest
 from lodestone.llm.packing import pack, packing_report
 from lodestone.llm.sampling import canonical, draw
 from lodestone.llm.tokens import with_tokens
 from lodestone.llm.vectors import dense
+from lodestone.operators.multivalue import split_values
 from lodestone.operators.nearby import latest
 from lodestone.runtime import cut, read
 
@@ -47,6 +49,18 @@ def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir)[1].drop("p")
 
 
+def p5_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, genes = read(spark, sf_dir, "hom_allorganism"), read(spark, sf_dir, "gene_reference")
+    also = genes.select(F.col("db_class_key").alias("key"), F.explode(F.split("synonyms", r"\|")).alias("name"), F.lit(False).alias("symbol"))
+    reference = genes.select(F.col("db_class_key").alias("key"), F.col("symbol").alias("name"), F.lit(True).alias("symbol")).unionByName(also)
+    synonyms = split_values(records, "rec_id", "synonyms", "name").withColumnRenamed("rec_id", "id")
+    return map_records(records.select(F.col("rec_id").alias("id"), F.col("symbol").alias("name"), F.col("db_class_key").alias("key")), reference, synonyms)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_mapped(spark, sf_dir).select(F.col("id").alias("rec_id"), F.col("key").alias("db_class_key"))
+
+
 def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     categories = read(spark, sf_dir, "categories")
     now = latest(read(spark, sf_dir, "obs").select("obs", "sample", "annotation_key", "loaded_at"), "obs", "loaded_at")
@@ -100,7 +114,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(_mixture(spark, sf_dir)[1]).filter("short").select("source")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p6_found": p6_found, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))"
 
