@@ -10,6 +10,7 @@ from lodestone.llm.mixing import mix
 from lodestone.llm.names import map_records
 from lodestone.llm.neighbours import mutual, nearest
 from lodestone.llm.packing import pack, packing_report
+from lodestone.llm.pii import find_items, redact
 from lodestone.llm.sampling import canonical, draw
 from lodestone.llm.tokens import with_tokens
 from lodestone.llm.vectors import dense
@@ -114,7 +115,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(_mixture(spark, sf_dir)[1]).filter("short").select("source")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "kind", "found").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))"
 
