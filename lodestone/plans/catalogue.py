@@ -1,6 +1,6 @@
 """All core queries by name, and the SQL of those that SQL can express."""
 
-from lodestone.plans import problems
+from lodestone.plans import matrix, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **matrix.QUERIES}
+SQL = {**problems.SQL, **matrix.SQL}
