@@ -90,11 +90,12 @@ def near_pairs(df: DataFrame, radius: float, key: str = "obs", x: str = "x", y:
         found = []
         for _, part in pdf.groupby("cell", sort=False) if pdf["cell"].nunique() > 1 else [(None, pdf)]:
             a, b = part[part.isleft], part[~part.isleft]
-            ka, kb = a.k.to_numpy(), b.k.to_numpy()
+            ka, kb = a.k.to_numpy(object), b.k.to_numpy(object)
             for i, j in dual_tree_pairs(a[["x", "y"]].to_numpy(), b[["x", "y"]].to_numpy(), radius):
                 less = ka[i] < kb[j]
-                found.append(pd.DataFrame({"key_a": ka[i][less], "key_b": kb[j][less]}))
-        return pd.concat(found) if found else pd.DataFrame({"key_a": [], "key_b": []}, dtype=str)
+                found.append((ka[i][less], kb[j][less]))
+        a, b = (np.concatenate(c) for c in zip(*found)) if found else ([], [])
+        return pd.DataFrame({"key_a": pd.Series(a, dtype=object), "key_b": pd.Series(b, dtype=object)})
 
     pairs = both.groupBy("task").applyInPandas(search, "key_a string, key_b string")
     return pairs.distinct()

@@ -103,21 +103,23 @@ def nearest_labelled(points: DataFrame, labelled: DataFrame, k: int, group: str
     g = F.col(group).cast("string") if group else F.lit("")
     salts = 16
     q = points.select(F.col("obs").cast("string").alias("obs"), "x", "y", g.alias("g"), F.pmod(F.xxhash64("obs"), F.lit(salts)).cast("int").alias("s")).filter("g is not null")
-    r = labelled.select(F.col("obs").cast("string").alias("obs"), "x", "y", g.alias("g"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s")).filter("g is not null")
+    # names of its own, as both sides may come from one table
+    r = labelled.select(F.col("obs").cast("string").alias("robs"), F.col("x").alias("rx"), F.col("y").alias("ry"), g.alias("rg"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("rs")).filter("rg is not null")
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        right = right.sort_values("obs")
-        xy, names = right[["x", "y"]].to_numpy(), right["obs"].to_numpy()
+        right = right.sort_values("robs")
+        xy, names = right[["rx", "ry"]].to_numpy(), right["robs"].to_numpy(object)
         for at in range(0, len(left) if len(right) else 0, 256):
             part = left.iloc[at : at + 256]
             d = np.sqrt(((part[["x", "y"]].to_numpy()[:, None] - xy[None]) ** 2).sum(2))
             top = min(k, d.shape[1])
             order = np.argsort(d, axis=1, kind="stable")[:, :top]
-            out.append(pd.DataFrame({"i": np.repeat(part["obs"].to_numpy(), top), "j": names[order].ravel(), "distance": np.take_along_axis(d, order, 1).ravel(), "rank": np.tile(np.arange(1, top + 1), len(part))}))
-        return pd.concat(out) if out else pd.DataFrame({"i": [], "j": [], "distance": [], "rank": []})
+            out.append((np.repeat(part["obs"].to_numpy(object), top), names[order].ravel(), np.take_along_axis(d, order, 1).ravel(), np.tile(np.arange(1, top + 1), len(part))))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], [], []]
+        return pd.DataFrame({"i": pd.Series(columns[0], dtype=object), "j": pd.Series(columns[1], dtype=object), "distance": columns[2], "rank": columns[3]})
 
-    return q.groupBy("g", "s").cogroup(r.groupBy("g", "s")).applyInPandas(search, "i string, j string, distance double, rank int")
+    return q.groupBy("g", "s").cogroup(r.groupBy("rg", "rs")).applyInPandas(search, "i string, j string, distance double, rank int")
 
 
 def fill_regions(points: DataFrame, k: int = 1, group: str | None = None) -> DataFrame:
@@ -133,7 +135,7 @@ def balanced_cuts(df: DataFrame, value: str, n: int, group: str | None = None, s
     """df with ``interval``: the number of cuts below the value. Cuts lie midway between the neighbours of the round(k n / m)-th
     values (halves to even) and halve the group evenly; values nearer than separation / 2 to a cut, or groups of fewer than n, get null."""
     g = [group] if group else []
-    w = Window.partitionBy(*g).orderBy(value)
+    w = Window.partitionBy(*g).orderBy("_v")
     ranked = df.select(*g, F.col(value).alias("_v")).withColumn("_k", F.row_number().over(w)).withColumn("_m", F.count("*").over(Window.partitionBy(*g)))
     ids = ranked.select(*g, "_m").distinct().filter(F.col("_m") >= n).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(n - 1)))) if n > 1 else None
     if ids is None:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 def stream_table(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     """A folder or file of parquet as a stream, with the schema it has now."""
     schema = spark.read.parquet(path).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
+        path = f"{path[:-1]}[{path[-1]}]"  # a stream reads a folder or a pattern
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
