@@ -131,7 +131,7 @@ def map_records(records: DataFrame, reference: DataFrame, synonyms: DataFrame) -
     equals); key 0 if none fits."""
     keys = reference.select("key").filter("key is not null").distinct()
     open_ = cut(records.filter("id is not null").join(keys, "key", "left_anti").select("id", "name").distinct())
-    also = synonyms.join(open_.select("id").distinct(), "id", "left_semi")
+    also = cut(synonyms.join(open_.select("id").distinct(), "id", "left_semi"))
     found = cut(match(open_.select("name").union(also.select("name")), reference))
     salts = 8
     spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
