@@ -194,6 +194,8 @@ def annotate_nmf(x: DataFrame, reference: DataFrame, labels: DataFrame, k: int =
     sd = np.maximum(block.std(0), 1e-9)
     scaled = block / np.maximum(block.sum(1, keepdims=True), 1e-12) / sd * sd.mean()
     w, h = nmf(scaled, min(k, *scaled.shape), seed=seed)
+    size = np.maximum(h.sum(1), 1e-12)  # loads of factors are comparable when these are
+    w, h = w * size, h / size[:, None]
     strongest = (w / np.maximum(w.max(0), 1e-12)).argmax(1)
     own = np.zeros((h.shape[0], len(cat)))
     for f in range(h.shape[0]):
