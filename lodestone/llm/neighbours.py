@@ -104,7 +104,10 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
         return run
 
     def whole(batches):
-        pdf = pd.concat(list(batches), ignore_index=True)
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts, ignore_index=True)
         for _, part in pdf.groupby("tree", sort=True):
             yield part.sort_values(["h", "k"], kind="stable").reset_index(drop=True)
 
