@@ -3,8 +3,9 @@
 Each of ``trees`` trees is one array of 64-bit hash strings (signs of random projections of the centred directions),
 sorted and cut into ranges. A vector descends in every tree to its longest prefix match, its place in the array.
 It then ascends in all trees in step: the prefix length falls by one in all of them until the candidates that
-share that prefix number ``candidates`` in the trees together. Their exact cosines are computed in blocks, at
-most ``candidates`` to either side of the place in a tree, so that a crowd of equal hashes costs no more than others.
+share that prefix number ``candidates`` in the trees together. Exact cosines are computed in blocks of neighbouring
+places, each with all candidates of the block, at most ``candidates`` to either side of the place in a tree, so that a
+crowd of equal hashes costs no more than others.
 
 Exact copies: of more than k + 1 equal vectors, the k + 1 smallest names stand for all in the forest; the neighbours
 of the others are the k smallest names of their copies, at similarity 1, which is exact, ties going to smaller names.
@@ -59,7 +60,7 @@ def _runs(shared: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start, size), np.repeat(stop, size)
 
 
-def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidates: int = 1024, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidates: int = 4096, seed: int = 7) -> DataFrame:
     """(k, neighbour, similarity): the k most similar vectors of each vector of (k, v), rank from 1 in ``rank``."""
     vec = cut(vectors)
     spark = vec.sparkSession
@@ -157,7 +158,8 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
                 l, r = int(lo[a:b].min()), int(hi[a:b].max())
                 sim = x[a:b] @ x[l:r].T
                 at = np.arange(l, r)
-                sim[(at < lo[a:b, None]) | (at >= hi[a:b, None]) | (at == place[a:b, None])] = -2
+                # a block compares all its rows with all its candidates
+                sim[at == place[a:b, None]] = -2
                 top = min(k, r - l)
                 best = np.argpartition(-sim, top - 1, axis=1)[:, :top]
                 s = np.take_along_axis(sim, best, 1)
