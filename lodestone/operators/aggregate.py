@@ -119,12 +119,12 @@ def combine_layers(x: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
 def category_priors(x: DataFrame, weights: DataFrame) -> DataFrame:
     """(category, prior): each category's share of the reads, by soft labels that sum to 1."""
     reads = get_sum(x).join(normalise(weights, "obs", "weight"), "obs").groupBy("category").agg(F.sum(F.col("total") * F.col("weight")).alias("prior"))
-    return reads.crossJoin(F.broadcast(reads.agg(F.sum("prior").alias("_t")))).select("category", (F.col("prior") / F.col("_t")).alias("prior"))
+    return reads.crossJoin(F.broadcast(reads.agg(F.sum("prior").alias("_t")))).select("category", F.try_divide("prior", "_t").alias("prior"))
 
 
 def cell_size(x: DataFrame, weights: DataFrame) -> DataFrame:
     """(category, size): mean reads of an observation, weighted by soft labels."""
-    return get_sum(x).join(weights, "obs").groupBy("category").agg((F.sum(F.col("total") * F.col("weight")) / F.sum("weight")).alias("size"))
+    return get_sum(x).join(weights, "obs").groupBy("category").agg(F.try_divide(F.sum(F.col("total") * F.col("weight")), F.sum("weight")).alias("size"))
 
 
 def frame_to_counts(df: DataFrame, obs: str, var: str, count: str | None = None, compositional: list[str] = (), mean: list[str] = ()) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:

@@ -46,7 +46,7 @@ def normalize_total(x: DataFrame, target: float | None = None) -> DataFrame:
     if target is not None:
         return normalise(x, "obs", "value", target)
     middle = sums.agg(F.percentile("_s", 0.5).alias("_t"))
-    return x.join(sums.crossJoin(F.broadcast(middle)), "obs").select("obs", "var", (F.col("value") / F.col("_s") * F.col("_t")).alias("value"))
+    return x.join(sums.crossJoin(F.broadcast(middle)), "obs").select("obs", "var", (F.try_divide("value", "_s") * F.col("_t")).alias("value"))
 
 
 def inverse_mapping(mapping: dict[str, list[str]]) -> dict[str, str]:

@@ -62,7 +62,7 @@ def filter_reference_genes(x: DataFrame, labels: DataFrame, min_log2foldchange:
     w = Window.partitionBy("var")
     e = F.col("p") + 1e-30
     total, k = F.sum(e).over(w), F.count("*").over(w)
-    up = F.log(e / ((total - e) / (k - 1))) >= log(2) * min_log2foldchange
+    up = F.log(F.try_divide(e, F.try_divide(total - e, k - 1))) >= log(2) * min_log2foldchange
     good = grid.withColumn("up", up).groupBy("var").agg(F.bool_or("up").alias("up"), F.max("p").alias("most")).filter((F.col("up")) & (F.col("most") >= min_expression))
     if remove_prefix:
         good = good.filter(~F.startswith(F.lower("var"), F.lit(remove_prefix.lower())))
@@ -93,8 +93,8 @@ def highly_variable(x: DataFrame, n_obs: int, top: int, bins: int = 20) -> DataF
     """(var, mean, dispersion, normalised, rank) of the ``top`` variables by dispersion (variance / mean, zeros included)
     standardised within bins of equal width of the mean."""
     m = F.sum("value") / n_obs
-    var = (F.sum(F.col("value") * F.col("value")) - n_obs * m * m) / (n_obs - 1)
-    s = x.groupBy("var").agg(m.alias("mean"), var.alias("v")).withColumn("dispersion", F.col("v") / F.col("mean"))
+    var = (F.sum(F.col("value") * F.col("value")) - n_obs * m * m) / max(1, n_obs - 1)
+    s = x.groupBy("var").agg(m.alias("mean"), var.alias("v")).withColumn("dispersion", F.try_divide("v", "mean"))
     ends = s.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"))
     s = s.crossJoin(F.broadcast(ends)).withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("mean") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)))
     w = Window.partitionBy("bin")
@@ -112,8 +112,8 @@ def rank_markers(x: DataFrame, labels: DataFrame, top: int = 10) -> DataFrame:
     grid = s.select("var").distinct().crossJoin(F.broadcast(n)).join(s, ["category", "var"], "left").fillna(0.0, ["s", "q"])
     w = Window.partitionBy("var")
     rest_n, rest_s, rest_q = F.col("all") - F.col("n"), F.sum("s").over(w) - F.col("s"), F.sum("q").over(w) - F.col("q")
-    mean = lambda a, k: a / k
-    spread = lambda q, a, k: (q - a * a / k) / (k - 1) / k
-    t = (mean(F.col("s"), F.col("n")) - mean(rest_s, rest_n)) / F.sqrt(spread(F.col("q"), F.col("s"), F.col("n")) + spread(rest_q, rest_s, rest_n))
+    mean = lambda a, k: F.try_divide(a, k)
+    spread = lambda q, a, k: F.try_divide(q - F.try_divide(a * a, k), (k - 1) * k)
+    t = F.try_divide(mean(F.col("s"), F.col("n")) - mean(rest_s, rest_n), F.sqrt(F.greatest(F.lit(0.0), spread(F.col("q"), F.col("s"), F.col("n")) + spread(rest_q, rest_s, rest_n))))
     scored = grid.withColumn("t", t).filter("t is not null and not isnan(t)")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("t"), "var"))).filter(F.col("rank") <= top).select("category", "var", "t", "rank")

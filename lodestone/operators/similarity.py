@@ -44,7 +44,7 @@ def cdist(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     ab = F.col("ab")
     if metric in ("euclidean", "cosine"):
         g = _grid(_norms(a, "i", "aa"), _norms(b, "j", "bb"), _pairs(a, b, F.col("a") * F.col("b")))
-        d = F.sqrt(zero(F.col("aa") + F.col("bb") - 2 * ab)) if metric == "euclidean" else zero(1 - ab / F.sqrt(F.col("aa") * F.col("bb")))
+        d = F.sqrt(zero(F.col("aa") + F.col("bb") - 2 * ab)) if metric == "euclidean" else zero(1 - F.coalesce(F.try_divide(ab, F.sqrt(F.col("aa") * F.col("bb"))), F.lit(0.0)))
         return g.select("i", "j", d.alias("distance"))
     a, b = normalise(a, "obs", "value"), normalise(b, "obs", "value")
     if metric == "kl":
@@ -62,7 +62,7 @@ def overlap(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
     profile; rows normalised) or weighted (the same, by norms)."""
     if metric == "cosine":
         n = _pairs(a, b, F.col("a") * F.col("b")).join(_norms(a, "i", "aa"), "i").join(_norms(b, "j", "bb"), "j")
-        return n.select("i", "j", (F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))).alias("value"))
+        return n.select("i", "j", F.try_divide("ab", F.sqrt(F.col("aa") * F.col("bb"))).alias("value"))
     a, b = normalise(a, "obs", "value"), normalise(b, "obs", "value")
     if metric in ("bc", "bc2"):
         s = _pairs(a, b, F.sqrt(F.col("a") * F.col("b")))
@@ -71,14 +71,14 @@ def overlap(a: DataFrame, b: DataFrame, metric: str) -> DataFrame:
         return _pairs(a, b, F.col("a") * F.col("b"), "value")
     k = b.select("obs").distinct().count()
     mean = b.groupBy("var").agg((F.sum("value") / k).alias("m"))
-    scaled = b.join(mean, "var").select("obs", "var", (F.col("value") / F.col("m")).alias("value"))
+    scaled = b.join(mean, "var").select("obs", "var", F.try_divide("value", "m").alias("value"))
     s = _pairs(a, scaled, F.col("a") * F.col("b"))
     if metric == "nwsp":
         total = s.groupBy("i").agg(F.sum("ab").alias("t"))
-        return s.join(total, "i").select("i", "j", (F.col("ab") / F.col("t")).alias("value"))
+        return s.join(total, "i").select("i", "j", F.try_divide("ab", "t").alias("value"))
     if metric == "weighted":
         norm = lambda x, n, out: x.join(mean, "var").groupBy(F.col("obs").alias(n)).agg(F.sqrt(F.sum(F.col("value") * F.col("value") / F.col("m"))).alias(out))
-        return s.join(norm(a, "i", "aa"), "i").join(norm(b, "j", "bb"), "j").select("i", "j", (F.col("ab") / (F.col("aa") * F.col("bb"))).alias("value"))
+        return s.join(norm(a, "i", "aa"), "i").join(norm(b, "j", "bb"), "j").select("i", "j", F.try_divide("ab", F.col("aa") * F.col("bb")).alias("value"))
     raise ValueError(f"unknown metric {metric!r}")
 
 

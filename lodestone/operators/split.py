@@ -68,7 +68,7 @@ def reconstruct(x: DataFrame, weights: DataFrame, profiles: DataFrame, mapping:
     """(obs, category, var, value): the counts that weights and profiles imply, in place of the measured ones; by mapped
     category (mapping: sub, category), or all together as category 'bulk'."""
     total = x.groupBy("obs").agg(F.sum("value").alias("n"))
-    w = weights.join(total, "obs").withColumn("reads", F.col("weight") / F.sum("weight").over(Window.partitionBy("obs")) * F.col("n"))
+    w = weights.join(total, "obs").withColumn("reads", F.try_divide("weight", F.sum("weight").over(Window.partitionBy("obs"))) * F.col("n"))
     parts = w.join(profiles, "category")
     if bulk:
         parts = parts.withColumn("category", F.lit("bulk"))

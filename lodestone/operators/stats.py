@@ -152,4 +152,4 @@ def over_representation(members: DataFrame, study: DataFrame, population: DataFr
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, r, mismatch) over pairs finite in both: Pearson's r and the mean squared difference over the variance of x."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    return d.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), (F.avg((F.col(x) - F.col(y)) ** 2) / F.var_pop(x)).alias("mismatch"))
+    return d.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"), F.try_divide(F.avg((F.col(x) - F.col(y)) ** 2), F.var_pop(x)).alias("mismatch"))

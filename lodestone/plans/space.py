@@ -9,7 +9,7 @@ from lodestone.frame import clean_counts, clean_obs, one_hot
 from lodestone.operators import aggregate as A
 from lodestone.operators import annotate as N
 from lodestone.operators import cooccurrence as C
-from lodestone.operators import graph, molecules, orthology, platform, split
+from lodestone.operators import embedding, graph, molecules, orthology, platform, plotdata, qc, split
 from lodestone.operators import spatial as S
 from lodestone.operators import stats as T
 from lodestone.plans.matrix import CTE, labels, rounded, sample_weights
@@ -351,3 +351,81 @@ def _(s, d):
     t = incremental.run_to_table(incremental.windowed_totals(e, "ts", "event_type"), f"windows_{uuid.uuid4().hex}")
     return t.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
+
+
+# tables behind figures
+_COLORS = "c AS (SELECT annotation_key AS fine, lineage AS category, length(annotation_key) / 20.0 AS r, length(lineage) / 10.0 AS g, 0.5 AS b, 1.0 AS a FROM categories) "
+
+
+def _colors(s, d):
+    c = read(s, d, "categories")
+    return c.select(F.col("annotation_key").alias("fine"), F.col("lineage").alias("category"), (F.length("annotation_key") / 20).alias("r"), (F.length("lineage") / 10).alias("g"), F.lit(0.5).alias("b"), F.lit(1.0).alias("a"))
+
+
+@query("merge_colors", "WITH " + _COLORS + "SELECT category, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b, round(avg(a), 6) AS a FROM c GROUP BY category", False)
+def _(s, d):
+    c = _colors(s, d)
+    return rounded(plotdata.merge_colors(c.drop("category"), c.select("fine", "category")))
+
+
+@query("mix_colors", ", " + _COLORS + "SELECT w.obs, round(sum(w.weight * c.r) / sum(w.weight), 6) AS r, round(sum(w.weight * c.g) / sum(w.weight), 6) AS g, round(sum(w.weight * c.b) / sum(w.weight), 6) AS b FROM w JOIN c ON c.fine = w.category GROUP BY w.obs")
+def _(s, d):
+    return rounded(plotdata.mix_colors(sample_weights(s, d), _colors(s, d).select(F.col("fine").alias("category"), "r", "g", "b")))
+
+
+@query("mix_colors_xyv")
+def _(s, d):
+    return plotdata.mix_colors(sample_weights(s, d), _colors(s, d).select(F.col("fine").alias("category"), "r", "g", "b"), "xyv")
+
+
+@query("comparison", ", u AS (SELECT obs, category, 1.0 AS v FROM (SELECT *, row_number() OVER (PARTITION BY obs ORDER BY weight DESC, category) AS r FROM w) t WHERE r = 1) SELECT coalesce(w.obs, u.obs) AS obs, coalesce(w.category, u.category) AS category, round(coalesce(w.weight, 0), 6) AS a, coalesce(u.v, 0) AS b FROM w FULL JOIN u ON u.obs = w.obs AND u.category = w.category")
+def _(s, d):
+    from lodestone.operators.elementwise import argmax_label
+
+    w = sample_weights(s, d)
+    return rounded(plotdata.comparison(w, one_hot(argmax_label(w))))
+
+
+@query("scatter_frame", _CENT + ", t AS (SELECT *, min(weight) OVER (PARTITION BY category) AS lo, max(weight) OVER (PARTITION BY category) AS hi FROM w) SELECT c.obs, round(c.x, 6) AS x, round(c.y, 6) AS y, t.category, round(CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1 END, 6) AS share FROM c JOIN t ON t.obs = c.obs")
+def _(s, d):
+    return rounded(plotdata.scatter_frame(_centroids(s, d), sample_weights(s, d)))
+
+
+@query("label_positions", _PTS + """, l AS (SELECT p.x, p.y, l.category FROM p JOIN lab l ON l.obs = p.obs),
+rx AS (SELECT category, x, sum(count(*)) OVER (PARTITION BY category ORDER BY x) AS run, sum(count(*)) OVER (PARTITION BY category) AS t FROM l GROUP BY category, x),
+ry AS (SELECT category, y, sum(count(*)) OVER (PARTITION BY category ORDER BY y) AS run, sum(count(*)) OVER (PARTITION BY category) AS t FROM l GROUP BY category, y)
+SELECT category, min(x) AS x, (SELECT min(y) FROM ry WHERE ry.category = rx.category AND run >= t / 2) AS y FROM rx WHERE run >= t / 2 GROUP BY category""")
+def _(s, d):
+    return plotdata.label_positions(points(s, d), one_hot(labels(s, d)))
+
+
+@query("significances")
+def _(s, d):
+    o = clean_obs(s, d)
+    t = T.fisher_enrichment(T.contingency(o.select("obs", F.col("category").alias("value")), o.select("obs", F.col("sample").alias("group"))))
+    return plotdata.significance_map(t)
+
+
+@query("annotated_heatmap", """, n AS (SELECT category, n, sum(n) OVER () AS a FROM ncat),
+s AS (SELECT l.category, x.var, sum(ln(1 + x.value)) AS s, sum(ln(1 + x.value) ^ 2) AS q FROM x JOIN lab l ON l.obs = x.obs GROUP BY 1, 2),
+g AS (SELECT v.var, n.category, n.n, n.a - n.n AS m, coalesce(s.s, 0) AS s, coalesce(s.q, 0) AS q FROM (SELECT DISTINCT var FROM s) v CROSS JOIN n LEFT JOIN s ON s.var = v.var AND s.category = n.category),
+h AS (SELECT *, sum(s) OVER (PARTITION BY var) - s AS rs, sum(q) OVER (PARTITION BY var) - q AS rq FROM g),
+t AS (SELECT category, var, (s / n - rs / m) / sqrt((q - s * s / n) / (n - 1) / n + (rq - rs * rs / m) / (m - 1) / m) AS t FROM h),
+mk AS (SELECT category AS marker_of, var FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY t DESC, var) AS r FROM t WHERE t IS NOT NULL AND NOT isnan(t)) u WHERE r <= 2)
+SELECT x.obs, l.category, x.var, mk.marker_of, round(ln(1 + x.value / tot.n * 10000), 5) AS value FROM x JOIN mk ON mk.var = x.var JOIN tot ON tot.obs = x.obs JOIN lab l ON l.obs = x.obs""")
+def _(s, d):
+    x, lab = clean_counts(s, d), labels(s, d)
+    return rounded(plotdata.annotated_heatmap(x, lab, qc.rank_markers(x, lab, 2).select("var", "category")), 5)
+
+
+@query("co_occurrence_soft")
+def _(s, d):
+    """Annotations smoothed over the label's lineage, around hard centers."""
+    lab = one_hot(labels(s, d))
+    soft = lab.select("obs", "category", F.lit(0.8).alias("weight")).unionByName(lab.select("obs", F.lit("other").alias("category"), F.lit(0.2).alias("weight")))
+    return C.co_occurrence(points(s, d), soft, 60.0, 20.0, lab)
+
+
+@query("principal_components")
+def _(s, d):
+    return embedding.preprocess_single_cell(clean_counts(s, d), 50, 5)

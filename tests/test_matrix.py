@@ -283,3 +283,44 @@ def test_merge_contributions(spark):
     assert A.contributions(vals, groups, restrict_groups=["0", "2"]).select("group").distinct().count() == 2
     clr = table(A.contributions(vals, groups, normalization="clr").drop("sample"), "group", "value_key")
     assert clr["2", "5"] == 0 and clr["0", "5"] is None
+
+
+def test_figures_and_components(spark):
+    from lodestone.operators import embedding, plotdata
+    from lodestone.testing import assert_annotated_equal, assert_frame_equal, measure
+
+    assert len(plotdata.default_colors(5)) == 5
+    w = spark.createDataFrame([("o", "a", 1.0), ("o", "b", 1.0), ("p", "a", 2.0)], "obs string, category string, weight double")
+    c = spark.createDataFrame([("a", 1.0, 0.0, 0.0), ("b", 0.0, 1.0, 1.0)], "category string, r double, g double, b double")
+    rgb = table(plotdata.mix_colors(w, c), "obs")
+    assert rgb["o",] == (0.5, 0.5, 0.5) and rgb["p",] == (1, 0, 0)
+    xyv = table(plotdata.mix_colors(w, c, "xyv"), "obs")
+    assert xyv["o",] == pytest.approx((1, 1, 1), abs=1e-9) and xyv["p",] == pytest.approx((1, 0, 0), abs=1e-9)
+    t = spark.createDataFrame([("v", "g", "enriched", 0.0005), ("v", "g", "purified", 1.0), ("w", "g", "enriched", 0.9), ("w", "g", "purified", 0.02)], "value string, group string, enrichment string, p_adjusted double")
+    m = {r["value"]: r for r in plotdata.significance_map(t).collect()}
+    assert m["v"]["stars"] == "***" and m["v"]["signed"] == pytest.approx(-math.log(0.0005)) and m["w"]["stars"] == "*" and m["w"]["signed"] == pytest.approx(math.log(0.02))
+    r, k = plotdata.diagonal_order(np.array([[0, 0, 1], [1, 0, 0], [0, 1, 0]]))
+    assert np.array_equal(np.array([[0, 0, 1], [1, 0, 0], [0, 1, 0]])[np.ix_(r, k)], np.eye(3))
+    pts = spark.createDataFrame([("o", 0.0, 5.0), ("p", 1.0, 7.0)], "obs string, x double, y double")
+    assert table(plotdata.label_positions(pts, w), "category")["a",] == (1.0, 7.0)
+    rng = np.random.default_rng(0)
+    x = rng.random((60, 2)) @ rng.random((2, 6)) + 0.5
+    d = long(spark, x)
+    axes, var, names = embedding.pca(d, 3)
+    true = np.linalg.eigvalsh(np.cov(x.T, bias=True))[::-1]
+    assert np.allclose(var, true[:3], atol=1e-10)
+    s = {r["obs"]: r["scores"] for r in embedding.project(d, axes, names).collect()}
+    assert np.allclose(s["o7"], x[7] @ axes)
+    assert_frame_equal(d, d.orderBy("value"))
+    with pytest.raises(AssertionError):
+        assert_frame_equal(d, d.limit(3))
+    f = AnnotatedFrame(d)
+    assert_annotated_equal(f, f.replace())
+    assert measure(lambda: d)["time_s"] > 0
+
+
+def test_streams(spark, tmp_path):
+    from lodestone.streaming.incremental import run_to_table, running_totals, stream_table
+
+    long(spark, [[1, 2], [3, 0]]).write.parquet(str(tmp_path / "c"))
+    assert table(run_to_table(running_totals(stream_table(spark, str(tmp_path / "c"))), "t_test").drop("entries"), "var") == {("g0",): 4, ("g1",): 2}
