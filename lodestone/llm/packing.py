@@ -144,4 +144,4 @@ def pack(items: DataFrame, identifier: str, length: str, capacity: int = 1024, b
 def packing_report(packed: DataFrame, capacity: int) -> DataFrame:
     """(containers, tokens, overfull, unused_share, least_containers) of a packing."""
     each = packed.groupBy("container").agg(F.sum("n_tokens").alias("n"))
-    return each.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.count_if(F.col("n") > capacity).alias("overfull")).select("containers", "tokens", "overfull", (1 - F.col("tokens") / (F.col("containers") * capacity)).alias("unused_share"), F.ceil(F.col("tokens") / capacity).alias("least_containers"))
+    return each.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.count_if(F.col("n") > capacity).alias("overfull")).select("containers", "tokens", "overfull", (1 - F.try_divide("tokens", F.col("containers") * capacity)).alias("unused_share"), F.ceil(F.col("tokens") / capacity).alias("least_containers"))
