@@ -160,14 +160,20 @@ def decode(candidates: list, weights: dict[str, float]) -> list:
             scored.append((s, e, kind, v))
     if not scored:
         return []
-    best = []
-    for k, (s, _, kind, v) in enumerate(scored):
+    # candidates are in order of their starts; by_end brings in those that ended before, whose best scores are known by then
+    best, tops, passed = [], {}, 0
+    by_end = sorted(range(len(scored)), key=lambda k: scored[k][1])
+    for s, _, kind, v in scored:
+        while scored[by_end[passed]][1] <= s:
+            i = by_end[passed]
+            if best[i][0] > tops.get(scored[i][2], (float("-inf"),))[0]:
+                tops[scored[i][2]] = best[i][0], i
+            passed += 1
         top, back = weights.get(f"^>{kind}", 0.0), -1
-        for j in range(k):
-            if scored[j][1] <= s:
-                t = best[j][0] + weights.get(f"{scored[j][2]}>{kind}", 0.0)
-                if t > top:
-                    top, back = t, j
+        for before, (score, i) in tops.items():
+            t = score + weights.get(f"{before}>{kind}", 0.0)
+            if t > top:
+                top, back = t, i
         best.append((v + top, back))
     k = max(range(len(best)), key=lambda i: best[i][0])
     out = []
