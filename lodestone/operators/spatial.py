@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.nearby import near_pairs
 from lodestone.operators.similarity import cdist
+from lodestone.runtime import cut
 
 
 def bin_points(df: DataFrame, size: float, columns: Sequence[str] = ("x", "y"), names: Sequence[str] | None = None, shift: float = 0.0) -> DataFrame:
@@ -32,6 +33,7 @@ def codes(df: DataFrame, keys: Sequence[str], name: str = "code", other: DataFra
     by = ["_o"] if order and other is None else list(keys)
     parts = combos.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
     parts = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_id")))
+    parts = cut(parts)  # ranges are sampled: both uses must see the same ones
     n = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = n.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # one row a partition
     table = parts.join(F.broadcast(before), "_p").select(*keys, (F.col("_b") + F.col("_r") - 1).cast("long").alias(name))
