@@ -29,6 +29,8 @@ BITS = 64
 SALTS = 64
 #: Rows of a tree in one task.
 ROWS = 60_000
+#: Similarities held at once.
+CELLS = 2_000_000
 
 
 def _hashes(x: np.ndarray, mean: np.ndarray, trees: int, seed: int) -> np.ndarray:
@@ -60,7 +62,7 @@ def _runs(shared: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(start, size), np.repeat(stop, size)
 
 
-def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidates: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidates: int = 40960, seed: int = 7) -> DataFrame:
     """(k, neighbour, similarity): the k most similar vectors of each vector of (k, v), rank from 1 in ``rank``."""
     vec = cut(vectors)
     spark = vec.sparkSession
@@ -156,15 +158,17 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
             for a in range(0, n, 512):
                 b = min(n, a + 512)
                 l, r = int(lo[a:b].min()), int(hi[a:b].max())
-                sim = x[a:b] @ x[l:r].T
-                at = np.arange(l, r)
-                # a block compares all its rows with all its candidates
-                sim[at == place[a:b, None]] = -2
-                top = min(k, r - l)
-                best = np.argpartition(-sim, top - 1, axis=1)[:, :top]
-                s = np.take_along_axis(sim, best, 1)
-                i, j = np.nonzero(s > -2)
-                yield pd.DataFrame({"k": names[a + i], "neighbour": names[l + best[i, j]], "similarity": s[i, j].astype(np.float64)})
+                at, top = np.arange(l, r), min(k, r - l)
+                step = max(16, CELLS // (r - l))
+                for c in range(a, b, step):
+                    d = min(b, c + step)
+                    # a block compares all its rows with all its candidates
+                    sim = x[c:d] @ x[l:r].T
+                    sim[at == place[c:d, None]] = -2
+                    best = np.argpartition(sim, r - l - top, axis=1)[:, r - l - top :]
+                    s = np.take_along_axis(sim, best, 1)
+                    i, j = np.nonzero(s > -2)
+                    yield pd.DataFrame({"k": names[c + i], "neighbour": names[l + best[i, j]], "similarity": s[i, j].astype(np.float64)})
 
     ranged = lambda df: df.repartitionByRange(parts, "tree", "h")
     profiles = ranged(active.mapInPandas(sign(False), "tree int, h long, k string")).mapInPandas(descend, "k string, p binary")
