@@ -245,23 +245,48 @@ def keep_max(method: Method, n: int = 1) -> Method:
 
 def multi_center(labels: DataFrame, reference: DataFrame, centers: int, bound: int = 5_000, seed: int = 0) -> DataFrame:
     """(obs, category, sub): each category's reference observations in ``centers`` groups by k-means of their square roots of shares;
-    centres come from at most ``bound`` observations of a category, all are assigned in the category's task."""
-    rows = packed(reference).join(labels.filter("category is not null").select("obs", "category"), "obs")
-    ids = rows.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("obs"), "obs"))).filter(F.col("r") <= bound)
+    centres come from at most ``bound`` observations of a category (the documented sample), then a pass over all of them
+    assigns each to the nearest centre of its category."""
+    labels = labels.filter("category is not null").select("obs", "category")
+    rows = cut(packed(reference).join(labels, "obs"))
+    ids = rows.select("obs", "category", F.row_number().over(Window.partitionBy("category").orderBy(F.xxhash64("obs"), "obs")).alias("r")).filter(F.col("r") <= bound)
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         var = sorted({v for vs in pdf["v"] for v in vs})
         at = {v: i for i, v in enumerate(var)}
         block = np.zeros((len(pdf), len(var)))
         for r, (vs, xs) in enumerate(zip(pdf["v"], pdf["x"])):
             block[r, [at[v] for v in vs]] = xs
         root = np.sqrt(block / block.sum(1, keepdims=True))
-        c = root - root.mean(0)
-        _, _, axes = np.linalg.svd(c, full_matrices=False)
-        label = kmeans(c @ axes[:10].T, centers, seed=seed)
-        return pd.DataFrame({"obs": pdf["obs"], "category": pdf["category"], "sub": pdf["category"] + "-" + pd.Series(label, index=pdf.index).astype(str)})
+        mean = root.mean(0)
+        c = root - mean
+        axes = np.linalg.svd(c, full_matrices=False)[2][:10]
+        z = c @ axes.T
+        label = kmeans(z, centers, seed=seed)
+        # |z - m|^2 for a row's z = (root - mean) axes' is, up to what all centres share, |m|^2 + 2 m axes mean - 2 m axes root
+        own = np.unique(label)
+        m = np.array([z[label == j].mean(0) for j in own])
+        w = m @ axes
+        base = (m**2).sum(1) + 2 * w @ mean
+        return pd.DataFrame({"category": pdf["category"].iloc[0], "k": own, "base": base, "v": [var] * len(own), "w": list(w)})
+
+    fitted = cut(rows.join(ids.select("obs"), "obs", "left_semi").groupBy("category").applyInPandas(fit, "category string, k int, base double, v array<string>, w array<double>"))
+    n = fitted.agg(F.sum(F.size("v"))).first()[0] or 0
+    if n > PROFILE_ENTRIES:
+        raise ValueError(f"{n} entries of centres; at most {PROFILE_ENTRIES} are sent to workers")
+    models = {c: (p["k"].to_numpy(), p["base"].to_numpy(), {v: i for i, v in enumerate(p["v"].iloc[0])}, np.stack(p["w"].to_numpy())) for c, p in fitted.toPandas().groupby("category")}
 
-    return ids.drop("r").groupBy("category").applyInPandas(split, "obs string, category string, sub string")
+    def assign(batches):
+        for pdf in batches:
+            sub = []
+            for category, vs, xs in zip(pdf["category"], pdf["v"], pdf["x"]):
+                k, base, at, w = models[category]
+                known = np.array([at.get(v, -1) for v in vs])
+                root = np.sqrt(np.asarray(xs, float) / np.sum(xs))[known >= 0]
+                sub.append(f"{category}-{k[(base - 2 * w[:, known[known >= 0]] @ root).argmin()]}")
+            yield pd.DataFrame({"obs": pdf["obs"], "category": pdf["category"], "sub": sub})
+
+    return rows.mapInPandas(assign, "obs string, category string, sub string")
 
 
 METHODS: dict[str, Method] = {"nnls": annotate_nnls, "projection": annotate_projection, "OT": annotate_ot}
