@@ -3,7 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from lodestone.frame import clean_counts
 from lodestone.operators import annotate as N
+from lodestone.plans.space import points
 
 
 def test_sub_clusters_of_all_observations(spark):
@@ -14,3 +17,12 @@ def test_sub_clusters_of_all_observations(spark):
     assert len(subs) == 60  # not only the 20 that centres come from
     assert len({subs[f"o{i}"] for i in range(0, 60, 2)}) == len({subs[f"o{i}"] for i in range(1, 60, 2)}) == 1
     assert subs["o0"] != subs["o1"]
+
+
+def test_molecules_of_all_sections(spark):
+    d = "/root/testdata/sf0.001"
+    p = points(spark, d)
+    assert p.select("sample", "section").distinct().count() > 1
+    expected = clean_counts(spark, d).join(p.select("obs"), "obs").agg(F.sum(F.floor("value"))).first()[0]
+    found = queries()["annotate_molecules"](spark, d)
+    assert found.count() == found.select("obs").distinct().count() == expected
