@@ -7,6 +7,7 @@ profiles (variables by categories, checked against ``PROFILE_ENTRIES``) sent alo
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -84,12 +85,14 @@ def annotate_projection(x: DataFrame, profiles: DataFrame, priors: DataFrame, me
     return E.normalize_result(w).filter("weight > 0")
 
 
-def annotate_ot(x: DataFrame, profiles: DataFrame, priors: DataFrame, epsilon: float = 5e-3, lamb: float | None = 0.1, metric: str = "h2", rounds: int = 200, decomposition: bool = False) -> DataFrame:
+def annotate_ot(x: DataFrame, profiles: DataFrame, priors: DataFrame, epsilon: float = 5e-3, lamb: float | None = 0.1, metric: str = "h2", rounds: int = 1000, decomposition: bool = False) -> DataFrame:
     """Semi-unbalanced entropic transport between observations (weighted by reads) and categories (by priors).
 
     The plan's rows belong to observations and its column scalings to categories, so an iteration is one pass over the packed
-    costs that returns, from each batch, a sum for each category; rows are never gathered. ``decomposition`` removes the
-    confusion of the profiles among each other afterwards."""
+    costs that returns, from each batch, a sum for each category; rows are never gathered. As categories are few, the
+    batches also return the derivative of the scalings' update, so that Newton steps, where they help, take the place of
+    most plain ones. It ends when the logarithms of the scalings move by less than 1e-9, with a warning if ``rounds`` passes
+    don't get there. ``decomposition`` removes the confusion of the profiles among each other afterwards."""
     p = profiles.select(F.col("category").alias("obs"), "var", F.col("p").alias("value"))
     cost = cdist(x, p, metric)
     top = cost.agg(F.max("distance")).first()[0] or 1.0
@@ -110,6 +113,7 @@ def annotate_ot(x: DataFrame, profiles: DataFrame, priors: DataFrame, epsilon: f
         u = np.log(pdf["a"].to_numpy()) - (np.log(np.exp(k - m).sum(1)) + m[:, 0])
         return k, u
 
+    before, plain = np.inf, None
     for _ in range(rounds):
 
         def columns(batches, v=v):
@@ -118,16 +122,29 @@ def annotate_ot(x: DataFrame, profiles: DataFrame, priors: DataFrame, epsilon: f
                     k, u = kernel(pdf, v)
                     z = u[:, None] + k - v
                     m = z.max(0)
-                    yield pd.DataFrame({"m": [m.tolist()], "s": [np.exp(z - m).sum(0).tolist()]})
+                    q = np.exp(z - m)
+                    own = np.exp(k - k.max(1, keepdims=True))
+                    own /= own.sum(1, keepdims=True)
+                    yield pd.DataFrame({"m": [m.tolist()], "s": [q.sum(0).tolist()], "g": [(q.T @ own).ravel().tolist()]})
 
-        parts = rows.mapInPandas(columns, "m array<double>, s array<double>").collect()
-        ms, ss = np.array([r["m"] for r in parts]), np.array([r["s"] for r in parts])
+        parts = rows.mapInPandas(columns, "m array<double>, s array<double>, g array<double>").collect()
+        ms, ss, gs = (np.array([r[n] for r in parts]) for n in "msg")
         m = ms.max(0)
-        new = fb * (np.log(np.maximum(b, 1e-300)) - (np.log((ss * np.exp(ms - m)).sum(0)) + m))
-        done = np.abs(new - v).max() < 1e-7 / epsilon * epsilon
-        v = new
-        if done:
+        share = np.exp(ms - m)
+        s = (ss * share).sum(0)
+        new = fb * (np.log(np.maximum(b, 1e-300)) - (np.log(s) + m))
+        move = np.abs(new - v).max()
+        if move < 1e-9:
+            v = new
             break
+        if plain is not None and move > before:  # the Newton step led away: back to the plain one
+            v, plain = plain, None
+            continue
+        slope = fb * (gs.reshape(len(parts), len(cat), len(cat)) * share[:, :, None]).sum(0) / s[:, None]
+        before, plain = move, new
+        v = v + np.linalg.lstsq(np.eye(len(cat)) - slope, new - v, rcond=None)[0]
+    else:
+        warnings.warn(f"transport: the scalings still moved by {move:.2g} after {rounds} rounds", stacklevel=2)
 
     def plan(batches):
         for pdf in batches:

@@ -222,7 +222,7 @@ def _(s, d):
 
 query("annotate_projection")(lambda s, d: N.annotate(*_halves(s, d), "projection"))
 query("annotate_nnls")(lambda s, d: N.annotate(*_halves(s, d), "nnls"))
-query("annotate_ot")(lambda s, d: N.annotate(*_halves(s, d), "OT", rounds=30))
+query("annotate_ot")(lambda s, d: N.annotate(*_halves(s, d), "OT"))
 query("annotate_svm")(lambda s, d: N.annotate(*_halves(s, d), "svm"))
 query("annotate_nmf")(lambda s, d: N.annotate(*_halves(s, d), "NMFreg", k=24, bound=2000))
 query("annotate_bisected")(lambda s, d: N.annotate(*_halves(s, d), "nnls", bisections=2))
