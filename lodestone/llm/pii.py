@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import unicodedata
 from math import exp, log
 
 import pandas as pd
@@ -26,7 +28,17 @@ KINDS = ("email", "phone", "identity_number", "street_address", "name")
 LONGEST = 160
 FEWEST = 6
 
-_UP, _LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
+
+
+def _letters(*kinds: str) -> str:
+    """The characters of Unicode categories, as ranges of a character class."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in kinds]
+    first = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    last = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(first, last))
+
+
+_UP, _LOW = _letters("Lu", "Lt"), _letters("Ll", "Mn")
 _CAP = rf"[{_UP}][{_LOW}'’]+"
 _WORD = rf"(?:{_CAP}|[{_UP}]{{2,}})"
 _PART = r"(?:(?:von|van|de la|dos|da|del|di|de|VON|VAN|DE LA|DOS|DA|DEL|DI|DE) )?"
@@ -90,14 +102,16 @@ def proposals(g: Grammar, line: str) -> list:
         if sum(c.isdigit() for c in text) < FEWEST:
             continue
         groups = [(x.start(), x.end()) for x in g.groups.finditer(text)]
-        for a in range(min(2, len(groups))):
-            for b in range(len(groups) - 1, max(a - 1, len(groups) - 4), -1):
+        for a in range(len(groups)):
+            for b in range(a, len(groups)):
                 s, e = groups[a][0], groups[b][1]
                 while s and text[s - 1] in "+(" and a == 0:
                     s -= 1
-                span = text[s:e]
+                span = text[s : min(e, s + LONGEST + 1)]
                 digits = sum(c.isdigit() for c in span)
-                if not FEWEST <= digits <= 16:
+                if digits > 16 or e - s > LONGEST:
+                    break  # as are all that end later
+                if digits < FEWEST:
                     continue
                 shape = g.shape.sub(lambda d: f"d{len(d[0])}", re.sub(r"[A-Z]", "A", span))
                 inner = "whole" if s == 0 and e == len(text) else "part"
@@ -125,10 +139,10 @@ def proposals(g: Grammar, line: str) -> list:
             first = line[parts[a][0] : parts[a][1]]
             # a particle before the first word may belong to the sentence
             for s in {parts[a][0], parts[a][1] - len(first.split(" ")[-1])}:
-                for b in range(a + 1, min(n, a + 4)):
+                for b in range(a + 1, n):
                     e = parts[b][1]
-                    if e - s > 80:
-                        continue
+                    if e - s > LONGEST:
+                        break
                     pattern, previous, cores = [], s, []
                     for x, y in ((s, parts[a][1]), *parts[a + 1 : b + 1]):
                         words = line[x:y].split(" ")
