@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.vectors import stack
+from lodestone.llm.vectors import DIMENSIONS, block, stack
 from lodestone.runtime import cut
 
 LEAVES = 384
@@ -113,8 +113,8 @@ def leaf_features(vectors: DataFrame, size: int) -> DataFrame:
     def grow(batches):
         tree = FeatureTree(size)
         for pdf in batches:
-            for at in range(0, len(pdf), 4096):
-                tree.insert(directions(stack(pdf["v"].iloc[at : at + 4096], size)))
+            for at in range(0, len(pdf), block(size)):
+                tree.insert(directions(stack(pdf["v"].iloc[at : at + block(size)], size)))
         yield _rows(*tree.features(), 0) if len(tree.n) else _rows(np.zeros(0), np.zeros((0, size)), np.zeros(0), 0)
 
     return vectors.select("v").mapInPandas(grow, SCHEMA).withColumn("g", F.spark_partition_id().cast("long"))
@@ -124,15 +124,15 @@ def centroids(vectors: DataFrame, size: int, k: int) -> np.ndarray:
     """At most k centroids, by falling size."""
     vectors = vectors.repartition(max(1, vectors.sparkSession.sparkContext.defaultParallelism), F.xxhash64("k"))
     leaves = cut(leaf_features(vectors, size))
-    parts = leaves.agg(F.max("g")).first()[0]
+    parts, fanout = leaves.agg(F.max("g")).first()[0], max(2, FANOUT * DIMENSIONS // max(size, DIMENSIONS))
     while parts:
 
         def reduce(pdf):
             s = np.frombuffer(b"".join(pdf["s"]), np.float64).reshape(len(pdf), size)
             return _rows(*ward(pdf["n"].to_numpy(), s, pdf["q"].to_numpy(), LEAVES), int(pdf["g"].iloc[0]))
 
-        leaves = cut(leaves.withColumn("g", F.floor(F.col("g") / FANOUT)).groupBy("g").applyInPandas(reduce, SCHEMA))
-        parts //= FANOUT
+        leaves = cut(leaves.withColumn("g", F.floor(F.col("g") / fanout)).groupBy("g").applyInPandas(reduce, SCHEMA))
+        parts //= fanout
     last = leaves.toPandas()
     if not len(last):
         return np.zeros((0, size))
@@ -150,8 +150,8 @@ def assign(vectors: DataFrame, size: int, k: int) -> DataFrame:
 
     def nearest(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 8192):
-                p = pdf.iloc[at : at + 8192]
+            for at in range(0, len(pdf), 2 * block(size)):
+                p = pdf.iloc[at : at + 2 * block(size)]
                 x = directions(stack(p["v"], size))
                 d = square - 2 * x @ c.T
                 to = d.argmin(1)

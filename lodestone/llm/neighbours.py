@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.vectors import stack, unit
+from lodestone.llm.vectors import DIMENSIONS, Units, folded, unit
 from lodestone.runtime import cut
 
 BITS = 64
@@ -68,9 +68,9 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
     spark = vec.sparkSession
 
     def partial(batches):
-        total, n = np.zeros(size), 0
+        total, n = np.zeros(min(size, DIMENSIONS)), 0
         for pdf in batches:
-            total += unit(stack(pdf["v"], size)).sum(0, dtype=np.float64)
+            total += unit(folded(pdf["v"], size)).sum(0, dtype=np.float64)
             n += len(pdf)
         yield pd.DataFrame({"s": [total.tolist()], "n": [n]})
 
@@ -98,7 +98,7 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
             for pdf in batches:
                 for at in range(0, len(pdf), 4096):
                     p = pdf.iloc[at : at + 4096]
-                    h = _hashes(stack(p["v"], size), mean, trees, seed)
+                    h = _hashes(folded(p["v"], size), mean, trees, seed)
                     out = pd.DataFrame({"tree": np.tile(np.arange(trees, dtype=np.int32), len(p)), "h": h.ravel(), "k": np.repeat(p["k"].to_numpy(), trees)})
                     if carry:
                         out["v"], out["x"] = np.repeat(p["v"].to_numpy(), trees), np.repeat(p["x"].to_numpy(), trees)
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
 
     def compare(batches):
         for part in whole(batches):
-            names, x = part["k"].to_numpy(), unit(stack(part["v"], size))
+            names, x = part["k"].to_numpy(), Units(part["v"], size)
             n, level = len(part), part["x"].to_numpy()
             shared = _shared(part["h"].to_numpy())
             lo, hi = np.zeros(n, int), np.full(n, n)
@@ -163,7 +163,7 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
                 for c in range(a, b, step):
                     d = min(b, c + step)
                     # a block compares all its rows with all its candidates
-                    sim = x[c:d] @ x[l:r].T
+                    sim = x.cosines(c, d, l, r)
                     sim[at == place[c:d, None]] = -2
                     best = np.argpartition(sim, r - l - top, axis=1)[:, r - l - top :]
                     s = np.take_along_axis(sim, best, 1)

@@ -1,7 +1,7 @@
-"""Rows of a long count matrix as dense vectors of a bounded number of dimensions.
+"""Rows of a long count matrix as vectors, each variable a dimension of its own.
 
-Up to ``DIMENSIONS`` variables are dimensions of their own; with more, variables share dimensions by signed hashing,
-which keeps cosines up to noise. Values that are null, NaN, infinite or not positive count as 0; of repeated
+Up to ``DIMENSIONS`` variables, a vector is kept as all of its values; with more, as the places and values of those that
+aren't 0. ``folded`` has variables share dimensions by signed hashing, for hash strings only. Values that are null, NaN, infinite or not positive count as 0; of repeated
 (observation, variable) rows the one with the latest version counts (the greatest value among equals). Observations
 without a positive value, or with a null name, have no vector.
 """
@@ -10,30 +10,38 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
 
 
 def dense(counts: DataFrame, obs: str = "obs", var: str = "var", value: str = "value", version: str | None = "load_id") -> tuple[DataFrame, int]:
-    """((k, v), dimensions): v holds the values as float32 bytes."""
+    """((k, v), dimensions): v holds the values as float32 bytes; beyond ``DIMENSIONS``, int32 places and then float32 values."""
     c = lambda n: F.col(f"`{n}`")
     rows = counts.select(c(obs).cast("string").alias("k"), c(var).cast("string").alias("d"), c(value).cast("double").alias("x"), (c(version) if version else F.lit(0)).alias("t"))
     rows = rows.filter(F.col("k").isNotNull() & F.col("d").isNotNull())
-    names = sorted(r[0] for r in rows.select("d").distinct().limit(DIMENSIONS + 1).collect())
-    spark, size = counts.sparkSession, min(len(names), DIMENSIONS)
+    distinct = rows.select("d").distinct()
+    names = sorted(r[0] for r in distinct.limit(DIMENSIONS + 1).collect())
+    spark, few = counts.sparkSession, len(names) <= DIMENSIONS
+    size = len(names) if few else distinct.count()
     once = rows.groupBy("k", "d").agg(F.max_by("x", F.struct("t", F.when(~F.isnan("x"), F.col("x")).alias("x"))).alias("x"))
     once = once.filter((F.col("x") > 0) & (F.col("x") < float("inf")))
-    if len(names) <= DIMENSIONS:
+    if few:
         table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "d string, i int")
         once = once.join(F.broadcast(table), "d")  # at most DIMENSIONS rows
     else:
-        once = once.withColumn("i", F.pmod(F.xxhash64("d"), F.lit(DIMENSIONS)).cast("int")).withColumn("x", F.col("x") * (1 - 2 * F.pmod(F.hash("d"), F.lit(2))))
+        once = once.join(distinct.withColumn("i", F.row_number().over(Window.orderBy("d")) - 1), "d")
     packed = once.groupBy("k").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("x").cast("float")).alias("x"))
+    if not few:
+        # in order of their places, so that equal vectors have equal bytes
+        packed = once.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("float").alias("x")))).alias("s")).select("k", F.col("s.i").alias("i"), F.col("s.x").alias("x"))
 
     def fill(batches):
         for pdf in batches:
+            if not few:
+                yield pd.DataFrame({"k": pdf["k"], "v": [np.asarray(i, np.int32).tobytes() + np.asarray(x, np.float32).tobytes() for i, x in zip(pdf["i"], pdf["x"])]})
+                continue
             out = np.zeros((len(pdf), size), np.float32)
             n = pdf["i"].map(len).to_numpy()
             if len(pdf):
@@ -43,8 +51,68 @@ def dense(counts: DataFrame, obs: str = "obs", var: str = "var", value: str = "v
     return packed.mapInPandas(fill, "k string, v binary"), size
 
 
+def block(size: int) -> int:
+    """Rows of that many values to hold at once."""
+    return max(16, 4096 * DIMENSIONS // max(size, DIMENSIONS))
+
+
+def sparse(column: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row starts, places, values) of vectors kept as places and values."""
+    n = np.array([len(v) // 8 for v in column], np.int64)
+    at = [np.frombuffer(v, np.int32, len(v) // 8) for v in column]
+    x = [np.frombuffer(v, np.float32, offset=len(v) // 2) for v in column]
+    return np.concatenate([[0], np.cumsum(n)]), np.concatenate([np.zeros(0, np.int32), *at]), np.concatenate([np.zeros(0, np.float32), *x])
+
+
 def stack(column: pd.Series, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), size)
+    if size <= DIMENSIONS:
+        return np.frombuffer(b"".join(column), np.float32).reshape(len(column), size)
+    start, at, x = sparse(column)
+    out = np.zeros((len(column), size), np.float32)
+    out[np.repeat(np.arange(len(column)), np.diff(start)), at] = x
+    return out
+
+
+def folded(column: pd.Series, size: int) -> np.ndarray:
+    """Vectors of at most ``DIMENSIONS`` dimensions, which variables share by signed hashing if there are more."""
+    if size <= DIMENSIONS:
+        return stack(column, size)
+    start, at, x = sparse(column)
+    h = (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.zeros((len(column), DIMENSIONS), np.float32)
+    sign = 1 - 2 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float32)
+    np.add.at(out, (np.repeat(np.arange(len(column)), np.diff(start)), ((h >> np.uint64(44)) % np.uint64(DIMENSIONS)).astype(np.int64)), x * sign)
+    return out
+
+
+class Units:
+    """Directions of vectors, for exact cosines among them."""
+
+    def __init__(self, column: pd.Series, size: int):
+        self.all = unit(stack(column, size)) if size <= DIMENSIONS else None
+        if self.all is None:
+            self.start, self.at, x = sparse(column)
+            row = np.repeat(np.arange(len(column)), np.diff(self.start))
+            norm = np.sqrt(np.bincount(row, x.astype(np.float64) ** 2, len(column)))
+            self.x = (x / np.maximum(norm, 1e-30)[row]).astype(np.float32)
+
+    def _part(self, a: int, b: int, variables: np.ndarray) -> np.ndarray:
+        """Rows a to b at some variables, in order."""
+        s = slice(self.start[a], self.start[b])
+        row, at, x = np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.at[s], self.x[s]
+        to = np.minimum(np.searchsorted(variables, at), len(variables) - 1)
+        known = variables[to] == at
+        out = np.zeros((b - a, len(variables)), np.float32)
+        out[row[known], to[known]] = x[known]
+        return out
+
+    def cosines(self, c: int, d: int, l: int, r: int) -> np.ndarray:
+        """Of rows c to d with rows l to r."""
+        if self.all is not None:
+            return self.all[c:d] @ self.all[l:r].T
+        variables = np.unique(self.at[self.start[c] : self.start[d]])
+        x, step = self._part(c, d, variables), block(len(variables))
+        return np.hstack([x @ self._part(k, min(r, k + step), variables).T for k in range(l, r, step)])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
