@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import nan, sqrt
 
 import numpy as np
@@ -14,16 +15,16 @@ from lodestone.functions.tests import fisher, mann_whitney, student_tail
 DIRECTIONS = ("enriched", "purified")
 
 
-def adjust(df: DataFrame, p: str, method: str = "fdr_bh", name: str = "p_adjusted") -> DataFrame:
-    """Adjusted p values over all rows (a table of tests; nulls stay null): bonferroni, holm, fdr_bh or fdr_by."""
+def adjust(df: DataFrame, p: str, method: str = "fdr_bh", name: str = "p_adjusted", by: Sequence[str] = ()) -> DataFrame:
+    """Adjusted p values over all rows, or those of equal ``by`` (a table of tests; nulls stay null): bonferroni, holm, fdr_bh or fdr_by."""
     tests = df.filter(F.col(p).isNotNull())
-    up = Window.orderBy(p)
-    ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    up = Window.partitionBy(*by).orderBy(p)
+    ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     v, r, n = F.col(p), F.col("_r"), F.col("_n")
-    down = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     one = F.lit(1.0)
-    harmonic = F.sum(1 / r).over(Window.partitionBy())
+    harmonic = F.sum(1 / r).over(Window.partitionBy(*by))
     q = {"bonferroni": F.least(one, v * n), "holm": F.least(one, F.max(v * (n - r + 1)).over(upto)), "fdr_bh": F.least(one, F.min(v * n / r).over(down)), "fdr_by": F.least(one, F.min(F.col("_h") * v * n / r).over(down))}[method]
     out = ranked.withColumn("_h", harmonic).withColumn(name, q).drop("_r", "_n", "_h")
     return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
@@ -126,7 +127,8 @@ def enrichment(samples: DataFrame, method: str = "mwu", p_corr: str = "fdr_bh",
 
 def over_representation(members: DataFrame, study: DataFrame, population: DataFrame, namespaces: DataFrame | None = None, alpha: float = 0.05, p_corr: str = "fdr_bh") -> DataFrame:
     """(term, a, n_term, p, p_adjusted): terms over-represented in study(gene) within population(gene), by Fisher's test;
-    members(gene, term). Corrected over all terms, or by namespace if namespaces(term, namespace) are given."""
+    members(gene, term). Corrected over all terms, or by namespace if namespaces(term, namespace) are given; terms
+    without a namespace, or with a null one, are corrected together."""
     pop = population.select("gene").distinct()
     inside = study.select("gene").distinct().join(pop, "gene", "left_semi").withColumn("hit", F.lit(1))
     totals = pop.join(inside, "gene", "left").agg(F.count("*").alias("n"), F.count("hit").alias("k"))
@@ -141,12 +143,8 @@ def over_representation(members: DataFrame, study: DataFrame, population: DataFr
     out = t.mapInPandas(tails, "term string, a long, n_term long, p double")
     if namespaces is None:
         return adjust(out, "p", p_corr).filter(F.col("p_adjusted") < alpha)
-    named = out.join(namespaces, "term")
-    parts = [adjust(named.filter(F.col("namespace") == r[0]), "p", p_corr) for r in namespaces.select("namespace").distinct().limit(100).collect()]
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
-    return result.filter(F.col("p_adjusted") < alpha)
+    named = out.join(namespaces.select("term", "namespace"), "term", "left")
+    return adjust(named, "p", p_corr, by=["namespace"]).filter(F.col("p_adjusted") < alpha)
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:

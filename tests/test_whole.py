@@ -12,6 +12,7 @@ from lodestone.operators.aggregate import category_priors, reference_profiles
 from lodestone.operators.similarity import cdist
 from lodestone.functions.transport import sinkhorn
 from lodestone.operators import annotate as N
+from lodestone.operators import stats as T
 from lodestone.plans.space import _halves, points
 
 
@@ -52,3 +53,12 @@ def test_transport_converges(spark):
             assert abs(got.get((o, c), 0.0) - want[i, j]) < 1e-6
     with pytest.warns(UserWarning, match="still moved"):
         N.annotate_ot(x, profiles, priors, rounds=2)
+
+
+def test_over_representation_of_many_namespaces(spark):
+    genes = spark.range(300).select(F.format_string("g%d", "id").alias("gene"))
+    members = spark.range(300).select(F.format_string("g%d", "id").alias("gene"), F.format_string("t%d", F.col("id") % 150).alias("term"))
+    namespaces = spark.range(149).select(F.format_string("t%d", "id").alias("term"), F.when(F.col("id") > 0, F.format_string("n%d", "id")).alias("namespace"))
+    got = T.over_representation(members, genes, genes, namespaces, alpha=1.1).collect()
+    assert {r["term"] for r in got} == {f"t{k}" for k in range(150)} and len(got) == 150
+    assert all(r["p_adjusted"] == pytest.approx(r["p"]) for r in got)
