@@ -108,30 +108,36 @@ def in_polygon(px, py, xs, ys):
 
 
 def cover(xs, ys, cell: float):
-    """Cells (ix, iy, sure) of a grid that a polygon touches; sure: the cell lies inside whole.
+    """Nodes (level, ix, iy, edges) of a quadtree that a polygon touches; a node at level k is 2**k cells wide. Nodes wholly
+    inside have no edges; others are cells, with (x1, y1, x2, y2) of the edges that a ray from a point in them to the right
+    may meet.
 
-    Descends from the bounding box by halves; a box that no edge touches is wholly inside or wholly outside.
+    Descends from the nodes over the bounding box; a node that no edge touches is wholly inside or wholly outside.
     """
     x1, y1, x2, y2 = edges(xs, ys)
-    side = 1
-    ix0, iy0 = int(np.floor(x1.min() / cell)), int(np.floor(y1.min() / cell))
-    while ix0 + side <= np.floor(x1.max() / cell) or iy0 + side <= np.floor(y1.max() / cell):
-        side *= 2
-    out, todo = [], [(ix0, iy0, side)]
+    level = 0
+    at = lambda v, k: int(np.floor(v / (cell * 2.0**k)))
+    while at(x1.max(), level) - at(x1.min(), level) > 1 or at(y1.max(), level) - at(y1.min(), level) > 1:
+        level += 1
+    todo = [(level, ix, iy) for ix in range(at(x1.min(), level), at(x1.max(), level) + 1) for iy in range(at(y1.min(), level), at(y1.max(), level) + 1)]
+    left, right, low, high = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
+    margin = 1e-9 * max(1.0, float(np.abs(x1).max()))
     while todo:
-        ix, iy, s = todo.pop()
-        lx, ly, hx, hy = ix * cell, iy * cell, (ix + s) * cell, (iy + s) * cell
-        near = (np.maximum(x1, x2) >= lx) & (np.minimum(x1, x2) <= hx) & (np.maximum(y1, y2) >= ly) & (np.minimum(y1, y2) <= hy)
+        level, ix, iy = todo.pop()
+        s = cell * 2.0**level
+        lx, ly, hx, hy = ix * s, iy * s, (ix + 1) * s, (iy + 1) * s
+        # rounding may put a point a little outside of its cell
+        near = (right >= lx - margin) & (left <= hx + margin) & (high >= ly - margin) & (low <= hy + margin)
         if near.any():
-            # an edge passes the box unless all four corners are on one side of its line
+            # an edge passes the node unless all four corners are clearly on one side of its line
             side_of = np.stack([(x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1) for cx in (lx, hx) for cy in (ly, hy)])
-            near &= ~((side_of > 0).all(0) | (side_of < 0).all(0))
+            slack = margin * (np.abs(x2 - x1) + np.abs(y2 - y1))
+            near &= ~((side_of > slack).all(0) | (side_of < -slack).all(0))
         if near.any():
-            if s == 1:
-                out.append((ix, iy, False))
+            if level == 0:
+                ray = (high >= ly - margin) & (low <= hy + margin) & (right >= lx - margin)
+                yield level, ix, iy, (x1[ray], y1[ray], x2[ray], y2[ray])
             else:
-                h = s // 2
-                todo += [(ix, iy, h), (ix + h, iy, h), (ix, iy + h, h), (ix + h, iy + h, h)]
+                todo += [(level - 1, 2 * ix + i, 2 * iy + j) for i in (0, 1) for j in (0, 1)]
         elif in_polygon([(lx + hx) / 2], [(ly + hy) / 2], xs, ys)[0]:
-            out += [(ix + i, iy + j, True) for i in range(s) for j in range(s)]
-    return out
+            yield level, ix, iy, None

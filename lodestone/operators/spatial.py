@@ -50,11 +50,9 @@ def dense_distances(a: DataFrame, b: DataFrame, columns: Sequence[str] = ("x", "
 
 def sparse_distances(points: DataFrame, radius: float, groups: Sequence[str] = ()) -> DataFrame:
     """(i, j, distance), both ways, of different points at 0 < distance <= radius."""
-    pairs = near_pairs(points, radius, groups=groups)
-    at = lambda n, k: points.select(F.col("obs").alias(n), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    d = pairs.join(at("key_a", 0), "key_a").join(at("key_b", 1), "key_b").select("key_a", "key_b", F.hypot(F.col("x0") - F.col("x1"), F.col("y0") - F.col("y1")).alias("distance"))
-    d = d.filter("distance > 0")
-    return d.select(F.col("key_a").alias("i"), F.col("key_b").alias("j"), "distance").union(d.select("key_b", "key_a", "distance"))
+    d = near_pairs(points, radius, groups=groups).filter("distance > 0")
+    way = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "distance")
+    return d.select(F.inline(F.array(way("key_a", "key_b"), way("key_b", "key_a"))))
 
 
 def with_annotation(distances: DataFrame, weights: DataFrame, annotation: float | str, scale: float = 1.0) -> DataFrame:
