@@ -112,14 +112,23 @@ def tiled(points: DataFrame, radius: float, search, schema: str, tile_points: in
     squares = max(partitions(spark), points.count() // SQUARE)
 
     def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame(columns=[*where, "sx", "sy", "n", "tile", "own", "sl", "sr"])]
-        for (_, _, sx, sy), p in pdf.groupby(["g1", "g2", "sx", "sy"], sort=False):
-            x, y, n, m = (p[c].to_numpy(np.int64) for c in ("cx", "cy", "n", "m"))
-            own = (x // side == sx) & (y // side == sy)
-            if own.any() and n[own].any() and m.any():
-                t = _tiles(x - sx * side, y - sy * side, n, m, own, tile_points)
-                parts.append(p[[*where, "sx", "sy"]].assign(n=n + m).iloc[t.pop("cell")].assign(**t))
-        return pd.concat(parts[min(1, len(parts) - 1) :])
+        square, n, m = pdf.groupby(["g1", "g2", "sx", "sy"], sort=False).ngroup().to_numpy(), pdf["n"].to_numpy(np.int64), pdf["m"].to_numpy(np.int64)
+        x, y = (pdf[c].to_numpy(np.int64) - pdf[s].to_numpy(np.int64) * side for c, s in (("cx", "sx"), ("cy", "sy")))
+        own = (x >= 0) & (x < side) & (y >= 0) & (y < side)
+        left, right, all_right = (np.bincount(square, c) for c in (n * own, m * own, m))
+        live = (left > 0) & (all_right > 0)
+        # a square of few points is one tile, which meets all of the cells around it
+        small = live & (np.maximum(left, right) <= tile_points)
+        whole = small[square]
+        blocks = np.maximum(1, -(-all_right // tile_points)).astype(np.int32)
+        keep = pdf[[*where, "sx", "sy"]].assign(n=n + m)
+        parts = [keep[whole].assign(tile=0, own=own[whole], sl=1, sr=blocks[square[whole]])]
+        order = np.argsort(square, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(square[order])) + 1):
+            if live[square[at[0]]] and not small[square[at[0]]]:
+                t = _tiles(x[at], y[at], n[at], m[at], own[at], tile_points)
+                parts.append(keep.iloc[at[t.pop("cell")]].assign(**t))
+        return pd.concat(parts)
 
     laid = halo.groupBy(F.pmod(F.xxhash64("g1", "g2", "sx", "sy"), F.lit(squares)).alias("square"))
     role = cut(laid.applyInPandas(lay, "g1 long, g2 long, cx long, cy long, sx long, sy long, n long, tile int, own boolean, sl int, sr int"))
