@@ -46,6 +46,24 @@ def fit_marginals(x: np.ndarray, u: np.ndarray, v: np.ndarray, delta: float = 1e
     return a[:, None] * x * b
 
 
+def fit_rows(m: np.ndarray, u: np.ndarray, v: np.ndarray, delta: float = 1e-5, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Scalings a, b for many problems that share the matrix m: a[r, i] m[i, j] b[r, j] has row sums u[r] and column sums v[r].
+    As ``fit_marginals`` where u and v are positive; a problem stops changing once its own scalings settle."""
+    a, b = np.ones_like(u), np.where(v > 0, 1.0, 0.0)
+    todo = np.arange(len(u))
+    for n in range(rounds):
+        before = a[todo], b[todo]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a[todo] = np.nan_to_num(u[todo] / (b[todo] @ m.T), posinf=0)
+            b[todo] = np.nan_to_num(v[todo] / (a[todo] @ m), posinf=0)
+            change = np.max([np.abs(np.nan_to_num(p / q - 1, posinf=0, neginf=0)).max(1, initial=0) for p, q in ((a[todo], before[0]), (b[todo], before[1]))], axis=0)
+        if n >= 2:
+            todo = todo[change >= delta]
+        if not len(todo):
+            break
+    return a, b
+
+
 def minimal_transitions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least mass that must move from each entry of distribution a to each of b: what stays stays, the excess goes to the
     entries that lack, in proportion."""

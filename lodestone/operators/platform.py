@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.elementwise import complete_choice, scale
+from lodestone.operators.packed import ENTRIES
 
 
 def rescaling_factors(a: np.ndarray, b: np.ndarray, reg_a: float = 0.0, reg_b: float = 0.0, tol: float = 1e-10, rounds: int = 2000) -> np.ndarray:
@@ -31,17 +32,23 @@ def rescaling_factors(a: np.ndarray, b: np.ndarray, reg_a: float = 0.0, reg_b: f
 
 
 def normalize_platform(x: DataFrame, labels: DataFrame | None, other: DataFrame, weights: DataFrame | None = None, return_factors: bool = False) -> DataFrame:
-    """x with variables rescaled to the platform of ``other``: from reads by label of x and by soft label of other; without
+    """x with variables rescaled to the platform of ``other``: from reads by (hard or soft) label of both; without
     labels on either side from total reads. Variables that either side lacks get factor 0."""
+
     def reads(m, w):
         if w is None:
             return m.groupBy("var").agg(F.sum("value").alias("s")).withColumn("category", F.lit("all"))
+        w = w if "weight" in w.columns else w.withColumn("weight", F.lit(1.0))
         return m.join(w, "obs").groupBy("var", "category").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
 
     both = labels is not None and weights is not None
-    a = reads(x, labels.withColumn("weight", F.lit(1.0)) if both else None)
+    a = reads(x, labels if both else None)
     b = reads(other, weights if both else None).withColumnRenamed("s", "t")
-    table = a.join(b, ["var", "category"]).toPandas()  # categories by variables: the size of a profile matrix
+    table = a.join(b, ["var", "category"])
+    n = table.count()
+    if n > ENTRIES:
+        raise ValueError(f"{n} reads by variable and category; at most {ENTRIES} are fitted at once")
+    table = table.toPandas()
     var, cat = sorted(set(table["var"])), sorted(set(table["category"]))
     pa, pb = np.zeros((len(cat), len(var))), np.zeros((len(cat), len(var)))
     i, j = table["category"].map({c: k for k, c in enumerate(cat)}), table["var"].map({v: k for k, v in enumerate(var)})

@@ -18,11 +18,12 @@ def counts_validity(x: DataFrame, delta: float = 1e-4) -> DataFrame:
     return out.withColumn("valid", (F.col("negative") == 0) & (F.col("fractional") == 0))
 
 
-def filter_fixpoint(frames: list[DataFrame], min_counts_per_gene: float | None = None, min_counts_per_cell: float | None = None, min_cells_per_gene: int | None = None, min_genes_per_cell: int | None = None, remove_constant_genes: bool = True, remove_zero_cells: bool = True, rounds: int = 100) -> list[DataFrame]:
+def filter_fixpoint(frames: list[DataFrame], min_counts_per_gene: float | None = None, min_counts_per_cell: float | None = None, min_cells_per_gene: int | None = None, min_genes_per_cell: int | None = None, remove_constant_genes: bool = True, remove_zero_cells: bool = True) -> list[DataFrame]:
     """Matrices with the variables that pass in all of them and the observations that pass in each, filtered in turns until
-    nothing changes. A variable is constant if all observations (zeros included) have one value."""
+    nothing changes. A variable is constant if all observations (zeros included) have one value; that is not
+    asked of a matrix with one observation."""
     frames = [cut(f.filter("value <> 0").select("obs", "var", "value")) for f in frames]
-    for _ in range(rounds):
+    while True:  # every round but the last removes entries
         good = None
         for f in frames:
             n_obs = f.select("obs").distinct().count()
@@ -32,7 +33,7 @@ def filter_fixpoint(frames: list[DataFrame], min_counts_per_gene: float | None =
                 ok &= F.col("s") >= min_counts_per_gene
             if min_cells_per_gene is not None:
                 ok &= F.col("n") >= min_cells_per_gene
-            if remove_constant_genes:
+            if remove_constant_genes and n_obs > 1:
                 ok &= (F.col("n") < n_obs) | (F.col("lo") < F.col("hi"))
             names = stats.filter(ok).select("var")
             good = names if good is None else good.join(names, "var", "left_semi")
@@ -50,20 +51,21 @@ def filter_fixpoint(frames: list[DataFrame], min_counts_per_gene: float | None =
         if [a.count() for a in new] == [b.count() for b in frames]:
             return new
         frames = new
-    return frames
 
 
-def filter_reference_genes(x: DataFrame, labels: DataFrame, min_log2foldchange: float = 1.0, min_expression: float = 1e-5, remove_prefix: str | None = None) -> DataFrame:
+def filter_reference_genes(x: DataFrame, labels: DataFrame, min_log2foldchange: float | None = 1.0, min_expression: float | None = 1e-5, remove_prefix: str | None = None) -> DataFrame:
     """(var): variables whose profile in some category exceeds the mean of the other categories' profiles by the fold
-    change, and which reach ``min_expression`` somewhere; optionally none whose name begins with a prefix in any case."""
+    change, and which reach ``min_expression`` somewhere (None: any); optionally none whose name begins with a prefix in any case."""
     p = reference_profiles(x, labels)
     cats = labels.filter("category is not null").select("category").distinct()
     grid = p.select("var").distinct().crossJoin(F.broadcast(cats)).join(p, ["var", "category"], "left").fillna(0.0, ["p"])
     w = Window.partitionBy("var")
     e = F.col("p") + 1e-30
     total, k = F.sum(e).over(w), F.count("*").over(w)
-    up = F.log(F.try_divide(e, F.try_divide(total - e, k - 1))) >= log(2) * min_log2foldchange
-    good = grid.withColumn("up", up).groupBy("var").agg(F.bool_or("up").alias("up"), F.max("p").alias("most")).filter((F.col("up")) & (F.col("most") >= min_expression))
+    up = F.lit(True) if min_log2foldchange is None else F.log(F.try_divide(e, F.try_divide(total - e, k - 1))) >= log(2) * min_log2foldchange
+    good = grid.withColumn("up", up).groupBy("var").agg(F.bool_or("up").alias("up"), F.max("p").alias("most")).filter("up")
+    if min_expression is not None:
+        good = good.filter(F.col("most") >= min_expression)
     if remove_prefix:
         good = good.filter(~F.startswith(F.lower("var"), F.lit(remove_prefix.lower())))
     return good.select("var")

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.transport import fit_marginals
-from lodestone.operators import elementwise as E
+from lodestone.functions.transport import fit_rows
 from lodestone.operators.annotate import profile_matrix
-
-SCHEMA = "obs string, category string, var string, value double"
+from lodestone.operators.packed import Rows, kind, packed, per_block
 
 
 def split_exact(x: DataFrame, weights: DataFrame, profiles: DataFrame, min_counts: float | None = None, seed: int | None = 0, delta: float = 1e-5) -> DataFrame:
@@ -23,45 +22,64 @@ def split_exact(x: DataFrame, weights: DataFrame, profiles: DataFrame, min_count
     m, var, cat = profile_matrix(profiles)
     m = m + 1e-3 / len(var)
     m = m / m.sum(0)
-    at, where = {v: i for i, v in enumerate(var)}, {c: i for i, c in enumerate(cat)}
-    w = E.normalise(weights.filter("weight > 0"), "obs", "weight").groupBy("obs").agg(F.collect_list("category").alias("c"), F.collect_list("weight").alias("w"))
-    rows = x.filter("value > 0").groupBy("obs").agg(F.collect_list("var").alias("v"), F.collect_list("value").alias("x")).join(w, "obs")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for o, vs, xs, cs, ws in zip(pdf["obs"], pdf["v"], pdf["x"], pdf["c"], pdf["w"]):
-                keep = [k for k, v in enumerate(vs) if v in at]
-                kc = [k for k, c in enumerate(cs) if c in where]
-                if not keep or not kc:
-                    continue
-                counts, names = np.array([xs[k] for k in keep], float), [vs[k] for k in keep]
-                share, cats = np.array([ws[k] for k in kc], float), [cs[k] for k in kc]
-                order = np.argsort(names)
-                counts, names = counts[order], [names[k] for k in order]
-                total = counts.sum()
-                if min_counts is not None:
-                    good = share * total >= min_counts
-                    good[share.argmax()] = True
-                    share, cats = share[good], [c for c, g in zip(cats, good) if g]
-                share = share / share.sum()
-                part = fit_marginals(m[np.ix_([at[v] for v in names], [where[c] for c in cats])], counts, share * total, delta)
-                # the rows are exact whatever the fit
-                sums = part.sum(1, keepdims=True)
-                part = np.where(sums > 0, part / np.where(sums > 0, sums, 1), 1 / len(cats)) * counts[:, None]
-                if seed is not None and np.allclose(counts, np.round(counts)):
-                    whole = np.floor(part + 1e-9)
-                    rest = np.round(counts - whole.sum(1)).astype(int)
-                    rng = np.random.default_rng([seed, *o.encode()])
-                    for r in np.flatnonzero(rest):
-                        f = np.maximum(part[r] - whole[r], 0)
-                        whole[r] += rng.multinomial(rest[r], f / f.sum() if f.sum() > 0 else np.full(len(f), 1 / len(f)))
-                    part = whole
-                i, j = np.nonzero(part > 0)
-                out += [(o, cats[b], names[a], part[a, b]) for a, b in zip(i, j)]
-            yield pd.DataFrame(out, columns=["obs", "category", "var", "value"])
-
-    return rows.mapInPandas(run, SCHEMA)
+    known = weights.filter("weight > 0 and category is not null").filter(F.col("category").isin(cat)) if len(cat) <= 1000 else weights.filter("weight > 0")
+    w = known.groupBy("obs").agg(F.collect_list("category").alias("c"), F.collect_list("weight").alias("w"))
+    rows = packed(x.filter("value > 0"), var).join(w, "obs")
+    names = pa.array(cat, pa.string())
+
+    def run(r: Rows) -> pa.RecordBatch:
+        n = len(r.names)
+        size = r.batch.column("c").value_lengths().to_numpy()
+        place = pc.index_in(r.batch.column("c").flatten(), names).to_numpy(zero_copy_only=False)
+        row, value = np.repeat(np.arange(n), size), r.batch.column("w").flatten().to_numpy()
+        fine = ~np.isnan(place.astype(float))
+        share = np.zeros((n, len(cat)))
+        np.add.at(share, (row[fine], place[fine].astype(int)), value[fine])
+        counts = r.block
+        total = counts.sum(1, keepdims=True)
+        share = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+        if min_counts is not None:
+            good = share * total >= min_counts
+            good[np.arange(n), share.argmax(1)] = True
+            share = share * good
+            share = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+        a, b = fit_rows(m, counts, share * total, delta)
+        out = []
+        for at in range(0, n, max(1, 2_000_000 // max(1, len(var)))):
+            part = slice(at, at + max(1, 2_000_000 // max(1, len(var))))
+            i, j = np.nonzero(counts[part])
+            i = i + at
+            values = a[i, j][:, None] * m[j] * b[i]
+            # the rows are exact whatever the fit
+            sums = values.sum(1, keepdims=True)
+            ways = share[i] > 0
+            values = np.where(sums > 0, values / np.where(sums > 0, sums, 1), ways / np.maximum(ways.sum(1, keepdims=True), 1)) * counts[i, j][:, None]
+            if seed is not None:
+                values = _whole(values, counts[i, j], i, r.names, seed)
+            e, k = np.nonzero(values > 0)
+            out.append((i[e], k, j[e], values[e, k]))
+        i, k, j, values = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3 + (np.zeros(0),)
+        return pa.RecordBatch.from_arrays([r.names.take(pa.array(i)), names.take(pa.array(k)), pa.array(var, pa.string()).take(pa.array(j)), pa.array(values)], names=["obs", "category", "var", "value"])
+
+    return per_block(rows, len(var), run, f"obs {kind(x)}, category string, var string, value double")
+
+
+def _whole(values: np.ndarray, counts: np.ndarray, row: np.ndarray, names: pa.Array, seed: int) -> np.ndarray:
+    """Floors of the values, and the remaining reads drawn by the fractions, from a generator for each observation; observations
+    whose counts aren't whole stay as they are."""
+    out = values.copy()
+    edge = np.flatnonzero(np.diff(row, prepend=-1, append=-1))
+    for s, t in zip(edge[:-1], edge[1:]):
+        n = counts[s:t]
+        if not np.allclose(n, np.round(n)):
+            continue
+        whole = np.floor(values[s:t] + 1e-9)
+        rest = np.round(n - whole.sum(1)).astype(int)
+        f = np.maximum(values[s:t] - whole, 0)
+        f = np.where(f.sum(1, keepdims=True) > 0, f, values[s:t] > 0)
+        rng = np.random.default_rng([seed, *str(names[int(row[s])].as_py()).encode()])
+        out[s:t] = whole + rng.multinomial(np.maximum(rest, 0), f / f.sum(1, keepdims=True))
+    return out
 
 
 def reconstruct(x: DataFrame, weights: DataFrame, profiles: DataFrame, mapping: DataFrame | None = None, min_counts: float | None = None, bulk: bool = False) -> DataFrame:

@@ -217,14 +217,17 @@ a AS (SELECT obs, var, value / sum(value) OVER (PARTITION BY obs) AS p FROM x WH
 b AS (SELECT obs, category, sum(sqrt(p * q)) ^ 2 AS s FROM a JOIN q ON q.var = a.var GROUP BY 1, 2)
 SELECT obs, category, round(s / sum(s) OVER (PARTITION BY obs), 5) AS weight FROM b""")
 def _(s, d):
-    return rounded(N.annotate(*_halves(s, d), "projection", deconvolution=False), 5)
+    return rounded(N.annotate(*_halves(s, d), "projection", deconvolution=False, platform_iterations=-1), 5)
 
 
 query("annotate_projection")(lambda s, d: N.annotate(*_halves(s, d), "projection"))
 query("annotate_nnls")(lambda s, d: N.annotate(*_halves(s, d), "nnls"))
-query("annotate_ot")(lambda s, d: N.annotate(*_halves(s, d), "OT"))
+query("annotate_ot")(lambda s, d: N.annotate(*_halves(s, d), "OT", bisections=0, platform_iterations=-1))
+query("annotate_ot_default")(lambda s, d: N.annotate(*_halves(s, d)))
 query("annotate_svm")(lambda s, d: N.annotate(*_halves(s, d), "svm"))
-query("annotate_nmf")(lambda s, d: N.annotate(*_halves(s, d), "NMFreg", k=24, bound=2000))
+query("annotate_nmf")(lambda s, d: N.annotate(*_halves(s, d), "NMFreg"))
+query("annotate_wot")(lambda s, d: N.annotate(*_halves(s, d), "WOT"))
+query("annotate_novosparc")(lambda s, d: N.annotate(*_halves(s, d), "novosparc"))
 query("annotate_bisected")(lambda s, d: N.annotate(*_halves(s, d), "nnls", bisections=2))
 query("annotate_multi_center")(lambda s, d: N.annotate(*_halves(s, d), "nnls", multi_centers=3))
 query("annotate_platform")(lambda s, d: N.annotate(*_halves(s, d), "nnls", platform_iterations=0, max_annotation=2))

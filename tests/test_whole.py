@@ -20,7 +20,7 @@ def test_sub_clusters_of_all_observations(spark):
     rows = [(f"o{i}", f"g{j}", float(10 * (j // 2 == i % 2) + 1 + (i * j) % 3)) for i in range(60) for j in range(4)]
     reference = spark.createDataFrame(rows, "obs string, var string, value double")
     labels = spark.createDataFrame([(f"o{i}", "A") for i in range(60)], "obs string, category string")
-    subs = {r["obs"]: r["sub"] for r in N.multi_center(labels, reference, 2, bound=20).collect()}
+    subs = {r["obs"]: r["sub"] for r in N.multi_center(labels, reference, 2, seeds=20).collect()}
     assert len(subs) == 60  # not only the 20 that centres come from
     assert len({subs[f"o{i}"] for i in range(0, 60, 2)}) == len({subs[f"o{i}"] for i in range(1, 60, 2)}) == 1
     assert subs["o0"] != subs["o1"]
