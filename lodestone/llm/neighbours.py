@@ -1,83 +1,170 @@
 """The most similar vectors of every vector, by cosine, from a hash-prefix forest.
 
-Each of ``trees`` trees is one array of 64-bit hash strings (signs of random projections of the centred directions),
-sorted and cut into ranges. A vector descends in every tree to its longest prefix match, its place in the array.
-It then ascends in all trees in step: the prefix length falls by one in all of them until the candidates that
-share that prefix number ``candidates`` in the trees together. Exact cosines are computed in blocks of neighbouring
-places, each with all candidates of the block, at most ``candidates`` to either side of the place in a tree, so that a
-crowd of equal hashes costs no more than others.
+Each tree is an array of hash strings, sorted. A string's symbols come from random rotations of the centred direction: the
+axis it is closest to, and on which side; the first symbol of all dimensions (up to ``WIDE``), later ones of ``NARROW``. A
+vector descends in every tree to the entries that share the longest prefix with it, and ascends in all trees in step, one
+symbol at a time, until the entries that share the prefix number ``candidates`` in the trees together, or one symbol is left.
+Only names and hash strings take part in this. Vectors are then sent once to each of their groups, where exact cosines
+are computed: a group of more than ``BLOCK`` is compared block by block, so nothing is clipped, and a vector that finds
+k candidates in none of the trees is compared with all vectors. ``exact`` gives the result by comparing all with all.
+
+The number of trees and of candidates follow from the number n of vectors: with few, neighbours are further away and need
+more trees; with many, prefixes are longer and need more again. The share of n that is compared falls as n grows.
 
 Exact copies: of more than k + 1 equal vectors, the k + 1 smallest names stand for all in the forest; the neighbours
 of the others are the k smallest names of their copies, at similarity 1, which is exact, ties going to smaller names.
 
 Defined results: see ``vectors.dense`` for null, missing and repeated rows. Fewer than two vectors give no rows. Ties
-go to the smaller name. The result is approximate in that a vector sharing no prefix of the final length in any tree is
-missed; README.md has the recall measured against brute force.
+go to the smaller name. The result is approximate in that a vector in none of the groups is missed; README.md has the
+recall measured against brute force.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.vectors import DIMENSIONS, Units, folded, unit
-from lodestone.runtime import cut
+from lodestone.runtime import cut, partitions
 
-BITS = 64
 SALTS = 64
-#: Rows of a tree in one task.
-ROWS = 60_000
-#: Similarities held at once.
-CELLS = 2_000_000
-
-
-def _hashes(x: np.ndarray, mean: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """Sortable signed 64-bit hash strings, one column for each tree."""
-    r = np.random.default_rng(seed).standard_normal((x.shape[1], trees * BITS)).astype(np.float32)
-    bits = ((unit(x) - mean) @ r) > 0
-    words = np.packbits(bits.reshape(len(x), trees, BITS), axis=2).reshape(len(x), trees, 8)
-    h = np.ascontiguousarray(words).view(">u8")[:, :, 0].astype(np.uint64)
-    return (h ^ np.uint64(1 << 63)).view(np.int64)
-
-
-def _shared(h: np.ndarray) -> np.ndarray:
-    """Prefix length that each entry of a sorted array shares with the next."""
-    x = h[1:].view(np.uint64) ^ h[:-1].view(np.uint64)
-    out, todo = np.full(len(x), BITS, np.int16), x != 0
-    high = (x >> np.uint64(32)).astype(np.uint64)
-    top = np.where(high > 0, high, x & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    length = np.frexp(top)[1] + np.where(high > 0, 32, 0)
-    out[todo] = BITS - length[todo]
-    return out
-
-
-def _runs(shared: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last-plus-one place of the entries that share ``level`` bits with each entry."""
-    n = len(shared) + 1
-    breaks = np.flatnonzero(shared < level) + 1
-    start, stop = np.concatenate([[0], breaks]), np.concatenate([breaks, [n]])
-    size = stop - start
-    return np.repeat(start, size), np.repeat(stop, size)
-
-
-def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidates: int = 40960, seed: int = 7) -> DataFrame:
-    """(k, neighbour, similarity): the k most similar vectors of each vector of (k, v), rank from 1 in ``rank``."""
-    vec = cut(vectors)
-    spark = vec.sparkSession
+#: Dimensions of the first symbol and of later ones, number of later ones, bits of each.
+WIDE, NARROW, LATER = 96, 8, 8
+BITS = (8, 4)
+#: Vectors of a group that are compared at once; similarities held at once.
+BLOCK, CELLS = 8192, 4_000_000
+PAIR = "array<struct<s:float,n:string>>"
+
+
+def trees_for(n: int) -> int:
+    return int(np.ceil(max(16, 34 * (3000 / max(n, 1000)) ** 0.15, 16 * (n / 300_000) ** 0.3)))
+
+
+def candidates_for(n: int) -> int:
+    return int(np.ceil(3 * max(n, 1) ** 0.7))
+
+
+class Hashes:
+    """Hash strings as integers that sort like them."""
+
+    def __init__(self, size: int, mean: np.ndarray, trees: int, seed: int):
+        d = min(size, DIMENSIONS)
+        rng = np.random.default_rng(seed)
+        self.size, self.mean, self.trees = size, mean, trees
+        # many dimensions come down to a few hundred by one random projection
+        self.down = rng.standard_normal((d, 256)).astype(np.float32) / 16 if d > 256 else None
+        d = min(d, 256)
+        self.wide, self.narrow = min(d, WIDE), min(d, NARROW)
+        self.turn = []
+        for _ in range(trees):
+            q = [np.linalg.qr(rng.standard_normal((d, d)))[0][:, : self.wide]]
+            q += [np.linalg.qr(rng.standard_normal((d, self.narrow)))[0] for _ in range(LATER)]
+            self.turn.append(np.hstack(q).astype(np.float32))
+
+    def __call__(self, column: pd.Series) -> np.ndarray:
+        x = unit(folded(column, self.size)) - self.mean
+        x = x @ self.down if self.down is not None else x
+        out = np.zeros((len(x), self.trees), np.int64)
+        row = np.arange(len(x))
+        for t, turn in enumerate(self.turn):
+            y = x @ turn
+            at = 0
+            for width, bits in [(self.wide, BITS[0]), *[(self.narrow, BITS[1])] * LATER]:
+                part = y[:, at : at + width]
+                axis = np.abs(part).argmax(1)
+                out[:, t] = (out[:, t] << bits) | (2 * axis + (part[row, axis] > 0))
+                at += width
+        return out
+
+
+def _prefix(h: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    """The first ``level`` symbols."""
+    return h >> (BITS[1] * (LATER + 1 - level))
+
+
+def _moments(vec: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """(number, mean direction), added up by dimension."""
 
     def partial(batches):
         total, n = np.zeros(min(size, DIMENSIONS)), 0
         for pdf in batches:
             total += unit(folded(pdf["v"], size)).sum(0, dtype=np.float64)
             n += len(pdf)
-        yield pd.DataFrame({"s": [total.tolist()], "n": [n]})
-
-    sums = vec.mapInPandas(partial, "s array<double>, n long").collect()
-    n = sum(r["n"] for r in sums)
-    mean = (np.sum([r["s"] for r in sums], axis=0) / max(n, 1)).astype(np.float32)
-    parts = int(max(spark.sparkContext.defaultParallelism, -(-n * trees // ROWS)))
+        yield pd.DataFrame({"i": np.arange(-1, len(total)), "s": np.concatenate([[n], total])})
+
+    rows = vec.mapInPandas(partial, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()  # one row a dimension
+    s = {r["i"]: r["s"] for r in rows}
+    n = int(s.get(-1, 0))
+    return n, (np.array([s[i] for i in range(min(size, DIMENSIONS))]) / max(n, 1)).astype(np.float32) if n else np.zeros(min(size, DIMENSIONS), np.float32)
+
+
+def _best(x: Units, names: pa.Array, asks: np.ndarray, member: np.ndarray, group: np.ndarray, k: int) -> pa.Table:
+    """(k, c): for each asker of each group, its k best members but for itself."""
+    code = names.dictionary_encode().indices.to_numpy()
+    order = np.argsort(group, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]]))
+    askers, near, sims, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
+    for a, b in zip(edge[:-1], edge[1:]):
+        part = order[a:b]
+        queries, members = part[asks[part]], part[member[part]]
+        if not len(queries) or not len(members):
+            continue
+        top, step = min(k, len(members)), max(16, CELLS // len(members))
+        for at in range(0, len(queries), step):
+            q = queries[at : at + step]
+            sim = x.of(q, members)
+            sim[code[q][:, None] == code[members]] = -2
+            best = np.argpartition(sim, len(members) - top, axis=1)[:, len(members) - top :]
+            askers.append(q)
+            near.append(members[best].ravel())
+            sims.append(np.take_along_axis(sim, best, 1).ravel())
+            ends.append(np.full(len(q), top))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(ends))]).astype(np.int32)
+    c = pa.StructArray.from_arrays([pa.array(np.concatenate(sims).astype(np.float32)), names.take(pa.array(np.concatenate(near)))], names=["s", "n"])
+    return pa.table({"k": names.take(pa.array(np.concatenate(askers))), "c": pa.ListArray.from_arrays(pa.array(ends), c)})
+
+
+def _column(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _lists(found: DataFrame, k: int) -> DataFrame:
+    """(k, neighbour, similarity, rank) of rows (k, c) with lists of neighbours; each neighbour once, ties to the smaller name."""
+    near = found.groupBy("k").agg(F.flatten(F.collect_list("c")).alias("c"))
+    near = near.select("k", F.array_sort(F.transform(F.filter("c", lambda e: e["s"] > -2), lambda e: F.struct((-F.round(e["s"].cast("double"), 6)).alias("d"), e["n"].alias("n")))).alias("c")).withColumn("names", F.transform("c", lambda e: e["n"]))
+    once = F.slice(F.filter("c", lambda e, i: F.array_position("names", e["n"]) == i + 1), 1, k)
+    out = near.select("k", F.posexplode(once).alias("rank", "c"))
+    return out.select("k", F.col("c.n").alias("neighbour"), F.least(F.lit(1.0), -F.col("c.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+
+def exact(vectors: DataFrame, size: int, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
+    """As ``nearest``, by comparing every vector (or those named in ``queries``) with all, in blocks."""
+    vec = vectors if queries is None else vectors.join(queries.select("k").withColumn("q", F.lit(True)), "k", "left").withColumn("q", F.coalesce("q", F.lit(False)))
+    vec = cut(vec if "q" in vec.columns else vec.withColumn("q", F.lit(True)))
+    n, asked = vec.agg(F.count("*"), F.count_if("q")).first()
+    if not asked:
+        return vec.sparkSession.createDataFrame([], "k string, neighbour string, similarity double, rank int")
+    rows, columns = -(-asked // BLOCK), -(-n // BLOCK)
+    h = F.xxhash64("k")
+    row, column = F.pmod(h, F.lit(rows)).cast("int"), F.pmod(h, F.lit(columns)).cast("int")
+    span = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+    both = vec.filter("q").select("k", "v", row.alias("i"), F.explode(span(columns)).alias("j"), F.lit(True).alias("q")).unionByName(vec.select("k", "v", F.explode(span(rows)).alias("i"), column.alias("j"), F.lit(False).alias("q")))
+
+    def compare(t: pa.Table) -> pa.Table:
+        q = _column(t, "q").astype(bool)
+        return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), q, ~q, np.zeros(len(q), np.int64), k)
+
+    return _lists(both.groupBy("i", "j").applyInArrow(compare, f"k string, c {PAIR}"), k)
+
+
+def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None, candidates: int | None = None, seed: int = 7) -> DataFrame:
+    """(k, neighbour, similarity, rank): the k most similar vectors of each vector of (k, v)."""
+    vec = cut(vectors)
+    n, mean = _moments(vec, size)
+    trees, candidates = trees or trees_for(n), candidates or candidates_for(n)
 
     # copies: only crowds of them need care
     digest = vec.withColumn("h", F.md5("v"))
@@ -91,92 +178,71 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int = 12, candidat
         lists = first.groupBy("h").agg(F.slice(F.array_sort(F.collect_list("k")), 1, k).alias("c"))
         rest = crowded.join(first.select("k"), "k", "left_anti").join(lists.select("h", "c", spread), ["h", "salt"])
         copies = rest.select("k", F.posexplode("c").alias("rank", "neighbour")).select("k", "neighbour", F.lit(1.0).alias("similarity"), (F.col("rank") + 1).alias("rank"))
-        active = vec.join(rest.select("k"), "k", "left_anti")
-
-    def sign(carry: bool):
-        def run(batches):
-            for pdf in batches:
-                for at in range(0, len(pdf), 4096):
-                    p = pdf.iloc[at : at + 4096]
-                    h = _hashes(folded(p["v"], size), mean, trees, seed)
-                    out = pd.DataFrame({"tree": np.tile(np.arange(trees, dtype=np.int32), len(p)), "h": h.ravel(), "k": np.repeat(p["k"].to_numpy(), trees)})
-                    if carry:
-                        out["v"], out["x"] = np.repeat(p["v"].to_numpy(), trees), np.repeat(p["x"].to_numpy(), trees)
-                    yield out
-
-        return run
-
-    def whole(batches):
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts, ignore_index=True)
-        for _, part in pdf.groupby("tree", sort=True):
-            yield part.sort_values(["h", "k"], kind="stable").reset_index(drop=True)
-
-    steps = [1 << j for j in range(int(np.log2(candidates)) + 1)]
-
-    def descend(batches):
-        """For each entry, the longest prefix that 1, 2, 4, ... entries share with it."""
-        for part in whole(batches):
-            shared = _shared(part["h"].to_numpy())
-            longest = np.zeros((len(part), len(steps)), np.uint8)
-            for level in range(1, BITS + 1):
-                lo, hi = _runs(shared, level)
-                many = (hi - lo)[:, None] > np.array(steps)  # the entry itself is no candidate
-                if not many.any():
-                    break
-                longest[many] = level
-            yield pd.DataFrame({"k": part["k"], "p": [r.tobytes() for r in longest]})
-
-    def ascend(batches):
-        """The longest prefix at which the trees together hold enough candidates."""
+        active = cut(vec.join(rest.select("k"), "k", "left_anti"))
+
+    hashes = Hashes(size, mean, trees, seed)
+
+    def sign(batches):
         for pdf in batches:
-            out = []
-            for p in pdf["p"]:
-                levels = np.frombuffer(b"".join(p), np.uint8).reshape(-1, len(steps))
-                # below levels[t, j] tree t holds 2**j candidates, whatever it held above
-                gain = np.diff(np.array([0, *steps]))
-                order = np.argsort(-levels.ravel().astype(int), kind="stable")
-                have = np.cumsum(np.tile(gain, len(levels))[order])
-                at = min(int(np.searchsorted(have, candidates)), len(have) - 1)
-                out.append(int(levels.ravel()[order][at]))
-            yield pd.DataFrame({"k": pdf["k"], "x": np.array(out, np.int32)})
-
-    def compare(batches):
-        for part in whole(batches):
-            names, x = part["k"].to_numpy(), Units(part["v"], size)
-            n, level = len(part), part["x"].to_numpy()
-            shared = _shared(part["h"].to_numpy())
-            lo, hi = np.zeros(n, int), np.full(n, n)
-            for v in np.unique(level):
-                a, b = _runs(shared, v)
-                mine = level == v
-                lo[mine], hi[mine] = a[mine], b[mine]
-            place = np.arange(n)
-            lo, hi = np.maximum(lo, place - candidates), np.minimum(hi, place + candidates + 1)
-            for a in range(0, n, 512):
-                b = min(n, a + 512)
-                l, r = int(lo[a:b].min()), int(hi[a:b].max())
-                at, top = np.arange(l, r), min(k, r - l)
-                step = max(16, CELLS // (r - l))
-                for c in range(a, b, step):
-                    d = min(b, c + step)
-                    # a block compares all its rows with all its candidates
-                    sim = x.cosines(c, d, l, r)
-                    sim[at == place[c:d, None]] = -2
-                    best = np.argpartition(sim, r - l - top, axis=1)[:, r - l - top :]
-                    s = np.take_along_axis(sim, best, 1)
-                    i, j = np.nonzero(s > -2)
-                    yield pd.DataFrame({"k": names[c + i], "neighbour": names[l + best[i, j]], "similarity": s[i, j].astype(np.float64)})
-
-    ranged = lambda df: df.repartitionByRange(parts, "tree", "h")
-    profiles = ranged(active.mapInPandas(sign(False), "tree int, h long, k string")).mapInPandas(descend, "k string, p binary")
-    level = profiles.groupBy("k").agg(F.collect_list("p").alias("p")).mapInPandas(ascend, "k string, x int")
-    routed = active.join(level, "k").mapInPandas(sign(True), "tree int, h long, k string, v binary, x int")
-    found = ranged(routed).mapInPandas(compare, "k string, neighbour string, similarity double").repartition("k")
-    best = found.groupBy("k", "neighbour").agg(F.max("similarity").alias("s")).groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("d"), "neighbour"))), 1, k).alias("c"))
-    out = best.select("k", F.posexplode("c").alias("rank", "c")).select("k", "c.neighbour", F.least(F.lit(1.0), -F.col("c.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+            for at in range(0, len(pdf), 4096):
+                p = pdf.iloc[at : at + 4096]
+                yield pd.DataFrame({"tree": np.tile(np.arange(trees, dtype=np.int32), len(p)), "h": hashes(p["v"]).ravel(), "k": np.repeat(p["k"].to_numpy(object), trees)})
+
+    levels = LATER + 1
+    strings = cut(active.mapInPandas(sign, "tree int, h long, k string"))
+    # how many entries of a tree share 1, 2, ... symbols with each: counts of prefixes, longest first
+    sizes = strings.select("tree", "h").groupBy("tree", "h").agg(F.count("*").alias("m"))
+
+    def descend(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tree", "h"])
+        tree, h, m = pdf["tree"].to_numpy(), pdf["h"].to_numpy(), pdf["m"].to_numpy()
+        shares = np.zeros((len(pdf), levels), np.int64)
+        for level in range(1, levels + 1):
+            p = _prefix(h, level)
+            new = np.concatenate([[True], (p[1:] != p[:-1]) | (tree[1:] != tree[:-1])])
+            run = np.cumsum(new) - 1
+            shares[:, level - 1] = np.bincount(run, m)[run]
+        return pd.DataFrame({"tree": tree, "h": h, "runs": list(shares)})
+
+    first_symbol = F.shiftright("h", BITS[1] * LATER)
+    profiles = cut(sizes.groupBy("tree", first_symbol.alias("p")).applyInPandas(descend, "tree int, h long, runs array<long>"))
+    together = strings.join(profiles.hint("merge"), ["tree", "h"]).groupBy("k").agg(*[F.sum(F.col("runs")[i] - 1).alias(f"s{i + 1}") for i in range(levels)], F.max(F.col("runs")[0] - 1).alias("most"))
+    # the longest prefix at which the trees together hold enough, else one symbol
+    level = F.coalesce(*[F.when(F.col(f"s{i}") >= candidates, F.lit(i)) for i in range(levels, 0, -1)], F.lit(1))
+    chosen = cut(together.select("k", level.alias("x"), (F.col("most") < k).alias("lonely")))
+    used = sorted(r[0] for r in chosen.select("x").distinct().collect())  # at most as many as symbols
+
+    entries = strings.join(chosen.select("k", "x"), "k").withColumn("level", F.explode(F.array(*[F.lit(i) for i in used]).cast("array<int>"))) if used else strings.withColumn("x", F.lit(1)).withColumn("level", F.lit(1))
+    entries = entries.withColumn("p", F.expr(f"shiftright(h, {BITS[1]} * ({levels} - level))")).withColumn("asks", F.col("x") == F.col("level"))
+    groups = entries.groupBy("tree", "level", "p").agg(F.count("*").alias("m"), F.count_if("asks").alias("q")).filter("q > 0 and m > 1")
+    # a group of more than BLOCK is compared block by block: its askers meet every block of its members
+    groups = groups.select("tree", "level", "p", F.ceil(F.col("q") / BLOCK).cast("int").alias("bq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"))
+    seated = entries.join(groups.hint("merge"), ["tree", "level", "p"])
+    hash_ = F.xxhash64("k")
+    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    seat = lambda i, j, q, m: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), q.alias("asks"), m.alias("member"))
+    one = (F.col("bq") == 1) & (F.col("bm") == 1)
+    none = F.array().cast("array<struct<i:int,j:int,asks:boolean,member:boolean>>")
+    as_member = F.transform(span("bq"), lambda i: seat(i, F.pmod(hash_, F.col("bm")), F.lit(False), F.lit(True)))
+    as_asker = F.when(F.col("asks"), F.transform(span("bm"), lambda j: seat(F.pmod(hash_, F.col("bq")), j, F.lit(True), F.lit(False)))).otherwise(none)
+    seats = F.when(one, F.array(seat(F.lit(0), F.lit(0), F.col("asks"), F.lit(True)))).otherwise(F.concat(as_member, as_asker))
+    seated = seated.select("k", F.explode(seats).alias("s"), "tree", "level", "p").select("k", F.xxhash64("tree", "level", "p", "s.i", "s.j").alias("g"), "s.asks", "s.member")
+    tasks = int(max(partitions(vec.sparkSession), n * trees * max(1, len(used)) // (4 * BLOCK)))
+    # vectors join once, with the list of their seats
+    seated = seated.groupBy("k").agg(F.collect_list(F.struct("g", "asks", "member")).alias("s"))
+    routed = active.join(seated, "k").select("k", "v", F.explode("s").alias("s")).select("k", "v", "s.*")
+
+    def compare(t: pa.Table) -> pa.Table:
+        return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), _column(t, "asks").astype(bool), _column(t, "member").astype(bool), _column(t, "g"), k)
+
+    found = routed.groupBy(F.pmod("g", F.lit(tasks)).alias("task")).applyInArrow(compare, f"k string, c {PAIR}")
+    lonely = chosen.filter("lonely").select("k")
+    if lonely.take(1):
+        alone = exact(active, size, k, lonely)
+        found = found.join(lonely, "k", "left_anti")
+        out = _lists(found, k).unionByName(alone)
+    else:
+        out = _lists(found, k)
     return out.unionByName(copies) if copies is not None else out
 
 

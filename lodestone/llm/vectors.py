@@ -1,9 +1,9 @@
 """Rows of a long count matrix as vectors, each variable a dimension of its own.
 
 Up to ``DIMENSIONS`` variables, a vector is kept as all of its values; with more, as the places and values of those that
-aren't 0. ``folded`` has variables share dimensions by signed hashing, for hash strings only. Values that are null, NaN, infinite or not positive count as 0; of repeated
-(observation, variable) rows the one with the latest version counts (the greatest value among equals). Observations
-without a positive value, or with a null name, have no vector.
+aren't 0. ``folded`` has variables share dimensions by signed hashing, for hash strings only. Values that are null, NaN or infinite
+count as 0; of repeated (observation, variable) rows the one with the latest version counts (the greatest value among equals).
+Observations without a value other than 0, or with a null name, have no vector.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def dense(counts: DataFrame, obs: str = "obs", var: str = "var", value: str = "v
     spark, few = counts.sparkSession, len(names) <= DIMENSIONS
     size = len(names) if few else distinct.count()
     once = rows.groupBy("k", "d").agg(F.max_by("x", F.struct("t", F.when(~F.isnan("x"), F.col("x")).alias("x"))).alias("x"))
-    once = once.filter((F.col("x") > 0) & (F.col("x") < float("inf")))
+    once = once.filter((F.col("x") != 0) & (F.abs("x") < float("inf")))
     if few:
         table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "d string, i int")
         once = once.join(F.broadcast(table), "d")  # at most DIMENSIONS rows
@@ -96,23 +96,26 @@ class Units:
             norm = np.sqrt(np.bincount(row, x.astype(np.float64) ** 2, len(column)))
             self.x = (x / np.maximum(norm, 1e-30)[row]).astype(np.float32)
 
-    def _part(self, a: int, b: int, variables: np.ndarray) -> np.ndarray:
-        """Rows a to b at some variables, in order."""
-        s = slice(self.start[a], self.start[b])
-        row, at, x = np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1])), self.at[s], self.x[s]
-        to = np.minimum(np.searchsorted(variables, at), len(variables) - 1)
-        known = variables[to] == at
-        out = np.zeros((b - a, len(variables)), np.float32)
+    def _part(self, rows: np.ndarray, variables: np.ndarray) -> np.ndarray:
+        """Rows at some variables, in order."""
+        n = self.start[rows + 1] - self.start[rows]
+        row = np.repeat(np.arange(len(rows)), n)
+        s = np.repeat(self.start[rows], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at, x = self.at[s], self.x[s]
+        to = np.minimum(np.searchsorted(variables, at), max(len(variables) - 1, 0))
+        known = variables[to] == at if len(variables) else np.zeros(len(at), bool)
+        out = np.zeros((len(rows), len(variables)), np.float32)
         out[row[known], to[known]] = x[known]
         return out
 
-    def cosines(self, c: int, d: int, l: int, r: int) -> np.ndarray:
-        """Of rows c to d with rows l to r."""
+    def of(self, rows: np.ndarray, others) -> np.ndarray:
+        """Cosines of rows with others: places, or a range (first, last + 1)."""
         if self.all is not None:
-            return self.all[c:d] @ self.all[l:r].T
-        variables = np.unique(self.at[self.start[c] : self.start[d]])
-        x, step = self._part(c, d, variables), block(len(variables))
-        return np.hstack([x @ self._part(k, min(r, k + step), variables).T for k in range(l, r, step)])
+            return self.all[rows] @ (self.all[others[0] : others[1]] if isinstance(others, tuple) else self.all[others]).T
+        others = np.arange(*others) if isinstance(others, tuple) else others
+        variables = np.unique(np.concatenate([self.at[self.start[i] : self.start[i + 1]] for i in rows]))
+        x, step = self._part(rows, variables), block(len(variables))
+        return np.hstack([x @ self._part(others[k : k + step], variables).T for k in range(0, len(others), step)])
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm.clusters import FeatureTree, assign, describe, ward
-from lodestone.llm.neighbours import _runs, _shared, mutual, nearest
+from lodestone.llm.neighbours import Hashes, candidates_for, exact, mutual, nearest, trees_for
 from lodestone.llm.vectors import dense
 
 
@@ -16,17 +16,23 @@ def test_dense_cleans(spark):
     rows = [("a", "g0", 2.0, 1), ("a", "g0", 3.0, 2), ("a", "g1", nan, 1), ("a", "g1", 4.0, 0), ("b", "g0", 0.0, 1), ("c", "g1", None, 1), (None, "g1", 1.0, 1), ("d", None, 1.0, 1), ("e", "g1", -1.0, 1), ("f", "g1", 7.0, 1)]
     v, size = dense(spark.createDataFrame(rows, "obs string, var string, value double, load_id int"))
     got = {r["k"]: np.frombuffer(r["v"], np.float32).tolist() for r in v.collect()}
-    assert size == 2 and got == {"a": [3.0, 0.0], "f": [0.0, 7.0]}
+    assert size == 2 and got == {"a": [3.0, 0.0], "e": [0.0, -1.0], "f": [0.0, 7.0]}
 
 
-def test_shared_prefixes():
-    h = np.sort(np.array([0, 1, 3, 3, 1 << 40, -5], np.int64))
-    s = _shared(h)
-    for a, b, k in zip(h[:-1], h[1:], s):
-        x = (int(a) ^ int(b)) & (2**64 - 1)
-        assert k == 64 - x.bit_length()
-    lo, hi = _runs(np.array([3, 1, 5]), 3)
-    assert lo.tolist() == [0, 0, 2, 2] and hi.tolist() == [2, 2, 4, 4]
+def test_hash_strings_of_near_vectors_share_long_prefixes():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((200, 40)).astype(np.float32)
+    h = Hashes(40, np.zeros(40, np.float32), 6, 0)
+    column = lambda m: [r.astype(np.float32).tobytes() for r in m]
+    a, b, c = h(column(x)), h(column(x + 0.01 * rng.standard_normal(x.shape))), h(column(rng.standard_normal((200, 40))))
+    assert (a == h(column(7 * x))).all()  # only directions count
+    assert ((a >> 32) == (b >> 32)).mean() > 0.9 and ((a >> 32) == (c >> 32)).mean() < 0.1
+
+
+def test_the_compared_share_falls_as_vectors_are_added():
+    share = [candidates_for(n) / n for n in (3_000, 30_000, 300_000, 3_000_000)]
+    assert share == sorted(share, reverse=True) and share[0] < 0.3 and share[2] < 0.07
+    assert trees_for(3_000) > 30 > 18 >= trees_for(300_000) >= 16
 
 
 def brute(m, k):
@@ -53,6 +59,42 @@ def test_recall_against_brute_force(spark):
     assert pairs == true and len(true) >= 25
 
 
+def test_recall_with_far_fewer_candidates_than_rows(spark):
+    rng = np.random.default_rng(5)
+    base = rng.gamma(1, 2, (40, 60)) + 0.1
+    m = rng.poisson(base[np.arange(3000) % 40] * 3).astype(float)
+    vectors, size = dense(counts(spark, m))
+    best, s = brute(m, 5)
+    got = {}
+    for r in nearest(vectors, size, k=5, candidates=300).collect():
+        got.setdefault(int(r["k"][1:]), set()).add(int(r["neighbour"][1:]))
+    assert np.mean([len(got[i] & set(best[i])) / 5 for i in range(3000)]) >= 0.9
+    every = {}
+    for r in exact(vectors, size, k=5).collect():
+        every.setdefault(int(r["k"][1:]), []).append((r["rank"], int(r["neighbour"][1:])))
+    for i, near in every.items():
+        assert np.allclose([s[i, j] for _, j in sorted(near)], [s[i, j] for j in best[i]], atol=1e-5)
+
+
+def test_a_crowd_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
+    from lodestone.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    m = np.vstack([np.tile(rng.poisson(50, 20) + 1, (90, 1)) + rng.poisson(0.3, (90, 20)), rng.poisson(5, (30, 20)) + 0.5]).astype(float)
+    best, s = brute(m, 3)
+    got = {}
+    for r in nearest(*dense(counts(spark, m)), k=3).collect():
+        got.setdefault(int(r["k"][1:]), []).append(s[int(r["k"][1:]), int(r["neighbour"][1:])])
+    assert np.mean([abs(min(got[i]) - s[i, best[i][2]]) < 1e-5 for i in range(90)]) >= 0.9
+
+
+def test_negative_values_count(spark):
+    m = np.array([[1.0, -2, 3], [1, -2, 2.9], [1, 2, 3], [1, 2, 2.9]])
+    near = {r["k"]: r["neighbour"] for r in nearest(*dense(counts(spark, m)), k=1).collect()}
+    assert near == {"o0000": "o0001", "o0001": "o0000", "o0002": "o0003", "o0003": "o0002"}
+
+
 def test_copies_and_ties(spark):
     m = np.array([[1, 2, 3, 0]] * 30 + [[0, 1, 0, 5], [4, 0, 0, 1]], float)
     out = nearest(*dense(counts(spark, m)), k=3).collect()
