@@ -24,6 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ SALTS = 64
 WIDE, NARROW, LATER = 96, 8, 8
 BITS = (8, 4)
 #: Vectors of a group that are compared at once; similarities held at once.
-BLOCK, CELLS = 8192, 4_000_000
+BLOCK, CELLS = 8192, 2_000_000
+#: Lists that a task merges.
+ENTRIES = 200_000
 PAIR = "array<struct<s:float,n:string>>"
 
 
@@ -131,13 +134,26 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _lists(found: DataFrame, k: int) -> DataFrame:
+def _lists(found: DataFrame, k: int, tasks: int) -> DataFrame:
     """(k, neighbour, similarity, rank) of rows (k, c) with lists of neighbours; each neighbour once, ties to the smaller name."""
-    near = found.groupBy("k").agg(F.flatten(F.collect_list("c")).alias("c"))
-    near = near.select("k", F.array_sort(F.transform(F.filter("c", lambda e: e["s"] > -2), lambda e: F.struct((-F.round(e["s"].cast("double"), 6)).alias("d"), e["n"].alias("n")))).alias("c")).withColumn("names", F.transform("c", lambda e: e["n"]))
-    once = F.slice(F.filter("c", lambda e, i: F.array_position("names", e["n"]) == i + 1), 1, k)
-    out = near.select("k", F.posexplode(once).alias("rank", "c"))
-    return out.select("k", F.col("c.n").alias("neighbour"), F.least(F.lit(1.0), -F.col("c.d")).alias("similarity"), (F.col("rank") + 1).alias("rank"))
+
+    def merge(t: pa.Table) -> pa.Table:
+        keys, lists = t.column("k").combine_chunks().dictionary_encode(), t.column("c").combine_chunks()
+        sims, names = lists.flatten().flatten()
+        row = np.repeat(keys.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy())
+        coded = names.dictionary_encode()
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+        s, name = np.round(sims.to_numpy().astype(float), 6), place[coded.indices.to_numpy()]
+        order = np.lexsort([name, -s, row])
+        order = order[s[order] > -2]
+        first = np.sort(np.unique(row[order] * (len(place) + 1) + name[order], return_index=True)[1])
+        order = order[first]
+        rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        order, rank = order[rank < k], rank[rank < k]
+        return pa.table({"k": keys.dictionary.take(pa.array(row[order])), "neighbour": names.take(pa.array(order)), "similarity": pa.array(np.minimum(1.0, s[order])), "rank": pa.array((rank + 1).astype(np.int32))})
+
+    return found.groupBy(F.pmod(F.xxhash64("k"), F.lit(tasks)).alias("task")).applyInArrow(merge, "k string, neighbour string, similarity double, rank int")
 
 
 def exact(vectors: DataFrame, size: int, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
@@ -157,7 +173,7 @@ def exact(vectors: DataFrame, size: int, k: int = 5, queries: DataFrame | None =
         q = _column(t, "q").astype(bool)
         return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), q, ~q, np.zeros(len(q), np.int64), k)
 
-    return _lists(both.groupBy("i", "j").applyInArrow(compare, f"k string, c {PAIR}"), k)
+    return _lists(both.groupBy("i", "j").applyInArrow(compare, f"k string, c {PAIR}"), k, max(partitions(vec.sparkSession), asked * columns // ENTRIES))
 
 
 def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None, candidates: int | None = None, seed: int = 7) -> DataFrame:
@@ -236,13 +252,14 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None,
         return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), _column(t, "asks").astype(bool), _column(t, "member").astype(bool), _column(t, "g"), k)
 
     found = routed.groupBy(F.pmod("g", F.lit(tasks)).alias("task")).applyInArrow(compare, f"k string, c {PAIR}")
+    merges = max(partitions(vec.sparkSession), n * trees // ENTRIES)
     lonely = chosen.filter("lonely").select("k")
     if lonely.take(1):
         alone = exact(active, size, k, lonely)
         found = found.join(lonely, "k", "left_anti")
-        out = _lists(found, k).unionByName(alone)
+        out = _lists(found, k, merges).unionByName(alone)
     else:
-        out = _lists(found, k)
+        out = _lists(found, k, merges)
     return out.unionByName(copies) if copies is not None else out
 
 
