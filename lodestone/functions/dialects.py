@@ -48,13 +48,10 @@ def parse(text: str, letters: str, quotes: bool) -> tuple[list[str], list[str]]:
 
 
 def dialects(text: str) -> list[tuple[str, bool]]:
-    """Dialects worth scoring: subsets of the delimiters that divide the field under the finest parse, with and
-    without quoting. Above four such delimiters, the subsets that lack at most two, the single ones and none."""
+    """Dialects worth scoring: all subsets of the delimiters that divide the field under the finest parse, with and without quoting."""
     used = set(parse(text, "".join(DELIMITERS), True)[1])
     letters = [x for x, d in DELIMITERS.items() if d in used]
-    n = len(letters)
-    sizes = range(n + 1) if n <= 4 else [0, 1, n - 2, n - 1, n]
-    sets = ["".join(c) for k in sizes for c in combinations(letters, k)]
+    sets = ["".join(c) for k in range(len(letters) + 1) for c in combinations(letters, k)]
     return [(s, q) for s in sets for q in ([True, False] if any(c in text for c in QUOTES) else [True])]
 
 

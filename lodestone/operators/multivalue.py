@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.dialects import DELIMITERS, dialects, model_from, novel_bits, parse, steps
-from lodestone.runtime import cut
+from lodestone.runtime import cut, partitions
 
 #: Parts over which rows that share a field or a value are spread.
 SALTS = 8
@@ -29,7 +29,8 @@ FINEST = "".join(DELIMITERS)
 def split_values(df: DataFrame, identifier: str, field: str, name: str = "value") -> DataFrame:
     """(identifier, pos, name): the values of ``field``, pos counted from 1."""
     rows = df.select(F.col(f"`{identifier}`").alias("i"), F.col(f"`{field}`").cast("string").alias("f")).filter(F.col("f").rlike(r"\S")).distinct()
-    fields = cut(rows.select("f").distinct())
+    # a checkpoint of few bytes is few tasks, however much there is to parse
+    fields = cut(rows.select("f").distinct()).repartition(partitions(df.sparkSession), "f")
 
     def finest(batches):
         for pdf in batches:

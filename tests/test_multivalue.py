@@ -31,3 +31,14 @@ def test_split_values(spark):
     assert {k: v for k, v in got.items() if k[0] == 103} == {(103, 2): "Abc1"}
     assert got[None, 1] == "Abc1" and sum(k[0] == 104 for k in got) == 5000 and not any(k[0] in (101, 102) for k in got)
     assert split_values(df.limit(0), "rec_id", "field").count() == 0
+
+
+def test_every_subset_of_many_delimiters_is_scored():
+    from itertools import combinations
+
+    from lodestone.functions.dialects import dialects
+
+    text = "a|b;c,d\te；f"
+    found = {d for d, _ in dialects(text)}
+    assert found == {"".join(c) for k in range(6) for c in combinations("psctw", k)}
+    assert "sc" in found and "pt" in found
