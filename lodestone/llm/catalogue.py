@@ -62,20 +62,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_mapped(spark, sf_dir).select(F.col("id").alias("rec_id"), F.col("key").alias("db_class_key"))
 
 
-def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     categories = read(spark, sf_dir, "categories")
-    now = latest(read(spark, sf_dir, "obs").select("obs", "sample", "annotation_key", "loaded_at"), "obs", "loaded_at")
+    now = latest(read(spark, sf_dir, "obs").select("obs", "sample", "section", "annotation_key", "loaded_at"), "obs", "loaded_at")
     spelled = categories.select(plain(F.col("annotation_key")).alias("p"), F.col("annotation_key").alias("name")).groupBy("p").agg(F.min("name").alias("name"))
-    records = now.withColumn("p", plain(F.col("annotation_key"))).join(spelled, "p", "left").select(F.col("obs").alias("i"), "sample", F.col("name").alias("annotation_key"))
+    records = now.withColumn("p", plain(F.col("annotation_key"))).join(spelled, "p", "left").select(F.col("obs").alias("i"), "sample", F.col("name").alias("annotation_key"), F.col("section").cast("string").alias("section"))
     plan = canonical(read(spark, sf_dir, "subsample_plan"), "annotation_key", categories, "annotation_key", plain)
     targets = plan.select(F.col("draw_id").alias("draw"), "sample", F.lit("annotation_key").alias("attribute"), F.col("annotation_key").alias("category"), F.col("target_share").alias("share"), F.col("draw_size").alias("size"), F.col("n_min").alias("minimum"))
-    return draw(records, targets, ["annotation_key"])
+    return records, targets
+
+
+def _draws(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return draw(*_targets(spark, sf_dir), ["annotation_key"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draws(spark, sf_dir)[1].filter("short").select(F.col("draw").alias("draw_id"), F.col("category").alias("annotation_key"))
 
 
+def p6_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws with targets for the categories and, in equal parts, for the sections of the sample at once."""
+    records, targets = _targets(spark, sf_dir)
+    sections = records.filter("section is not null").select("sample", F.col("section").alias("category")).distinct()
+    shares = sections.join(sections.groupBy("sample").agg(F.count("*").alias("n")), "sample").select("sample", "category", (1 / F.col("n")).alias("share"))
+    also = targets.groupBy("draw", "sample").agg(F.max("size").alias("size")).join(shares, "sample").select("draw", "sample", F.lit("section").alias("attribute"), "category", "share", "size", F.lit(0).cast("long").alias("minimum"))
+    return draw(records, targets.unionByName(also), ["annotation_key", "section"])[1].withColumnRenamed("draw", "draw_id")
+
+
 def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draws(spark, sf_dir)[0].select(F.col("draw").alias("draw_id"), F.col("i").alias("obs"))
 
@@ -123,7 +136,7 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_clusters": p2_clusters, "p5_found": p5_found, "p5_mapped": p5_mapped, "p6_found": p6_found, "p6_joint": p6_joint, "p6_sample": p6_sample, "p6_shares": p6_shares, "p7_found": p7_found, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found, "p9_redacted": p9_redacted}
 
 _TOKENS = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]+'))"
 

@@ -1,9 +1,9 @@
 """Clusters of similar vectors, with their sizes, prevailing labels and most typical members.
 
 Rows become directions (square roots of their shares, so Euclidean distance is Hellinger distance). Every partition
-grows a cluster-feature tree: leaves hold count, linear sum and squared sum; a row joins its nearest leaf if the
-leaf's radius stays within the threshold, else it opens a leaf; when leaves are too many the threshold rises and the
-closest leaves merge. Leaf summaries are mergeable: a tree of reductions brings ``fanout`` sets of leaves to one set of
+grows a cluster-feature tree: entries hold count, linear sum and squared sum; a row descends to the nearest entry of each
+node, joins its leaf if the leaf's radius stays within the threshold, else it opens a leaf; full nodes split; when leaves
+are too many the threshold rises and the closest leaves merge. Leaf summaries are mergeable: a tree of reductions brings ``fanout`` sets of leaves to one set of
 the same bounded size, by Ward's criterion, until one set is left; Ward agglomeration of that one gives the
 clusters, and one full pass assigns every row to the nearest centroid. What reaches the driver is one set of leaves.
 
@@ -23,6 +23,8 @@ from lodestone.runtime import cut
 
 LEAVES = 384
 FANOUT = 8
+#: Most entries of a node.
+BRANCH = 32
 
 
 def directions(x: np.ndarray) -> np.ndarray:
@@ -63,43 +65,92 @@ def ward(n: np.ndarray, s: np.ndarray, q: np.ndarray, keep: int) -> tuple[np.nda
     return n[alive], s[alive], q[alive]
 
 
+class Node:
+    """Entries of a cluster-feature tree: counts, linear sums and squared sums of leaves or of the nodes below."""
+
+    def __init__(self, n: np.ndarray, s: np.ndarray, q: np.ndarray, kids: list[Node] | None = None):
+        self.n, self.s, self.q, self.kids = n, s, q, kids
+
+    def insert(self, n: np.ndarray, s: np.ndarray, q: np.ndarray, limit: float) -> list[Node]:
+        """Adds features below the entries they are nearest to; the node in parts of at most ``BRANCH`` entries."""
+        if len(self.n):
+            c = self.s / self.n[:, None]
+            to = ((c * c).sum(1) - 2 * (s / n[:, None]) @ c.T).argmin(1)
+        if self.kids is None:
+            if len(self.n):
+                m, t, u = self.n[to] + n, self.s[to] + s, self.q[to] + q
+                joins = u / m - (t * t).sum(1) / m**2 <= limit
+                for mine, other in ((self.n, n), (self.s, s), (self.q, q)):
+                    np.add.at(mine, to[joins], other[joins])
+                n, s, q = n[~joins], s[~joins], q[~joins]
+            self.n, self.s, self.q = np.concatenate([self.n, n]), np.concatenate([self.s, s]), np.concatenate([self.q, q])
+        else:
+            kids = []
+            for k, kid in enumerate(self.kids):
+                mine = to == k
+                kids += kid.insert(n[mine], s[mine], q[mine], limit) if mine.any() else [kid]
+            self.kids = kids
+            self.n, self.s, self.q = np.array([k.n.sum() for k in kids]), np.stack([k.s.sum(0) for k in kids]), np.array([k.q.sum() for k in kids])
+        return self.parts()
+
+    def parts(self) -> list[Node]:
+        """Splits the node at the two entries furthest apart as long as it has too many."""
+        if len(self.n) <= BRANCH:
+            return [self]
+        c = self.s / self.n[:, None]
+        a = int(((c - c[0]) ** 2).sum(1).argmax())
+        far = ((c - c[a]) ** 2).sum(1)
+        side = ((c - c[int(far.argmax())]) ** 2).sum(1) < far
+        if not side.any() or side.all():  # all alike
+            side = np.arange(len(c)) % 2 == 0
+        halves = [Node(self.n[h], self.s[h], self.q[h], None if self.kids is None else [k for k, x in zip(self.kids, h) if x]) for h in (side, ~side)]
+        return [p for h in halves for p in h.parts()]
+
+    def leaves(self) -> list[Node]:
+        return [self] if self.kids is None else [leaf for k in self.kids for leaf in k.leaves()]
+
+
 class FeatureTree:
-    """Leaves of one partition. The root's children are the leaves themselves, searched by one matrix product."""
+    """A cluster-feature tree of one partition. A row descends to the nearest entry of every node; it joins its leaf if the leaf's
+    radius stays within the threshold, else it opens one; a node with too many entries splits. When leaves are too many the
+    threshold rises and the tree is built again from its merged leaves."""
 
     def __init__(self, size: int, leaves: int = LEAVES):
-        self.leaves, self.limit = leaves, 0.0
-        self.n, self.s, self.q = np.zeros(0), np.zeros((0, size)), np.zeros(0)
+        self.most, self.limit, self.size = leaves, 0.0, size
+        self.root = Node(np.zeros(0), np.zeros((0, size)), np.zeros(0))
 
     def insert(self, x: np.ndarray) -> None:
-        if not len(x):
-            return
-        if not len(self.n):
-            head, x = x[: self.leaves], x[self.leaves :]
-            self.n, self.s, self.q = np.ones(len(head)), head.copy(), (head * head).sum(1)
         for at in range(0, len(x), 512):
-            self._batch(x[at : at + 512])
+            part = x[at : at + 512]
+            self._add(np.ones(len(part)), part.copy(), (part * part).sum(1))
+            n, s, q = self._all()
+            if len(n) > 2 * self.most:
+                n, s, q = ward(n, s, q, self.most)
+                # the threshold rises to what the merged leaves need
+                self.limit = max(self.limit, float(np.median(q / n - ((s / n[:, None]) ** 2).sum(1))) * 1.1)
+                self.root = Node(np.zeros(0), np.zeros((0, self.size)), np.zeros(0))
+                self._add(n, s, q)
+
+    def _add(self, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> None:
+        if not len(n):
+            return
+        nodes = self.root.insert(n, s, q, self.limit)
+        while len(nodes) > 1:
+            nodes = Node(np.array([k.n.sum() for k in nodes]), np.stack([k.s.sum(0) for k in nodes]), np.array([k.q.sum() for k in nodes]), nodes).parts()
+        self.root = nodes[0]
 
-    def _batch(self, x: np.ndarray) -> None:
-        c = self.s / self.n[:, None]
-        d = (c * c).sum(1) - 2 * x @ c.T
-        to = d.argmin(1)
-        own = (x * x).sum(1)
-        n, s, q = self.n[to] + 1, self.s[to] + x, self.q[to] + own
-        radius = q / n - (s * s).sum(1) / n**2
-        joins = radius <= self.limit
-        k = to[joins]
-        np.add.at(self.n, k, 1)
-        np.add.at(self.s, k, x[joins])
-        np.add.at(self.q, k, own[joins])
-        new = ~joins
-        self.n, self.s, self.q = np.concatenate([self.n, np.ones(new.sum())]), np.concatenate([self.s, x[new]]), np.concatenate([self.q, own[new]])
-        if len(self.n) > 2 * self.leaves:
-            self.n, self.s, self.q = ward(self.n, self.s, self.q, self.leaves)
-            # the threshold rises to what the merged leaves need
-            self.limit = max(self.limit, float(np.median(self.q / self.n - ((self.s / self.n[:, None]) ** 2).sum(1))) * 1.1)
+    def _all(self):
+        parts = self.root.leaves()
+        return np.concatenate([p.n for p in parts]), np.concatenate([p.s for p in parts]), np.concatenate([p.q for p in parts])
+
+    def depth(self) -> int:
+        node, d = self.root, 1
+        while node.kids is not None:
+            node, d = node.kids[0], d + 1
+        return d
 
     def features(self):
-        return ward(self.n, self.s, self.q, self.leaves)
+        return ward(*self._all(), self.most)
 
 
 def _rows(n, s, q, group: int) -> pd.DataFrame:
@@ -115,7 +166,7 @@ def leaf_features(vectors: DataFrame, size: int) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), block(size)):
                 tree.insert(directions(stack(pdf["v"].iloc[at : at + block(size)], size)))
-        yield _rows(*tree.features(), 0) if len(tree.n) else _rows(np.zeros(0), np.zeros((0, size)), np.zeros(0), 0)
+        yield _rows(*tree.features(), 0) if len(tree._all()[0]) else _rows(np.zeros(0), np.zeros((0, size)), np.zeros(0), 0)
 
     return vectors.select("v").mapInPandas(grow, SCHEMA).withColumn("g", F.spark_partition_id().cast("long"))
 
@@ -173,7 +224,7 @@ def describe(assigned: DataFrame, labels: DataFrame, categories: DataFrame, typi
     members = assigned.join(labels.select("k", F.lit(True).alias("listed"), plain(F.col("label")).alias("p"), "label"), "k", "left")
     votes = members.filter("p is not null").groupBy("cluster", "p").agg(F.count("*").alias("n"))
     votes = votes.join(F.broadcast(named), "p")  # one row for each category
-    most = votes.groupBy("cluster").agg(F.max_by(F.struct("name", "p"), F.struct("n", F.hash("p"))).alias("m")).select("cluster", "m.name", "m.p")
+    most = votes.groupBy("cluster").agg(F.min_by(F.struct("name", "p"), F.struct(-F.col("n"), "name")).alias("m")).select("cluster", "m.name", "m.p")
     # typical members: the nearest of each of many parts, then the nearest of those
     part = F.pmod(F.xxhash64("k"), F.lit(64))
     order = [F.col("distance"), F.col("k")]

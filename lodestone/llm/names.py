@@ -2,12 +2,14 @@
 
 Names are reduced to tokens: compatible characters unified, invisible ones and accents removed, case folded; a word's
 trailing digits are a number of their own, without leading zeros. Token-level repair: every distinct token that the
-reference vocabulary lacks is joined to its tokens at one edit (insertion, deletion, substitution or
-swap of neighbours) through shared deletion variants, an equi-join, and to the word of a several-word name that it
-abbreviates. The repaired tokens are then combined: a complete
+reference vocabulary lacks is joined to its tokens by edit distance (insertions, deletions, substitutions and
+swaps of neighbours: one edit in tokens of ``SHORTEST`` letters or more, one more for every further ``EACH``) through shared
+deletion variants, an equi-join, and to the word of a several-word name that it abbreviates. Shorter tokens are
+words of their own: one edit would be a third of them. The repaired tokens are then combined: a complete
 entry name is ranked by soft TF-IDF, the cosine of token weights in which a repaired token counts by its similarity.
-An entry name qualifies if it has the same last number, if each of its words is met, and if the score is at least
-``least``. A name whose number is not listed with its words therefore fits none.
+An entry name qualifies if it has the same last number, if the words of it that are met hold at least the share ``cover`` of
+its squared weights, and if the score is at least ``least``. A name whose number is not listed with its words therefore
+fits none. Names and entries meet by an entry's rarest words only, as few as must contain one that is met.
 
 Defined results: null, blank and symbol-only names fit none. Equal scores go to the name that is a symbol, then to the
 smallest key. Repeated rows count once. Very long names are tokenised whole.
@@ -20,13 +22,13 @@ import unicodedata
 from math import log
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.runtime import cut
 
-#: Tokens shorter than this are not repaired.
-SHORTEST = 4
+#: Letters of a token for one edit, and for each further one.
+SHORTEST, EACH = 4, 5
 
 
 def tokenise(name: str) -> tuple[list[str], str]:
@@ -44,22 +46,35 @@ def tokenise(name: str) -> tuple[list[str], str]:
     return words, number
 
 
-def deletions(token: str) -> list[str]:
-    return sorted({token, *(token[:i] + token[i + 1 :] for i in range(len(token)))})
+def edits_for(length: int) -> int:
+    return 0 if length < SHORTEST else 1 + (length - SHORTEST) // EACH
 
 
-def one_edit(a: str, b: str) -> bool:
-    """At most one insertion, deletion, substitution or swap of neighbours apart."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
-    return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
+def deletions(token: str, edits: int | None = None) -> list[str]:
+    """The token with up to as many letters deleted as it may have edits."""
+    out = last = {token}
+    for _ in range(edits_for(len(token)) if edits is None else edits):
+        last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+        out = out | last
+    return sorted(out)
+
+
+def edit_distance(a: str, b: str, most: int) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours from a to b; more than ``most`` if there are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    two, one = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(one[j] + 1, row[j - 1] + 1, one[j - 1] + (x != y))
+            if two and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, two[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        two, one = one, row
+    return one[-1]
 
 
 def _tokens(df: DataFrame, name: str) -> DataFrame:
@@ -90,8 +105,8 @@ def repair_tokens(words: DataFrame, vocabulary: DataFrame, shortened: DataFrame)
 
     def verify(batches):
         for pdf in batches:
-            pdf = pdf[[one_edit(w, t) for w, t in zip(pdf["word"], pdf["term"])]]
-            yield pdf.assign(similarity=1 - 1 / pdf[["word", "term"]].map(len).max(axis=1).astype(float))
+            rows = [(w, t, d / max(len(w), len(t))) for w, t in zip(pdf["word"], pdf["term"]) for most in [edits_for(min(len(w), len(t)))] for d in [edit_distance(w, t, most)] if d <= most]
+            yield pd.DataFrame([(w, t, 1.0 - x) for w, t, x in rows], columns=["word", "term", "similarity"])
 
     begin = shortened.select("term", F.explode(F.transform(F.sequence(F.lit(SHORTEST), F.greatest(F.lit(SHORTEST), F.length("term") - 1)), lambda n: F.substring("term", F.lit(1), n))).alias("word"))
     begin = begin.filter(F.length("word") < F.length("term")).groupBy("word").agg(F.min("term").alias("term"), F.count("*").alias("n")).filter("n = 1")
@@ -100,8 +115,10 @@ def repair_tokens(words: DataFrame, vocabulary: DataFrame, shortened: DataFrame)
     return known.unionByName(edited).unionByName(cut_off).groupBy("word", "term").agg(F.max("similarity").alias("similarity"))
 
 
-def match(names: DataFrame, entries: DataFrame, least: float = 0.5) -> DataFrame:
+def match(names: DataFrame, entries: DataFrame, least: float = 0.5, cover: float = 1.0) -> DataFrame:
     """(name, key, score) for the names (column ``name``) that fit an entry of (name, key, symbol)."""
+    if not 0 < cover <= 1:
+        raise ValueError("cover lies above 0 and at most at 1")
     entries = entries.filter("name is not null and key is not null").groupBy("name", "key").agg(F.max("symbol").alias("symbol"))
     listed = cut(_tokens(entries, "name"))
     asked = cut(_tokens(names, "name"))
@@ -115,11 +132,16 @@ def match(names: DataFrame, entries: DataFrame, least: float = 0.5) -> DataFrame
     best = repaired.groupBy("word").agg(F.max("idf").alias("best"))
     norm = asked.join(own, "word").join(best, "word", "left").groupBy("name").agg(F.sqrt(F.sum(F.pow(F.coalesce("best", "own"), F.lit(2)))).alias("norm"))
     terms = listed.withColumnRenamed("word", "term").join(weights, "term")
-    size = terms.groupBy("name").agg(F.sqrt(F.sum(F.pow("idf", F.lit(2)))).alias("length"), F.count("*").alias("words"))
-    entry = terms.select(F.col("name").alias("entry"), "term", "number").join(size.withColumnRenamed("name", "entry"), "entry")
-    met = asked.join(repaired, "word").join(entry, ["term", "number"])
-    pairs = met.groupBy("name", "entry").agg(F.sum(F.col("idf") * F.col("idf") * F.col("similarity")).alias("dot"), F.count_distinct("term").alias("hit"), F.first("words").alias("words"), F.first("length").alias("length"))
-    scored = pairs.filter("hit = words").join(norm, "name").withColumn("score", F.col("dot") / (F.col("norm") * F.col("length"))).filter(F.col("score") >= least)
+    square = F.col("idf") * F.col("idf")
+    size = terms.groupBy("name").agg(F.sum(square).alias("square"))
+    entry = cut(terms.join(size, "name").select(F.col("name").alias("entry"), "term", "number", "idf", "square"))
+    # the rarest words of an entry, as few as must contain one that is met
+    rest = F.sum(square).over(Window.partitionBy("entry").orderBy(F.desc("idf"), "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rare = entry.withColumn("rest", rest).filter(F.col("rest") >= F.col("square") * cover - 1e-9).select("entry", "term", "number")
+    told = cut(asked.join(repaired.select("word", "term", "similarity"), "word").groupBy("name", "term", "number").agg(F.max("similarity").alias("similarity")))
+    pairs = told.join(rare, ["term", "number"]).select("name", "entry").distinct()
+    met = pairs.join(entry, "entry").join(told.drop("number"), ["name", "term"]).groupBy("name", "entry").agg(F.sum(square * F.col("similarity")).alias("dot"), F.sum(square).alias("met"), F.first("square").alias("square"))
+    scored = met.filter(F.col("met") >= F.col("square") * cover - 1e-9).join(norm, "name").withColumn("score", F.col("dot") / (F.col("norm") * F.sqrt("square"))).filter(F.col("score") >= least)
     ranked = scored.select("name", F.col("entry"), F.round("score", 9).alias("score")).join(entries.withColumnRenamed("name", "entry"), "entry")
     top = ranked.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), (~F.col("symbol")).alias("y"), "key")).alias("b"))
     return top.select("name", F.col("b.key").alias("key"), (-F.col("b.s")).alias("score"))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "identity_number", "street_address", "name")
 LONGEST = 160
-FEWEST = 6
-
+#: Digits of a number.
+FEWEST, MOST = 6, 34
 
 
 def _letters(*kinds: str) -> str:
@@ -81,9 +81,14 @@ def _around(g: Grammar, line: str, start: int, end: int) -> tuple[str, str, str,
     return (l[-1] if l else "^"), (l[-2] if len(l) > 1 else "^"), (r[0] if r else "$"), (r[1] if len(r) > 1 else "$")
 
 
+def _class(c: str) -> str:
+    """The kind of a character beside a span, itself if it is a mark."""
+    return "^" if not c else "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+
+
 def _candidate(g, line, start, end, kind, own):
     l1, l2, r1, r2 = _around(g, line, start, end)
-    f = [f"{kind}|bias", f"{kind}|l1={l1}", f"{kind}|l2={l2} {l1}", f"{kind}|r1={r1}", f"{kind}|r2={r1} {r2}", *(f"{kind}|{x}" for x in own)]
+    f = [f"{kind}|bias", f"{kind}|lc={_class(line[:start].rstrip()[-1:])}", f"{kind}|rc={_class(line[end : end + 2].lstrip()[:1])}", f"{kind}|l1={l1}", f"{kind}|l2={l2} {l1}", f"{kind}|r1={r1}", f"{kind}|r2={r1} {r2}", *(f"{kind}|{x}" for x in own)]
     return start, end, kind, f
 
 
@@ -109,7 +114,7 @@ def proposals(g: Grammar, line: str) -> list:
                     s -= 1
                 span = text[s : min(e, s + LONGEST + 1)]
                 digits = sum(c.isdigit() for c in span)
-                if digits > 16 or e - s > LONGEST:
+                if digits > MOST or e - s > LONGEST:
                     break  # as are all that end later
                 if digits < FEWEST:
                     continue
@@ -155,7 +160,9 @@ def proposals(g: Grammar, line: str) -> list:
                         continue
                     l1, l2, r1, r2 = _around(g, line, s, e)
                     edge = ("a" if a == 0 else "") + ("b" if b == n - 1 else "")
-                    f = [f"name|p={p}", f"name|l1={l1}", f"name|l2={l2} {l1}", f"name|r1={r1}", f"name|r2={r1} {r2}", "name|bias", f"name|edge={edge}", f"name|pl={p} {l1}"]
+                    f = [f"name|p={p}", f"name|lc={_class(line[:s].rstrip()[-1:])}", f"name|rc={_class(line[e : e + 2].lstrip()[:1])}", f"name|l1={l1}", f"name|l2={l2} {l1}", f"name|r1={r1}", f"name|r2={r1} {r2}", "name|bias", f"name|edge={edge}", f"name|pl={p} {l1}"]
+                    # short words at the ends may be titles or labels
+                    f += [f"name|{at}={w.lower()}" for at, w in (("fw", line[s:e].split(" ")[0]), ("lw", cores[-1])) if len(w) <= 4]
                     if len(set(cores)) < len(cores):
                         f.append("name|twice")
                     out.append((s, e, "name", f))
@@ -166,11 +173,14 @@ def proposals(g: Grammar, line: str) -> list:
 def decode(candidates: list, weights: dict[str, float]) -> list:
     """The best set of segments without overlap: Viterbi over candidates, given the kind of the one before."""
     scored = []
+    moves = [w for k in KINDS for b in ("^", *KINDS) if (w := weights.get(f"{b}>{k}"))]
+    # a candidate below this only lowers a parse, whatever its neighbours
+    least = -(2 * max(moves, default=0.0) - min(0.0, *moves)) - 1e-9 if len(moves) > 1 else -1e9
     for s, e, kind, f in candidates:
         v = 0.0
         for x in f:
             v += weights.get(x, 0.0)
-        if v > -6.0:  # far below the empty parse, whatever its neighbours
+        if v > min(least, 0.0):
             scored.append((s, e, kind, v))
     if not scored:
         return []

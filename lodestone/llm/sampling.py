@@ -14,12 +14,14 @@ empty is reported with nothing drawn. A draw never takes a record twice; a categ
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.runtime import cut
+from lodestone.runtime import cut, partitions
 
 BINS = 1024
 
@@ -78,8 +80,7 @@ def repair(member: np.ndarray, available: np.ndarray, wanted: np.ndarray, floor:
         change[:, (available - count) < step] = np.inf
         # no move may break a floor that holds
         tight = (held - step < np.minimum(floor, held)) & (floor > 0)
-        loses = (m[:, None, :] - m[None, :, :] > 0) & tight
-        change[loses.any(2)] = np.inf
+        change[(m * tight) @ (1 - m).T > 0] = np.inf
         s, t = np.unravel_index(int(change.argmin()), change.shape)
         if change[s, t] < -1e-9:
             count[s] -= step
@@ -91,7 +92,8 @@ def repair(member: np.ndarray, available: np.ndarray, wanted: np.ndarray, floor:
 
 def draw(records: DataFrame, targets: DataFrame, attributes: list[str], seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """records(i, sample, *attributes); targets(draw, sample, attribute, category, share, size, minimum).
-    Returns ((draw, i), report(draw, attribute, category, wanted, available, drawn, share, actual_share, short))."""
+    Returns ((draw, i), report(draw, attribute, category, wanted, available, drawn, share, actual_share, missed, short)):
+    ``missed`` where fewer were drawn than wanted for whatever reason, ``short`` where that is for want of records."""
     targets = targets.filter("draw is not null and category is not null").groupBy("draw", "attribute", "category").agg(*[F.max(c).alias(c) for c in ("sample",)], *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("share", "size", "minimum")])
     targets = cut(targets.withColumn("wanted", F.greatest(F.col("minimum").cast("long"), F.floor(F.col("share") * F.col("size") + 0.5).cast("long"))))
     records = records.filter("i is not null and sample is not null").withColumn("sig", F.array(*[F.coalesce(F.concat(F.lit(a + "="), F.col(f"`{a}`").cast("string")), F.lit("")) for a in attributes])).filter(F.exists("sig", lambda e: e != "")).select("i", "sample", "sig").distinct()
@@ -105,16 +107,21 @@ def draw(records: DataFrame, targets: DataFrame, attributes: list[str], seed: in
         names = [f"{g['attribute']}={g['category']}" for g in goals]
         pdf = pdf[pdf["available"].notna()]
         member = np.array([[n in set(s) for n in names] for s in pdf["sig"]], bool).reshape(len(pdf), len(names))
-        number = int(pdf["draw"].iloc[0]) if len(pdf) else 0
+        number = crc32(str(pdf["draw"].iloc[0]).encode()) if len(pdf) else 0
         count = repair(member, pdf["available"].to_numpy(np.int64), np.array([g["wanted"] for g in goals], float), np.array([g["minimum"] or 0 for g in goals], np.int64), int(pdf["size"].iloc[0]) if len(pdf) else 0, seed ^ number)
         return pd.DataFrame({"draw": pdf["draw"], "sample": pdf["sample"], "sig": pdf["sig"], "available": pdf["available"], "n": count})
 
-    counts = cut(inputs.groupBy("draw").applyInPandas(plan, "draw long, sample string, sig array<string>, available long, n long"))
+    kind = targets.schema["draw"].dataType.simpleString()
+    inputs = inputs.repartition(partitions(records.sparkSession), "draw")  # draws are few bytes, but work
+    counts = cut(inputs.groupBy("draw").applyInPandas(plan, f"draw {kind}, sample string, sig array<string>, available long, n long"))
     pool = records.join(counts.filter("n > 0").select("draw", "sample", "sig", "n"), ["sample", "sig"])
     pool = pool.withColumn("u", F.pmod(F.xxhash64("i", "draw", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
-    sample = take_first(pool, ["draw", "sig"], "u", "i", "n").select("draw", "i")
-    each = counts.withColumn("e", F.explode("sig")).filter("e <> ''").groupBy("draw", "e").agg(F.sum("available").alias("available"), F.sum("n").alias("drawn"))
-    total = counts.groupBy("draw").agg(F.sum("n").alias("total"))
+    # the report counts the materialised sample
+    sample = cut(take_first(pool, ["draw", "sig"], "u", "i", "n").select("draw", "i", "sig"))
+    taken = sample.groupBy("draw", "sig").agg(F.count("*").alias("n"))
+    by = lambda d, c, name: d.withColumn("e", F.explode("sig")).filter("e <> ''").groupBy("draw", "e").agg(F.sum(c).alias(name))
+    each = by(counts, "available", "available").join(by(taken, "n", "drawn"), ["draw", "e"], "left")
+    total = taken.groupBy("draw").agg(F.sum("n").alias("total"))
     report = targets.withColumn("e", F.concat_ws("=", "attribute", "category")).join(each, ["draw", "e"], "left").join(total, "draw", "left").fillna(0, ["available", "drawn"])
-    report = report.select("draw", "attribute", "category", "wanted", "available", "drawn", "share", F.try_divide(F.col("drawn"), F.col("total")).alias("actual_share"), (F.col("available") < F.col("wanted")).alias("short"))
-    return sample, report
+    report = report.select("draw", "attribute", "category", "wanted", "available", "drawn", "share", F.try_divide(F.col("drawn"), F.col("total")).alias("actual_share"), (F.col("drawn") < F.col("wanted")).alias("missed"), ((F.col("drawn") < F.col("wanted")) & (F.col("available") < F.col("wanted"))).alias("short"))
+    return sample.drop("sig"), report

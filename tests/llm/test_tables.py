@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.clusters import plain
 from lodestone.llm.mixing import mix
-from lodestone.llm.names import map_records, match, one_edit, tokenise
+from lodestone.llm.names import deletions, edit_distance, edits_for, map_records, match, tokenise
 from lodestone.llm.packing import batch_plan, bucket_bounds, pack, packing_report
 from lodestone.llm.sampling import canonical, draw, repair, take_first
 from lodestone.llm.tokens import with_tokens
@@ -100,11 +100,22 @@ def test_draw(spark):
     assert r[1, "A"]["drawn"] == 20 and r[1, "B"]["drawn"] == 20 and not r[1, "A"]["short"]
     assert r[2, "C"]["short"] and r[2, "C"]["drawn"] == r[2, "C"]["available"]
     assert r[3, "A"]["short"] and r[3, "A"]["drawn"] == 0
+    assert r[2, "C"]["missed"] and not r[1, "B"]["missed"]
     got = [(x["draw"], x["i"]) for x in sample.collect()]
+    named = targets.withColumn("draw", F.concat(F.lit("d"), "draw"))
+    assert draw(records, named, ["kind"])[0].filter("draw = 'd1'").count() == 40
     assert len(got) == len(set(got)) and sum(d == 1 for d, _ in got) == 40
     assert draw(records.limit(0), targets, ["kind"])[0].count() == 0 and draw(records, targets.limit(0), ["kind"])[1].count() == 0
 
 
+def test_swaps_repair_two_attributes_at_once(spark):
+    rows = [(f"i{k}", "s", "A" if k % 5 else "B", "x" if k % 3 else "y") for k in range(300)]
+    records = spark.createDataFrame(rows, "i string, sample string, kind string, side string")
+    plan = [(1, "s", "kind", c, 0.5, 60, 0) for c in "AB"] + [(1, "s", "side", c, 0.5, 60, 0) for c in "xy"]
+    sample, report = draw(records, spark.createDataFrame(plan, "draw long, sample string, attribute string, category string, share double, size long, minimum long"), ["kind", "side"])
+    assert {r["drawn"] for r in report.collect()} == {30} and sample.count() == 60
+
+
 def test_canonical(spark):
     names = spark.createDataFrame([("Dorsal mural",), ("Dorsal tufted",), ("Rim",)], "name string")
     df = spark.createDataFrame([("dorsal_MURAL",), ("Dorsal m",), ("Dorsal",), ("R",), (None,), ("x",)], "c string")
@@ -119,7 +130,19 @@ def test_names():
     for a in words:
         for b in words:
             near = a == b or any(b in s for s in ({a[:i] + a[i + 1 :] for i in range(len(a))}, {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in "abcdex"}, {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in "abcdex"}, {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}))
-            assert one_edit(a, b) == near, (a, b)
+            assert (edit_distance(a, b, 1) <= 1) == near, (a, b)
+            assert not near or set(deletions(a, 1)) & set(deletions(b, 1))
+    assert [edits_for(n) for n in (3, 4, 8, 9, 14)] == [0, 1, 1, 2, 3]
+    assert edit_distance("glutamate", "glutmaet", 2) == 2 and edit_distance("abcdefghi", "ihgfedcba", 2) == 3
+
+
+def test_two_edits_and_part_of_an_entry(spark):
+    ref = spark.createDataFrame([(1, "Harmonisation factor 3", True), (2, "quellin", True), (3, "quellin receptor beta 4", True)], "key long, name string, symbol boolean")
+    names = spark.createDataFrame([("Harmonsiatoin facter 3",), ("receptor beta 4",), ("qellin",), ("beta 4",)], "name string")
+    full = {r["name"]: r["key"] for r in match(names, ref).collect()}
+    assert full == {"Harmonsiatoin facter 3": 1, "qellin": 2}
+    part = {r["name"]: r["key"] for r in match(names, ref, least=0.3, cover=0.6).collect()}
+    assert part["receptor beta 4"] == 3 and "beta 4" not in part
 
 
 def test_map_records(spark):

@@ -123,6 +123,18 @@ def test_ward_equals_merging_by_hand():
     assert n.sum() == 3000 and len(n) <= 4
 
 
+def test_tree_branches_and_keeps_every_row():
+    x = np.random.default_rng(0).random((6000, 3))
+    t = FeatureTree(3, 300)
+    t.insert(x)
+    n, s, q = t._all()
+    assert n.sum() == pytest.approx(6000) and np.allclose(s.sum(0), x.sum(0)) and q.sum() == pytest.approx((x * x).sum())
+    assert t.depth() > 1 and max(len(k.n) for k in t.root.leaves()) <= 32 and len(n) <= 600
+    t = FeatureTree(1, 50)
+    t.insert(np.zeros((500, 1)))  # all alike
+    assert len(t._all()[0]) <= 100 and t._all()[0].sum() == 500
+
+
 def test_clusters_are_found(spark):
     rng = np.random.default_rng(1)
     base = rng.gamma(1, 2, (4, 30)) + 0.1
