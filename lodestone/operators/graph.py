@@ -36,9 +36,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     return every.join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _bisect(w: np.ndarray, threshold: float, dim: int, max_size: int | None, min_size: int) -> np.ndarray:
-    """Labels of the parts of a connected graph: halves it by the second eigenvector as long as a part is too large or the cut
-    is cheap for its size (relative to the surface of a compact body of that dimension)."""
+def _bisect(w: np.ndarray, threshold: float, dim: int, max_size: int | None, min_size: int, xy: np.ndarray | None = None, reach: float | None = None, aspect: float | None = None) -> np.ndarray:
+    """Labels of the parts of a connected graph: halves it by the second eigenvector as long as a part is too large, too wide or too
+    long, or the cut is cheap for its size (relative to the surface of a compact body of that dimension)."""
     label, todo, done = np.zeros(len(w), int), [np.arange(len(w))], 0
     while todo:
         part = todo.pop()
@@ -53,7 +53,8 @@ def _bisect(w: np.ndarray, threshold: float, dim: int, max_size: int | None, min
             if min(side.sum(), (~side).sum()) >= min_size:
                 cost = sub[np.ix_(side, ~side)].sum() / max(sub.sum() / 2, 1e-12)
                 compact = 1 / (1 + 2 * dim * ((len(part) / 2) ** (1 / dim) - 1)) if len(part) > 2 else 1.0
-                if cost / max(compact, 1e-12) <= threshold or (max_size and len(part) > max_size):
+                shape = xy is not None and len(part) > 2 and _stretched(xy[part], reach, aspect)
+                if cost / max(compact, 1e-12) <= threshold or (max_size and len(part) > max_size) or shape:
                     split = side
         if split is None:
             label[part] = done
@@ -63,29 +64,79 @@ def _bisect(w: np.ndarray, threshold: float, dim: int, max_size: int | None, min
     return label
 
 
-def spectral_clustering(edges: DataFrame, nodes: DataFrame, max_size: int | None = None, min_size: int = 1, dim: int = 2, cut_threshold: float = 0.7, largest: int = 4000) -> DataFrame:
-    """(node, cluster). Connected components are independent tasks; each is split by normalised cuts. A component of more than
-    ``largest`` nodes is refused: its matrix wouldn't fit a task (use a smaller radius)."""
-    comp = cut(connected_components(edges, nodes))
-    biggest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if biggest > largest:
-        raise ValueError(f"a component has {biggest} nodes; at most {largest} can be split spectrally")
-    e = edges.select(F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), "w").join(comp.withColumnRenamed("node", "i"), "i")
+def _stretched(xy: np.ndarray, reach: float | None, aspect: float | None) -> bool:
+    if reach is not None and np.ptp(xy, axis=0).max() > reach:
+        return True
+    if aspect is None:
+        return False
+    values = np.sqrt(np.maximum(np.linalg.eigvalsh(np.cov(xy.T)), 0))
+    return bool(values[-1] > aspect * max(values[0], 1e-12))
+
+
+def spectral_clustering(edges: DataFrame, nodes: DataFrame, max_size: int | None = None, min_size: int = 1, dim: int = 2, cut_threshold: float = 0.7, largest: int = 4000, rounds: int = 60, positions: DataFrame | None = None, position_range: float | None = None, max_aspect_ratio: float | None = None) -> DataFrame:
+    """(node, cluster), named by the smallest node. Connected components are independent tasks; each is split by normalised cuts.
+
+    Components of more than ``largest`` nodes are halved first, all at once and as often as it takes: the second eigenvector
+    comes from ``rounds`` power steps, joins of the edge table, and its sign halves the component (its median where one side
+    has less than a hundredth); halves that fall apart are components of their own. With ``positions`` (node, x, y), parts wider
+    than ``position_range``, or longer than ``max_aspect_ratio`` times their width, are split too."""
+    names = lambda c: F.col(c).cast("string").alias(c)
+    links = cut(edges.select(names("i"), names("j"), F.col("w").cast("double").alias("w")).filter("i is not null and j is not null and i <> j and w > 0"))
+    links = cut(links.union(links.select("j", "i", "w")).groupBy("i", "j").agg(F.max("w").alias("w")))
+    every = nodes.select(F.col(nodes.columns[0]).cast("string").alias("node")).filter("node is not null").distinct()
+    comp = cut(connected_components(links, every))
+    while True:
+        big = comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > largest)
+        if not big.take(1):
+            break
+        comp = cut(_halved(links, comp, cut(big.select("component")), rounds))
+        inside = links.join(comp.select(F.col("node").alias("i"), F.col("component").alias("a")), "i").join(comp.select(F.col("node").alias("j"), F.col("component").alias("b")), "j").filter("a = b").select("i", "j", "w")
+        links = cut(inside)
+        comp = cut(connected_components(links, every))
+    e = links.join(comp.withColumnRenamed("node", "i"), "i")
     both = comp.select("component", F.col("node").alias("i"), F.col("node").alias("j"), F.lit(0.0).alias("w")).unionByName(e.select("component", "i", "j", "w"))
+    at = positions.select(F.col(positions.columns[0]).cast("string").alias("i"), "x", "y") if positions is not None else None
+    both = both.join(at, "i", "left") if at is not None else both.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0))
+    shape = (position_range, max_aspect_ratio) if positions is not None else (None, None)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.array(sorted(set(pdf["i"]) | set(pdf["j"])))
-        at = {v: k for k, v in enumerate(names)}
-        w = np.zeros((len(names), len(names)))
-        np.maximum.at(w, (pdf["i"].map(at), pdf["j"].map(at)), pdf["w"])
+        found = np.array(sorted(set(pdf["i"])))
+        place = pd.Index(found)
+        i, j = place.get_indexer(pdf["i"]), place.get_indexer(pdf["j"])
+        w = np.zeros((len(found), len(found)))
+        np.maximum.at(w, (i, j), pdf["w"])
         w = np.maximum(w, w.T)
-        label = _bisect(w, cut_threshold, dim, max_size, min_size)
-        first = [names[label == k][0] for k in range(label.max() + 1)]
-        return pd.DataFrame({"node": names, "cluster": [first[k] for k in label]})
+        xy = np.zeros((len(found), 2))
+        xy[i] = pdf[["x", "y"]].to_numpy(float)
+        label = _bisect(w, cut_threshold, dim, max_size, min_size, np.nan_to_num(xy), *shape)
+        first = [found[label == k][0] for k in range(label.max() + 1)]
+        return pd.DataFrame({"node": found, "cluster": [first[k] for k in label]})
 
     return both.groupBy("component").applyInPandas(run, "node string, cluster string")
 
 
+def _halved(links: DataFrame, comp: DataFrame, big: DataFrame, rounds: int) -> DataFrame:
+    """``comp`` with the large components cut in two by the sign of the second eigenvector of their normalised links."""
+    inner = comp.join(big, "component", "left_semi")
+    e = links.join(inner.select(F.col("node").alias("i"), "component"), "i")
+    degree = e.groupBy("i").agg(F.sum("w").alias("d"))
+    e = cut(e.join(degree, "i").select("i", "j", (F.col("w") / F.col("d")).alias("p")))
+    start = (F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) - 0.5).alias("v")
+    v = cut(inner.join(degree.withColumnRenamed("i", "node"), "node").select("node", "component", "d", start))
+    share = lambda c: F.sum(F.col("d") * F.col(c)) / F.sum("d")
+    for k in range(rounds):
+        # half a step of the random walk, freed of the constant vector
+        step = e.join(v.select(F.col("node").alias("j"), "v"), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("p") * F.col("v")).alias("u"))
+        v = v.join(step, "node").select("node", "component", "d", ((F.col("v") + F.col("u")) / 2).alias("v"))
+        if k % 10 == 9 or k == rounds - 1:
+            mean = v.groupBy("component").agg(share("v").alias("m"), F.max(F.abs("v")).alias("s"))
+            v = cut(v.join(F.broadcast(mean), "component").select("node", "component", "d", ((F.col("v") - F.col("m")) / F.greatest("s", F.lit(1e-300))).alias("v")))  # large components only: few
+    sides = v.groupBy("component").agg(F.percentile_approx("v", 0.5).alias("middle"), F.avg((F.col("v") > 0).cast("double")).alias("up"))
+    cuts = sides.select("component", F.when(F.col("up").between(0.01, 0.99), 0.0).otherwise(F.col("middle")).alias("c"))
+    side = v.join(F.broadcast(cuts), "component").select("node", (F.col("v") > F.col("c")).alias("up"))
+    return comp.join(side, "node", "left").select("node", F.concat("component", F.when(F.col("up"), "+").when(~F.col("up"), "-").otherwise("")).alias("component"))
+
+
 def segment(molecules: DataFrame, distance_scale: float, max_size: int | None = None, max_distance: float | None = None, annotation: DataFrame | None = None, annotation_distance: float | None = None, **kw) -> DataFrame:
     """(node, cluster): molecules (obs, x, y) in cells: radius graph, optionally apart by label, affinities, spectral clustering."""
     d = sparse_distances(molecules, max_distance or 2 * distance_scale)

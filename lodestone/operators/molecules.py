@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.annotate import annotate
-from lodestone.operators.elementwise import row_mode
-from lodestone.operators.spatial import bin_points
+from lodestone.operators.elementwise import normalize_total, row_mode
+from lodestone.operators.platform import random_platform_effect
+from lodestone.operators.spatial import bin_points, periodic_distance
 from lodestone.operators.split import hand_out, split_exact
 from lodestone.operators.aggregate import reference_profiles
 from lodestone.runtime import cut
@@ -40,23 +43,79 @@ def distribute_molecules(x: DataFrame, positions: DataFrame, width: float, seed:
     return rows.select("obs", F.col("var").alias("gene"), (F.col("x") + width * F.randn(seed)).alias("x"), (F.col("y") + width * F.randn(seed + 1)).alias("y"))
 
 
-def mix_in_silico(x: DataFrame, labels: DataFrame, beads: int, size: float, seed: int = 0, capture: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(counts, weights) of beads at random places on the unit torus that collect the reads of observations at random places,
-    weighted by a Gaussian of the distance. Candidate pairs come from grid cells of three widths, not from all pairs."""
+#: Weights below this count as 0.
+LEAST = 1e-3
+_SOFT = 1.16
+
+
+def bead_profile(shape: str | float, scale: float) -> tuple[Callable, Callable, float]:
+    """(profile of a distance column, the same of numbers, integral over the plane): 'gauss', 'disc', or the softness of a disc whose
+    edge falls like a hyperbolic tangent; 1 at distance 0."""
+    if shape == "gauss":
+        return (lambda d: F.exp(-0.5 * (d / scale) ** 2)), (lambda d: np.exp(-0.5 * (d / scale) ** 2)), 2 * np.pi * scale**2
+    if shape == "disc":
+        return (lambda d: (d < scale).cast("double")), (lambda d: (d < scale) * 1.0), np.pi * scale**2
+    width = _SOFT * float(shape) * scale
+    edge = lambda d: (np.tanh(-(d - scale) / width) + 1) / 2
+    r = np.linspace(0, 5 * (scale + width), 20_001)
+    area = float(np.trapezoid(2 * np.pi * r * edge(r), r)) / edge(0.0)
+    return (lambda d: (F.tanh(-(d - scale) / width) + 1) / 2 / float(edge(0.0))), (lambda d: edge(d) / edge(0.0)), area
+
+
+def mix_in_silico(
+    x: DataFrame,
+    labels: DataFrame,
+    beads: int | None = 30_000,
+    bead_size: float = 1.0,
+    shape: str | float = 0.1,
+    capture_rate: float | str | None = 1.0,
+    norm_cells: bool = False,
+    platform_log10_mean: float | None = None,
+    platform_log10_std: float = 0.6,
+    round: bool = True,
+    min_counts: float | None = 100,
+    seed: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """(counts, labels) of beads at random places on the unit torus that collect the reads of observations at random places.
+
+    A bead of size 1 is as wide as an observation if they fill the plane. Weights follow ``shape`` (see ``bead_profile``), times
+    ``capture_rate``; divided by their sum over the bead's observations ('normalized'), or by the integral of the profile
+    times the number of observations (None). ``norm_cells`` scales observations to their median total; with a
+    ``platform_log10_mean`` variables get random factors. Beads below ``min_counts`` drop out. The labels (obs, category, weight,
+    mass, reads, bare_reads) are the share of reads, the sum of weights, and the reads with and without the factors.
+    Candidate pairs come from grid cells as wide as the weights reach, not from all pairs."""
     spark = x.sparkSession
+    beads = 30_000 if beads is None else beads
+    labels = cut(labels.filter("category is not null").select("obs", "category"))
+    n_obs = max(1, labels.count())
+    scale = bead_size * 0.5 / n_obs**0.5
+    column, number, area = bead_profile(shape, scale)
+    factor = float(capture_rate) if isinstance(capture_rate, (int, float)) else 1.0 if capture_rate == "normalized" else 1 / (n_obs * area)
+    floor = LEAST * 1e-3 if capture_rate == "normalized" else LEAST
+    far = np.linspace(0, 12 * scale * (1 + (0 if isinstance(shape, str) else float(shape))), 24_001)
+    inside = far[number(far) * factor >= floor]
+    reach = min(0.5, float(inside.max(initial=0.0)) + far[1])
     u = lambda c, k: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(k)), F.lit(1 << 52)) / float(1 << 52)
-    reach = min(0.5, 3 * size)
-    n = max(1, int(1 / reach))
+    n = max(1, int(1 / max(reach, 1e-6)))
     cell = lambda c: F.least(F.lit(n - 1), F.floor(F.col(c) * n)).cast("int")
-    obs = labels.select("obs", "category").withColumn("x", u("obs", 1)).withColumn("y", u("obs", 2)).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    obs = labels.withColumn("x", u("obs", 1)).withColumn("y", u("obs", 2)).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     bead = spark.range(beads).select(F.format_string("bead%d", "id").alias("bead")).withColumn("bx", u("bead", 3)).withColumn("by", u("bead", 4)).withColumn("c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
     bead = bead.select("bead", "bx", "by", F.pmod(cell("bx") + F.col("c.i"), F.lit(n)).alias("cx"), F.pmod(cell("by") + F.col("c.j"), F.lit(n)).alias("cy")).distinct()
-    from lodestone.operators.spatial import periodic_distance
-
     d = periodic_distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))
-    pairs = obs.join(bead, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= reach).withColumn("w", F.exp(-(F.col("d") ** 2) / (2 * size**2)) * capture)
-    reads = x.join(pairs.select("obs", "bead", "category", "w"), "obs").withColumn("r", F.col("value") * F.col("w"))
-    counts = reads.groupBy(F.col("bead").alias("obs"), "var").agg(F.sum("r").alias("value"))
-    soft = reads.groupBy(F.col("bead").alias("obs"), "category").agg(F.sum("r").alias("weight"))
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("obs"))
-    return counts, soft.withColumn("weight", share)
+    pairs = obs.join(bead, ["cx", "cy"]).withColumn("d", d).filter(F.col("d") <= reach).withColumn("w", column(F.col("d")) * factor)
+    if capture_rate == "normalized":
+        pairs = pairs.withColumn("w", F.try_divide("w", F.sum("w").over(Window.partitionBy("bead"))))
+    pairs = cut(pairs.filter(F.col("w") >= LEAST).select("obs", "bead", "category", "w"))
+    bare = x.select("obs", "var", "value")
+    bare = normalize_total(bare) if norm_cells else bare
+    scaled = bare if platform_log10_mean is None else random_platform_effect(bare, platform_log10_mean, platform_log10_std, seed)[0]
+    value = F.sum(F.col("value") * F.col("w"))
+    counts = scaled.join(pairs, "obs").groupBy(F.col("bead").alias("obs"), "var").agg((F.bround(value, 0) if round else value).alias("value")).filter("value <> 0")
+    if min_counts is not None:
+        counts = cut(counts)
+        enough = counts.groupBy("obs").agg(F.sum("value").alias("n")).filter(F.col("n") >= min_counts).select("obs")
+        counts, pairs = counts.join(enough, "obs", "left_semi"), pairs.join(enough.withColumnRenamed("obs", "bead"), "bead", "left_semi")
+    total = lambda m, name: m.groupBy("obs").agg(F.sum("value").alias(name))
+    reads = pairs.join(total(scaled, "t"), "obs").join(total(bare, "b"), "obs")
+    soft = reads.groupBy(F.col("bead").alias("obs"), "category").agg(F.sum("w").alias("mass"), F.sum(F.col("w") * F.col("t")).alias("reads"), F.sum(F.col("w") * F.col("b")).alias("bare_reads"))
+    return counts, soft.select("obs", "category", F.try_divide("reads", F.sum("reads").over(Window.partitionBy("obs"))).alias("weight"), "mass", "reads", "bare_reads")

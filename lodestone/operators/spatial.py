@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.nearby import near_pairs
+from lodestone.operators.nearby import near_pairs, tiled
 from lodestone.operators.similarity import cdist
 from lodestone.runtime import cut
 
@@ -95,31 +95,58 @@ def periodic_distance(a, b, c, d):
     return F.hypot(wrap(a, c), wrap(b, d))
 
 
-def nearest_labelled(points: DataFrame, labelled: DataFrame, k: int, group: str | None = None, cell: float | None = None) -> DataFrame:
+def nearest_labelled(points: DataFrame, labelled: DataFrame, k: int, group: str | None = None, tile_points: int = 4096) -> DataFrame:
     """(i, j, distance, rank): for each point its k nearest labelled points of the group; equals by name.
 
-    Points are grouped with the labelled points of their group, salted, so that many points of a group are many tasks;
-    the labelled points of a group are searched with a grid in blocks."""
-    g = F.col(group).cast("string") if group else F.lit("")
-    salts = 16
-    q = points.select(F.col("obs").cast("string").alias("obs"), "x", "y", g.alias("g"), F.pmod(F.xxhash64("obs"), F.lit(salts)).cast("int").alias("s")).filter("g is not null")
-    # names of its own, as both sides may come from one table
-    r = labelled.select(F.col("obs").cast("string").alias("robs"), F.col("x").alias("rx"), F.col("y").alias("ry"), g.alias("rg"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("rs")).filter("rg is not null")
-
-    def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        right = right.sort_values("robs")
-        xy, names = right[["rx", "ry"]].to_numpy(), right["robs"].to_numpy(object)
-        for at in range(0, len(left) if len(right) else 0, 256):
-            part = left.iloc[at : at + 256]
-            d = np.sqrt(((part[["x", "y"]].to_numpy()[:, None] - xy[None]) ** 2).sum(2))
-            top = min(k, d.shape[1])
-            order = np.argsort(d, axis=1, kind="stable")[:, :top]
-            out.append((np.repeat(part["obs"].to_numpy(object), top), names[order].ravel(), np.take_along_axis(d, order, 1).ravel(), np.tile(np.arange(1, top + 1), len(part))))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], [], []]
-        return pd.DataFrame({"i": pd.Series(columns[0], dtype=object), "j": pd.Series(columns[1], dtype=object), "distance": columns[2], "rank": columns[3]})
-
-    return q.groupBy("g", "s").cogroup(r.groupBy("rg", "rs")).applyInPandas(search, "i string, j string, distance double, rank int")
+    Points and the labelled points around them meet in tiles (``nearby.tiled``) within a radius that holds k labelled points at
+    their mean density; points that found fewer go on with three times the radius, until it spans the groups."""
+    g = F.struct(F.col(group).cast("string").alias("g0")) if group else F.struct(F.lit("").alias("g0"))
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    side = lambda d, left: d.select(F.col("obs").cast("string").alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), g.alias("g"), F.lit(left).alias("l"), F.lit(not left).alias("r")).filter(F.col("k").isNotNull() & fine("x") & fine("y") & F.col("g.g0").isNotNull())
+    asks, known = cut(side(points, True).distinct()), cut(side(labelled, False).distinct())
+    frame = known.groupBy("g").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{m}") for c in "xy" for m, f in (("0", F.min), ("1", F.max))])
+    wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    radius = frame.select(F.sqrt(F.greatest(wide * high, F.pow(F.greatest(wide, high), F.lit(2)) / F.col("n")) * (1.5 * k) / F.col("n")).alias("v")).agg(F.percentile_approx("v", 0.5)).first()[0] or 1.0
+    ends = asks.unionByName(known).groupBy("g").agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).agg(F.max(F.hypot("x", "y"))).first()[0] or 0.0
+    schema = "i string, j string, distance double"
+
+    def searcher(radius: float):
+        def search(left, right):
+            (ka, a), (kb, b) = left, right
+            order = np.argsort(kb, kind="stable")
+            kb, b = kb[order], b[order]
+            step = max(1, 2_000_000 // len(b))
+            for at in range(0, len(a), step):
+                d = np.sqrt(((a[at : at + step, None] - b[None]) ** 2).sum(2))
+                last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                i, j = np.nonzero(d <= np.minimum(last, radius)[:, None])
+                far = d[i, j]
+                order = np.lexsort([j, far, i])
+                i, j, far = i[order], j[order], far[order]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                yield pd.DataFrame({"i": ka[at + i[first]], "j": kb[j[first]], "distance": far[first]})
+
+        return search
+
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))
+    parts = []
+    while True:
+        last = radius >= ends
+        found = tiled(asks.unionByName(known), radius, searcher(radius), schema, tile_points)
+        found = cut(found.withColumn("rank", rank).filter(F.col("rank") <= k))
+        if last:
+            parts.append(found)
+            break
+        done = found.filter(F.col("rank") == k).select(F.col("i").alias("k"))
+        parts.append(found.join(done.withColumnRenamed("k", "i"), "i", "left_semi"))
+        asks = cut(asks.join(done, "k", "left_anti"))
+        if not asks.take(1):
+            break
+        radius *= 3
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def fill_regions(points: DataFrame, k: int = 1, group: str | None = None) -> DataFrame:

@@ -219,11 +219,6 @@ def _(s, d):
     return qc.counts_validity(clean_counts(s, d))
 
 
-@query("qc_fixpoint")
-def _(s, d):
-    return qc.filter_fixpoint([clean_counts(s, d)], min_counts_per_gene=20, min_counts_per_cell=60, min_cells_per_gene=10, min_genes_per_cell=15)[0]
-
-
 @query("gene_filter_fold", """, g AS (SELECT v.var, k.category, coalesce(p.p, 0) AS p FROM (SELECT DISTINCT var FROM prof) v CROSS JOIN (SELECT DISTINCT category FROM lab) k LEFT JOIN prof p ON p.var = v.var AND p.category = k.category),
 u AS (SELECT *, sum(p + 1e-30) OVER (PARTITION BY var) AS t, count(*) OVER (PARTITION BY var) AS k FROM g)
 SELECT var FROM u GROUP BY var HAVING bool_or(ln((p + 1e-30) / ((t - (p + 1e-30)) / (k - 1))) >= ln(2)) AND max(p) >= 1e-5""")
@@ -391,11 +386,6 @@ def _(s, d):
     return T.contingency(o.select("obs", F.col("category").alias("value")), o.select("obs", F.col("section").alias("group")))
 
 
-@query("enrichment_fisher")
-def _(s, d):
-    return T.fisher_enrichment(QUERIES["contingency"](s, d))
-
-
 def _samples(s, d):
     """Shares of categories by sample, compared between kinds of samples (by the parity of the name's last digit)."""
     return sample_weights(s, d).select(F.col("category").alias("value"), F.when(F.right("obs", F.lit(1)).cast("int") % 2 == 0, "even").otherwise("odd").alias("group"), F.col("weight").alias("x"))
@@ -408,8 +398,7 @@ def _(s, d):
     return T.u_statistics(_samples(s, d)).select("value", "group", "u", "n1")
 
 
-for _m in ("mwu", "t", "welch"):
-    query(f"enrichment_{_m}")(lambda s, d, m=_m: T.enrichment(_samples(s, d), m))
+query("enrichment_mwu")(lambda s, d: T.enrichment(_samples(s, d), "mwu"))
 
 _P = "WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) * p_retailprice / 1000000 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS r, count(*) OVER () AS n FROM p) "
 _ADJ = {

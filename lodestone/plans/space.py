@@ -223,14 +223,7 @@ def _(s, d):
 query("annotate_projection")(lambda s, d: N.annotate(*_halves(s, d), "projection"))
 query("annotate_nnls")(lambda s, d: N.annotate(*_halves(s, d), "nnls"))
 query("annotate_ot")(lambda s, d: N.annotate(*_halves(s, d), "OT", bisections=0, platform_iterations=-1))
-query("annotate_ot_default")(lambda s, d: N.annotate(*_halves(s, d)))
-query("annotate_svm")(lambda s, d: N.annotate(*_halves(s, d), "svm"))
-query("annotate_nmf")(lambda s, d: N.annotate(*_halves(s, d), "NMFreg"))
-query("annotate_wot")(lambda s, d: N.annotate(*_halves(s, d), "WOT"))
-query("annotate_novosparc")(lambda s, d: N.annotate(*_halves(s, d), "novosparc"))
 query("annotate_bisected")(lambda s, d: N.annotate(*_halves(s, d), "nnls", bisections=2))
-query("annotate_multi_center")(lambda s, d: N.annotate(*_halves(s, d), "nnls", multi_centers=3))
-query("annotate_platform")(lambda s, d: N.annotate(*_halves(s, d), "nnls", platform_iterations=0, max_annotation=2))
 
 
 def _mixture(s, d):
@@ -287,47 +280,14 @@ def _(s, d):
     return rounded(orthology.convert(clean_counts(s, d), orthology.conversion(_homology(s, d), "mouse", "human")))
 
 
-@query("over_representation")
-def _(s, d):
-    g = _homology(s, d).filter("taxon = 9606")
-    members = g.select(F.col("symbol").alias("gene"), F.left("symbol", F.lit(1)).alias("term"))
-    return T.over_representation(members, g.filter("synonyms is not null").select(F.col("symbol").alias("gene")), g.select(F.col("symbol").alias("gene")), alpha=1.1)
-
-
-@query("platform_factors")
-def _(s, d):
-    a, b, _ = _halves(s, d)
-    return platform.normalize_platform(a, None, b, return_factors=True)
-
-
-@query("random_platform_effect")
-def _(s, d):
-    return platform.random_platform_effect(clean_counts(s, d))[0]
-
-
-@query("subsample_annotation")
-def _(s, d):
-    return platform.subsample_annotation(labels(s, d), {"Dorsal m": 2.0, "Arcuate lining": 0.5})
-
-
 @query("subsample_sizes", """SELECT category, CASE WHEN category = 'Arcuate lining' THEN n // 2 WHEN category = 'Dorsal mural' THEN 2 * n ELSE n END AS n FROM ncat""")
 def _(s, d):
     return platform.subsample_annotation(labels(s, d), {"Dorsal m": 2.0, "Arcuate lining": 0.5}).groupBy("category").agg(F.sum("draws").alias("n"))
 
 
-@query("mix_in_silico")
-def _(s, d):
-    return molecules.mix_in_silico(clean_counts(s, d), labels(s, d), 200, 0.03)[0]
-
-
-@query("distribute_molecules")
-def _(s, d):
-    return molecules.distribute_molecules(clean_counts(s, d), points(s, d).select("obs", "x", "y"), 1.0)
-
-
 @query("distributed_totals", _PTS + "SELECT x.var AS gene, CAST(sum(x.value) AS BIGINT) AS n FROM x JOIN p ON p.obs = x.obs WHERE x.value >= 1 GROUP BY 1")
 def _(s, d):
-    return QUERIES["distribute_molecules"](s, d).groupBy("gene").agg(F.count("*").alias("n"))
+    return molecules.distribute_molecules(clean_counts(s, d), points(s, d).select("obs", "x", "y"), 1.0).groupBy("gene").agg(F.count("*").alias("n"))
 
 
 @query("annotate_molecules")
@@ -403,13 +363,6 @@ def _(s, d):
     return plotdata.label_positions(points(s, d), one_hot(labels(s, d)))
 
 
-@query("significances")
-def _(s, d):
-    o = clean_obs(s, d)
-    t = T.fisher_enrichment(T.contingency(o.select("obs", F.col("category").alias("value")), o.select("obs", F.col("sample").alias("group"))))
-    return plotdata.significance_map(t)
-
-
 @query("annotated_heatmap", """, n AS (SELECT category, n, sum(n) OVER () AS a FROM ncat),
 s AS (SELECT l.category, x.var, sum(ln(1 + x.value)) AS s, sum(ln(1 + x.value) ^ 2) AS q FROM x JOIN lab l ON l.obs = x.obs GROUP BY 1, 2),
 g AS (SELECT v.var, n.category, n.n, n.a - n.n AS m, coalesce(s.s, 0) AS s, coalesce(s.q, 0) AS q FROM (SELECT DISTINCT var FROM s) v CROSS JOIN n LEFT JOIN s ON s.var = v.var AND s.category = n.category),
@@ -422,14 +375,6 @@ def _(s, d):
     return rounded(plotdata.annotated_heatmap(x, lab, qc.rank_markers(x, lab, 2).select("var", "category")), 5)
 
 
-@query("co_occurrence_soft")
-def _(s, d):
-    """Annotations smoothed over the label's lineage, around hard centers."""
-    lab = one_hot(labels(s, d))
-    soft = lab.select("obs", "category", F.lit(0.8).alias("weight")).unionByName(lab.select("obs", F.lit("other").alias("category"), F.lit(0.2).alias("weight")))
-    return C.co_occurrence(points(s, d), soft, 60.0, 20.0, lab)
-
-
 @query("principal_components")
 def _(s, d):
     return embedding.preprocess_single_cell(clean_counts(s, d), 50, 5)
