@@ -236,7 +236,7 @@ f AS (SELECT s.sample, a.category AS annotation, b.category AS center, t.k, CAST
   LEFT JOIN cnt ON cnt.sample = s.sample AND cnt.annotation = a.category AND cnt.center = b.category AND cnt.k = t.k),
 sc AS (SELECT *, (c + 1) / sum(c + 1) OVER (PARTITION BY sample, k, center) AS composition, sum(c + 1) OVER (PARTITION BY sample, k, annotation) / sum(c + 1) OVER (PARTITION BY sample, k) AS overall FROM f)
 SELECT sample, annotation, center, k, round(c, 7) AS c, round(composition / overall, 7) AS occ, round(composition, 7) AS composition FROM sc
-UNION ALL SELECT NULL, annotation, center, k, round(sum(c), 5), round(avg(composition / overall), 5), round(avg(composition), 5) FROM sc GROUP BY annotation, center, k""")
+UNION ALL SELECT NULL, annotation, center, k, round(sum(c), 7), round(avg(composition / overall), 7), round(avg(composition), 7) FROM sc GROUP BY annotation, center, k""")
 def _(s, d):
     """Annotations with a fifth of a common category, around hard centers."""
     lab = one_hot(labels(s, d))
