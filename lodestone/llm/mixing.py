@@ -25,7 +25,7 @@ BINS = 4096
 def mix(documents: DataFrame, weights: DataFrame, identifier: str, source: str, size: str, quality: str | None = None, total: float | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """((identifier, source, uses), report); weights has source, target_weight, max_repeats. Total: by default the size
     of all documents that have a source. The report has for each listed source: available, budget, used, target_weight,
-    actual_share (of what was used), short (whether available times max_repeats is less than the budget)."""
+    actual_share (of what was used), short (whether every use of every document is in the mixture and the budget still isn't met)."""
     w = F.col(f"`{quality}`").cast("double") if quality else F.lit(1.0)
     docs = documents.select(F.col(f"`{identifier}`").alias("i"), F.col(f"`{source}`").cast("string").alias("s"), F.col(f"`{size}`").cast("long").alias("n"), w.alias("w"))
     docs = cut(docs.filter("i is not null and s is not null and n > 0").withColumn("w", F.when(F.col("w").between(1e-6, 1e300), F.col("w")).otherwise(1e-6)))
@@ -33,7 +33,7 @@ def mix(documents: DataFrame, weights: DataFrame, identifier: str, source: str,
     listed = weights.select(F.col("source").cast("string").alias("s"), F.coalesce(F.col("target_weight").cast("double"), F.lit(0.0)).alias("target_weight"), F.greatest(F.lit(0), F.coalesce(F.col("max_repeats").cast("long"), F.lit(0))).alias("max_repeats")).filter("s is not null").groupBy("s").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     all_of_it = F.lit(float(total)).alias("total") if total is not None else F.coalesce(F.sum("available").cast("double"), F.lit(0.0)).alias("total")
     plan = listed.join(have, "s", "left").crossJoin(have.agg(all_of_it))
-    plan = plan.fillna(0, ["available"]).fillna(1.0, ["mean_w"]).withColumn("budget", F.col("target_weight") * F.col("total")).withColumn("short", F.col("available") * F.col("max_repeats") < F.col("budget"))
+    plan = plan.fillna(0, ["available"]).fillna(1.0, ["mean_w"]).withColumn("budget", F.col("target_weight") * F.col("total"))
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.least("max_repeats", F.floor(F.col("budget") / F.col("available")))).otherwise(0).cast("long"))
     plan = cut(plan.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0.0)))
     # keys, and their bins: 1 - exp(-key) is uniform where all weights are alike
@@ -52,5 +52,5 @@ def mix(documents: DataFrame, weights: DataFrame, identifier: str, source: str,
     chosen = cut(used.filter("uses > 0").select(F.col("i").alias(identifier), F.col("s").alias(source), F.col("n"), "uses"))
     got = chosen.groupBy(F.col(f"`{source}`").alias("s")).agg(F.sum(F.col("n") * F.col("uses")).alias("used"))
     report = plan.join(got, "s", "left").fillna(0, ["used"])
-    report = report.crossJoin(got.agg(F.sum("used").alias("mixed"))).select(F.col("s").alias("source"), "available", "max_repeats", "budget", "used", "target_weight", F.try_divide(F.col("used"), F.col("mixed")).alias("actual_share"), "short")
+    report = report.crossJoin(got.agg(F.sum("used").alias("mixed"))).select(F.col("s").alias("source"), "available", "max_repeats", "budget", "used", "target_weight", F.try_divide(F.col("used"), F.col("mixed")).alias("actual_share"), ((F.col("used") == F.col("available") * F.col("max_repeats")) & (F.col("used") < F.col("budget"))).alias("short"))
     return chosen.select(f"`{identifier}`", f"`{source}`", "uses"), report

@@ -88,7 +88,7 @@ def _class(c: str) -> str:
 
 def _candidate(g, line, start, end, kind, own):
     l1, l2, r1, r2 = _around(g, line, start, end)
-    f = [f"{kind}|bias", f"{kind}|lc={_class(line[:start].rstrip()[-1:])}", f"{kind}|rc={_class(line[end : end + 2].lstrip()[:1])}", f"{kind}|l1={l1}", f"{kind}|l2={l2} {l1}", f"{kind}|r1={r1}", f"{kind}|r2={r1} {r2}", *(f"{kind}|{x}" for x in own)]
+    f = [f"{kind}|bias", f"{kind}|lc={_class(line[max(0, start - 4) : start].rstrip()[-1:])}", f"{kind}|rc={_class(line[end : end + 2].lstrip()[:1])}", f"{kind}|l1={l1}", f"{kind}|l2={l2} {l1}", f"{kind}|r1={r1}", f"{kind}|r2={r1} {r2}", *(f"{kind}|{x}" for x in own)]
     return start, end, kind, f
 
 
@@ -160,7 +160,7 @@ def proposals(g: Grammar, line: str) -> list:
                         continue
                     l1, l2, r1, r2 = _around(g, line, s, e)
                     edge = ("a" if a == 0 else "") + ("b" if b == n - 1 else "")
-                    f = [f"name|p={p}", f"name|lc={_class(line[:s].rstrip()[-1:])}", f"name|rc={_class(line[e : e + 2].lstrip()[:1])}", f"name|l1={l1}", f"name|l2={l2} {l1}", f"name|r1={r1}", f"name|r2={r1} {r2}", "name|bias", f"name|edge={edge}", f"name|pl={p} {l1}"]
+                    f = [f"name|p={p}", f"name|lc={_class(line[max(0, s - 4) : s].rstrip()[-1:])}", f"name|rc={_class(line[e : e + 2].lstrip()[:1])}", f"name|l1={l1}", f"name|l2={l2} {l1}", f"name|r1={r1}", f"name|r2={r1} {r2}", "name|bias", f"name|edge={edge}", f"name|pl={p} {l1}"]
                     # short words at the ends may be titles or labels
                     f += [f"name|{at}={w.lower()}" for at, w in (("fw", line[s:e].split(" ")[0]), ("lw", cores[-1])) if len(w) <= 4]
                     if len(set(cores)) < len(cores):
