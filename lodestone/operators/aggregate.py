@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,14 +51,40 @@ def refine_reference(x: DataFrame, weights: DataFrame, profiles: DataFrame, regu
     return new_p, new_w
 
 
-def contributions(values: DataFrame, groups: DataFrame, reduction: str | None = "sum", normalization: str | None = None, restrict_groups: list | None = None, restrict_values: list | None = None, fillna: float | None = None, min_obs: int = 0) -> DataFrame:
+def contributions(
+    values: DataFrame,
+    groups: DataFrame,
+    reduction: str | Callable | None = "sum",
+    normalization: str | Callable | None = None,
+    restrict_groups: list | None = None,
+    restrict_values: list | None = None,
+    fillna: float | None = None,
+    min_obs: int = 0,
+    positions: DataFrame | None = None,
+    position_split: int | tuple[int, ...] | None = None,
+    reads: DataFrame | None = None,
+    zeros: str | None = None,
+) -> DataFrame:
     """(group, sample, value_key, contribution).
 
     values(obs, category, weight) are soft or hard labels, numbers or counts; groups(obs, group[, sample]). Per group and
-    sample the weights are reduced (sum, mean, median; None keeps observations) over a complete grid, then normalised by row:
-    sum (shares), percent, gmean (by the geometric mean), clr (log of that)."""
+    sample the weights are reduced (sum, mean, median, or a function from a column, zeros included, to an aggregate; None keeps
+    observations) over a complete grid, then normalised by row: sum (shares), percent, gmean (by the geometric mean), clr
+    (log of that), the name of a value (by its contribution), or a function of (column, window of the row).
+
+    ``position_split`` parts, along x and then y of positions(obs, x, y), make samples of each sample. ``reads`` (obs, total)
+    multiplies the weights. ``zeros`` says what the geometric mean does with them: None, the shares are null; 'counts', 1 is added
+    to everything; 'small', they become a thousandth of the least positive value; 'auto', one or the other by whether all
+    contributions are whole."""
     has_sample = "sample" in groups.columns
     g = groups.select("obs", F.col("group").cast("string").alias("group"), (F.col("sample").cast("string") if has_sample else F.lit("")).alias("sample")).filter("group is not null and sample is not null")
+    if position_split:
+        from lodestone.operators.spatial import split_spatial_samples
+
+        split = (position_split,) * 2 if isinstance(position_split, int) else tuple(position_split)
+        placed = g.join(positions.select("obs", "x", "y").filter("x is not null and y is not null and not isnan(x) and not isnan(y)"), "obs")
+        parts = split_spatial_samples(placed, [(axis, n) for axis, n in zip("xy", split) if n > 1])
+        g = parts.filter("label is not null").select("obs", "group", F.col("label").alias("sample"))
     if restrict_groups is not None:
         g = g.filter(F.col("group").isin(restrict_groups))
     if min_obs:
@@ -67,16 +95,19 @@ def contributions(values: DataFrame, groups: DataFrame, reduction: str | None =
         v = v.filter(F.col("category").isin(restrict_values))
     if fillna is not None:
         v = v.fillna(fillna, ["weight"])
+    if reads is not None:
+        v = v.join(reads.select("obs", "total"), "obs").select("obs", "category", (F.col("weight") * F.col("total")).alias("weight"))
     joined = v.join(g, "obs")
     cats = v.select("category").distinct()
     rows = g.groupBy("group", "sample").agg(F.count("*").alias("n"))
     if reduction is None:
         rows = g.select("group", "sample", "obs")
         sums = joined.groupBy("group", "sample", "obs", "category").agg(F.sum("weight").alias("c"))
-    elif reduction == "median":
-        # absent entries are zeros: the median is one of the stored weights only if they are the majority
+    elif reduction == "median" or callable(reduction):
+        # absent entries are zeros
         full = g.crossJoin(F.broadcast(cats)).join(v, ["obs", "category"], "left").fillna(0.0, ["weight"])
-        sums = full.groupBy("group", "sample", "category").agg(F.percentile("weight", 0.5).alias("c"))
+        reduced = reduction(F.col("weight")) if callable(reduction) else F.percentile("weight", 0.5)
+        sums = full.groupBy("group", "sample", "category").agg(reduced.alias("c"))
     else:
         sums = joined.groupBy("group", "sample", "category").agg(F.sum("weight").alias("c"))
     keys = [c for c in rows.columns if c != "n"]
@@ -85,6 +116,14 @@ def contributions(values: DataFrame, groups: DataFrame, reduction: str | None =
         grid = grid.withColumn("c", F.col("c") / F.col("n"))
     w = Window.partitionBy(*keys)
     c = F.col("c")
+    if normalization in ("gmean", "clr") and zeros:
+        if zeros == "auto":
+            zeros = "counts" if grid.agg(F.bool_and((c >= 0) & (c == F.rint(c)))).first()[0] else "small"
+        if zeros == "small":
+            least = grid.filter("c > 0").agg(F.min("c")).first()[0] or 1.0
+            grid = grid.withColumn("c", F.when(c == 0, F.lit(1e-3 * least)).otherwise(c))
+        else:
+            grid = grid.withColumn("c", c + 1)
     if normalization in ("sum", "percent"):
         c = F.try_divide(c, F.sum("c").over(w)) * (100 if normalization == "percent" else 1)
     elif normalization in ("gmean", "clr"):
@@ -92,6 +131,10 @@ def contributions(values: DataFrame, groups: DataFrame, reduction: str | None =
         logs = F.avg(F.when(F.col("c") > 0, F.log("c"))).over(w)
         all_there = F.min("c").over(w) > 0
         c = F.when(all_there, F.log("c") - logs if normalization == "clr" else F.col("c") / F.exp(logs))
+    elif callable(normalization):
+        c = normalization(c, w)
+    elif normalization is not None:
+        c = F.try_divide(c, F.max(F.when(F.col("category") == normalization, F.col("c"))).over(w))
     return grid.select(*keys, F.col("category").alias("value_key"), c.alias("contribution"))
 
 
@@ -116,6 +159,30 @@ def combine_layers(x: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
     return x.join(F.broadcast(m), "layer").groupBy("obs", "var", F.col("coarse").alias("layer")).agg(F.sum("value").alias("value"))
 
 
+def merge_layers(x: DataFrame, layers: list[str] | None = None, min_reads: float | None = None) -> DataFrame:
+    """Layered counts (obs, var, layer, value) as virtual observations (obs, layer): those of some layers, with at least
+    ``min_reads`` (or any)."""
+    x = x if layers is None else x.filter(F.col("layer").isin(layers))
+    kept = x.groupBy("obs", "layer").agg(F.sum("value").alias("t")).filter("t > 0" if min_reads is None else F.col("t") >= min_reads).select("obs", "layer")
+    return x.join(kept, ["obs", "layer"], "left_semi")
+
+
+def pick_types(weights: DataFrame, types: list[str], column: str = "category") -> DataFrame:
+    """Rows of some types, with their place in the given order in ``order``."""
+    order = F.array_position(F.array(*[F.lit(t) for t in types]).cast("array<string>"), F.col(column))
+    return weights.withColumn("order", order.cast("int")).filter("order > 0")
+
+
+def widen(x: DataFrame, row: str, column: str, value: str, names: list[str]) -> DataFrame:
+    """One column for each of ``names``, sums of the value, null where there is none."""
+    return x.groupBy(row).pivot(column, names).agg(F.sum(value))
+
+
+def lengthen(wide: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """(row, column, value) of a wide table; nulls drop out."""
+    return wide.unpivot(row, [c for c in wide.columns if c != row], column, value).filter(F.col(value).isNotNull())
+
+
 def category_priors(x: DataFrame, weights: DataFrame) -> DataFrame:
     """(category, prior): each category's share of the reads, by soft labels that sum to 1."""
     reads = get_sum(x).join(normalise(weights, "obs", "weight"), "obs").groupBy("category").agg(F.sum(F.col("total") * F.col("weight")).alias("prior"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.runtime import cut
+
 
 def divide(a: DataFrame, b: DataFrame) -> DataFrame:
     """a / b at the entries stored in both."""
@@ -45,8 +47,8 @@ def normalize_total(x: DataFrame, target: float | None = None) -> DataFrame:
     sums = x.groupBy("obs").agg(F.sum("value").alias("_s"))
     if target is not None:
         return normalise(x, "obs", "value", target)
-    middle = sums.agg(F.percentile("_s", 0.5).alias("_t"))
-    return x.join(sums.crossJoin(F.broadcast(middle)), "obs").select("obs", "var", (F.try_divide("value", "_s") * F.col("_t")).alias("value"))
+    (middle,) = quantiles(sums, "_s", [0.5]) or (None,)
+    return x.join(sums, "obs").select("obs", "var", (F.try_divide("value", "_s") * F.lit(middle).cast("double")).alias("value"))
 
 
 def inverse_mapping(mapping: dict[str, list[str]]) -> dict[str, str]:
@@ -105,14 +107,67 @@ def mixture_profiles(profiles: DataFrame, include_pure: bool = False) -> tuple[D
     return mixed, half.join(n, "category").select("mixture", "category", (F.col("half") / F.col("n")).alias("weight"))
 
 
+def in_ranges(df: DataFrame, by: str) -> DataFrame:
+    """df sorted into ranges of a column, written once, with the range ``_p`` and the place ``_k`` in it, from 1: what needs an order
+    over all rows goes range by range, and from range to range by one row each."""
+    parts = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_p", F.spark_partition_id())
+    return cut(parts.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(by))))
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Quantiles by linear interpolation between order statistics, nulls and NaN apart; none of an empty column."""
+    parts = in_ranges(df.select(F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)"), "v")
+    sizes = [(r[0], r[1]) for r in parts.groupBy("_p").count().orderBy("_p").collect()]  # a row a range
+    n = sum(c for _, c in sizes)
+    if not n:
+        return []
+    places = {}
+    for rank in {int(q * (n - 1)) + d for q in shares for d in (0, 1)} & set(range(n)):
+        before = 0
+        for p, c in sizes:
+            if rank < before + c:
+                places[p, rank - before + 1] = rank
+                break
+            before += c
+    wanted = df.sparkSession.createDataFrame([(p, k, r) for (p, k), r in places.items()], "_p int, _k int, r long")
+    at = {r["r"]: r["v"] for r in parts.join(F.broadcast(wanted), ["_p", "_k"]).collect()}  # two a quantile
+    out = []
+    for q in shares:
+        h = q * (n - 1)
+        low = int(h)
+        out.append(at[low] + (h - low) * (at[min(low + 1, n - 1)] - at[low]))
+    return out
+
+
+BINS = 1024
+
+
+def take_first(df: DataFrame, groups: list[str], key: str, tie: str, n: str) -> DataFrame:
+    """Of each group, the ``n`` rows (a column, alike within the group) smallest by (key, tie); key lies in [0, 1).
+    Counts bins of keys and sorts only the bin in which the n-th row lies."""
+    binned = df.withColumn("_bin", F.floor(F.col(key) * BINS).cast("int"))
+    counts = binned.groupBy(*groups, "_bin").agg(F.count("*").alias("_c"), F.first(n).alias("_n"))
+    run = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = counts.withColumn("_before", run - F.col("_c")).filter(F.col("_before") < F.col("_n"))
+    near = binned.join(steps.select(*groups, "_bin", "_c", "_before"), [*groups, "_bin"])
+    whole = near.filter(F.col("_before") + F.col("_c") <= F.col(n))
+    edge = near.filter(F.col("_before") + F.col("_c") > F.col(n))
+    rank = F.row_number().over(Window.partitionBy(*groups, "_bin").orderBy(key, tie))
+    edge = edge.withColumn("_r", rank).filter(F.col("_before") + F.col("_r") <= F.col(n)).drop("_r")
+    return whole.unionByName(edge).drop("_bin", "_c", "_before")
+
+
 def complete_choice(df: DataFrame, group: str, key: str, size: DataFrame, seed: int = 0) -> DataFrame:
     """Rows drawn from each group without replacement, ``size`` (group, n) of them; where n exceeds the group, every row comes
     in whole rounds and the remainder is drawn. Column ``draws`` says how often a row was drawn."""
-    n = df.groupBy(group).agg(F.count("*").alias("_m"))
-    ranked = df.join(n, group).join(size, group).withColumn("_u", F.xxhash64(F.col(key).cast("string"), F.lit(seed)))
-    r = F.row_number().over(Window.partitionBy(group).orderBy("_u", key))
-    draws = F.floor(F.col("n") / F.col("_m")) + (F.col("_r") <= F.col("n") % F.col("_m")).cast("long")
-    return ranked.withColumn("_r", r).withColumn("draws", draws.cast("long")).filter("draws > 0").drop("_m", "n", "_u", "_r")
+    m = df.groupBy(group).agg(F.count("*").alias("_m"))
+    plan = m.join(size, group).select(group, F.floor(F.col("n") / F.col("_m")).cast("long").alias("_whole"), (F.col("n") % F.col("_m")).cast("long").alias("_rest"))
+    u = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    rows = df.join(plan, group).withColumn("_u", u)
+    drawn = take_first(rows.filter("_rest > 0"), [group], "_u", key, "_rest").select(group, *[c for c in df.columns if c != group], F.lit(1).cast("long").alias("draws"))
+    whole = rows.filter("_whole > 0").select(group, *[c for c in df.columns if c != group], F.col("_whole").alias("draws"))
+    both = drawn.unionByName(whole)
+    return both.groupBy(*df.columns).agg(F.sum("draws").alias("draws"))
 
 
 def integrate_mean(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.elementwise import quantiles
 from lodestone.operators.nearby import near_pairs, tiled
 from lodestone.operators.similarity import cdist
 from lodestone.runtime import cut
@@ -180,9 +181,9 @@ def balanced_cuts(df: DataFrame, value: str, n: int, group: str | None = None, s
 
 def quantile_labels(df: DataFrame, value: str, n: int) -> DataFrame:
     """``quantile``: the number of inner n-quantiles strictly below the value (intervals open on the left), repeated quantiles once."""
-    q = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / n) for k in range(1, n)]))).alias("_q"))
-    v = F.col(value)
-    return df.crossJoin(F.broadcast(q)).withColumn("quantile", F.size(F.filter("_q", lambda c: c < v)).cast("int")).drop("_q")
+    cuts = sorted(set(quantiles(df, value, [k / n for k in range(1, n)])))
+    below = sum((F.when(F.col(value) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return df.withColumn("quantile", F.when(F.col(value).isNotNull(), below).cast("int"))
 
 
 def principal_axis(df: DataFrame, group: str) -> DataFrame:

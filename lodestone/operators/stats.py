@@ -11,22 +11,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.tests import fisher, mann_whitney, student_tail
+from lodestone.operators.aggregate import contributions
+from lodestone.operators.elementwise import in_ranges
 
 DIRECTIONS = ("enriched", "purified")
 
 
 def adjust(df: DataFrame, p: str, method: str = "fdr_bh", name: str = "p_adjusted", by: Sequence[str] = ()) -> DataFrame:
     """Adjusted p values over all rows, or those of equal ``by`` (a table of tests; nulls stay null): bonferroni, holm, fdr_bh or fdr_by."""
+    if method not in ("bonferroni", "holm", "fdr_bh", "fdr_by"):
+        raise ValueError(f"unknown correction {method!r}")
     tests = df.filter(F.col(p).isNotNull())
-    up = Window.partitionBy(*by).orderBy(p)
-    ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    v, r, n = F.col(p), F.col("_r"), F.col("_n")
-    down = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    one = F.lit(1.0)
-    harmonic = F.sum(1 / r).over(Window.partitionBy(*by))
-    q = {"bonferroni": F.least(one, v * n), "holm": F.least(one, F.max(v * (n - r + 1)).over(upto)), "fdr_bh": F.least(one, F.min(v * n / r).over(down)), "fdr_by": F.least(one, F.min(F.col("_h") * v * n / r).over(down))}[method]
-    out = ranked.withColumn("_h", harmonic).withColumn(name, q).drop("_r", "_n", "_h")
+    if by:
+        tests, group = tests.withColumn("_p", F.struct(*by)), [F.col("_p")]
+        ranked = tests.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(p))).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
+        ranked = ranked.withColumn("_h", F.sum(1 / F.col("_r")).over(Window.partitionBy(*group)))
+    else:
+        # ranks over all tests go range by range
+        parts = in_ranges(tests, p)
+        upto = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        sizes = parts.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", upto - F.col("_c")).drop("_c")  # a row a range
+        ranked = parts.join(F.broadcast(sizes), "_p").withColumn("_r", F.col("_b") + F.col("_k")).drop("_b", "_k")
+        ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("_n"), F.sum(1 / F.col("_r")).alias("_h"))))
+    v, r, n, one = F.col(p), F.col("_r"), F.col("_n"), F.lit(1.0)
+    raw = {"bonferroni": v * n, "holm": v * (n - r + 1), "fdr_bh": v * n / r, "fdr_by": F.col("_h") * v * n / r}[method]
+    ranked = ranked.withColumn("_q", raw)
+    if method == "bonferroni":
+        q = F.col("_q")
+    else:
+        # the greatest so far (holm), or the least from here on
+        most = method == "holm"
+        w = Window.partitionBy("_p").orderBy("_r" if most else F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        q = (F.max if most else F.min)("_q").over(w)
+        if not by:
+            across = Window.orderBy("_p" if most else F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+            other = ranked.groupBy("_p").agg((F.max if most else F.min)("_q").alias("_e")).withColumn("_o", (F.max if most else F.min)("_e").over(across)).drop("_e")  # a row a range
+            ranked = ranked.join(F.broadcast(other), "_p")
+            q = (F.greatest if most else F.least)(q, "_o")
+    out = ranked.withColumn(name, F.least(one, q)).select(*df.columns, name)
     return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
@@ -125,6 +147,26 @@ def enrichment(samples: DataFrame, method: str = "mwu", p_corr: str = "fdr_bh",
     return adjust(tested.withColumn("p", F.when(F.isnan("p"), None).otherwise(F.col("p"))), "p", p_corr)
 
 
+def enrichments(values: DataFrame, groups: DataFrame, method: str = "mwu", reference_group: str | None = None, p_corr: str = "fdr_bh", n_boot: int = 0, direction: str = "both", reduction: str | None = "mean", normalization: str | None = "gmean", **kw) -> DataFrame:
+    """(value, group, enrichment, p, p_adjusted): tests of every value in every group against the other groups, or a reference
+    group. values(obs, category, weight) and groups(obs, group[, sample]) go through ``contributions`` (whose other options,
+    such as ``positions`` with ``position_split``, ``reads`` and ``min_obs``, are passed on), so that a sample (or part of one)
+    is one measurement; without samples every observation is. 'fisher' tests the numbers of observations by label and
+    group instead. ``direction`` 'enriched' or 'purified' tests and corrects for one side only."""
+    if direction not in ("both", *DIRECTIONS):
+        raise ValueError(f"direction is 'both', 'enriched' or 'purified', not {direction!r}")
+    if method == "fisher":
+        tested = fisher_enrichment(contingency(values.select("obs", F.col("category").alias("value")), groups.select("obs", "group")), p_corr)
+    else:
+        single = "sample" not in groups.columns and not kw.get("position_split")
+        c = contributions(values, groups, None if single else reduction, normalization, **kw)
+        samples = c.filter("contribution is not null and not isnan(contribution)").select(F.col("value_key").alias("value"), "group", F.col("contribution").alias("x"))
+        tested = enrichment(samples, method, p_corr, reference_group, n_boot)
+    if direction == "both":
+        return tested
+    return adjust(tested.filter(F.col("enrichment") == direction).drop("p_adjusted"), "p", p_corr)
+
+
 def over_representation(members: DataFrame, study: DataFrame, population: DataFrame, namespaces: DataFrame | None = None, alpha: float = 0.05, p_corr: str = "fdr_bh") -> DataFrame:
     """(term, a, n_term, p, p_adjusted): terms over-represented in study(gene) within population(gene), by Fisher's test;
     members(gene, term). Corrected over all terms, or by namespace if namespaces(term, namespace) are given; terms

@@ -320,3 +320,47 @@ _T = {
 }
 for _m, _sql in _T.items():
     query(f"enrichment_{_m}", _SIDES + _sql + _TAIL)(lambda s, d, m=_m: rounded(T.enrichment(matrix._samples(s, d), m).filter("p is not null"), 6))
+
+
+@query("enrichments_welch", """, s AS (SELECT c.category AS value, CASE WHEN CAST(right(o.obs, 1) AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS grp, coalesce(w.weight, 0) AS x
+  FROM (SELECT DISTINCT obs FROM w) o CROSS JOIN (SELECT DISTINCT category FROM w) c LEFT JOIN w ON w.obs = o.obs AND w.category = c.category),
+""" + _SIDES.split("),\n", 1)[1] + _T["welch"] + _TAIL)
+def _(s, d):
+    """Shares of labels in samples, compared between samples of even and odd names."""
+    o = clean_obs(s, d).filter("sample is not null and category is not null")
+    g = o.select("obs", F.when(F.right("sample", F.lit(1)).cast("int") % 2 == 0, "even").otherwise("odd").alias("group"), "sample")
+    return rounded(T.enrichments(one_hot(o.select("obs", "category")), g, "welch", reduction="sum", normalization="sum").filter("p is not null"), 6)
+
+
+@query("contributions_clr_counts", matrix._GRID + "SELECT \"group\", sample, value_key, round(ln(c + 1) - avg(ln(c + 1)) OVER (PARTITION BY \"group\", sample), 6) AS contribution FROM f")
+def _(s, d):
+    return rounded(A.contributions(one_hot(labels(s, d)), matrix._groups(s, d), "sum", "clr", zeros="auto"))
+
+
+@query("contributions_reads", matrix._GRID + """, r AS (SELECT g.grp, g.sample, l.category, sum(t.n) AS c FROM g JOIN lab l ON l.obs = g.obs JOIN tot t ON t.obs = g.obs GROUP BY 1, 2, 3)
+SELECT k.grp AS "group", k.sample, k.category AS value_key, coalesce(r.c, 0) AS contribution FROM k LEFT JOIN r ON r.grp = k.grp AND r.sample = k.sample AND r.category = k.category""")
+def _(s, d):
+    return A.contributions(one_hot(labels(s, d)), matrix._groups(s, d), "sum", reads=A.get_sum(clean_counts(s, d)))
+
+
+@query("contributions_split", space._PTS + """, g AS (SELECT obs, CAST(section AS VARCHAR) AS grp, sample, x FROM p), r AS (SELECT sample, x, row_number() OVER (PARTITION BY sample ORDER BY x) AS k, count(*) OVER (PARTITION BY sample) AS m FROM g),
+cu AS (SELECT sample, avg(x) AS c FROM r WHERE m >= 2 AND k IN (CAST(round_even(m / 2.0, 0) AS INT), CAST(round_even(m / 2.0, 0) AS INT) + 1) GROUP BY sample),
+h AS (SELECT g.obs, g.grp, g.sample || '|' || CASE WHEN cu.c < g.x THEN '1' ELSE '0' END AS sample FROM g JOIN cu USING (sample)),
+k AS (SELECT a.grp, a.sample, c.category FROM (SELECT DISTINCT grp, sample FROM h) a CROSS JOIN (SELECT DISTINCT category FROM lab) c), n AS (SELECT h.grp, h.sample, l.category, count(*) AS c FROM h JOIN lab l ON l.obs = h.obs GROUP BY 1, 2, 3)
+SELECT k.grp AS "group", k.sample, k.category AS value_key, CAST(coalesce(n.c, 0) AS DOUBLE) AS contribution FROM k LEFT JOIN n ON n.grp = k.grp AND n.sample = k.sample AND n.category = k.category""")
+def _(s, d):
+    p = space.points(s, d)
+    return A.contributions(one_hot(labels(s, d)), p.select("obs", F.col("section").alias("group"), "sample"), "sum", positions=p, position_split=(2, 1))
+
+
+@query("wide_shares", "SELECT obs, category, round(weight, 6) AS weight FROM w")
+def _(s, d):
+    w = matrix.sample_weights(s, d)
+    names = sorted(r[0] for r in w.select("category").distinct().collect())  # few categories
+    return rounded(A.lengthen(A.widen(w, "obs", "category", "weight", names), "obs", "category", "weight"))
+
+
+@query("merge_layers", "SELECT x.obs, x.var, c.lineage AS layer, x.value FROM x JOIN lab l ON l.obs = x.obs JOIN categories c ON c.annotation_key = l.category JOIN tot t ON t.obs = x.obs WHERE t.n >= 150")
+def _(s, d):
+    layers = E.relabel(labels(s, d), matrix.lineages(s, d)).select("obs", F.col("category").alias("layer"))
+    return A.merge_layers(clean_counts(s, d).join(layers, "obs").select("obs", "var", "layer", "value"), min_reads=150)
