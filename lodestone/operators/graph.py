@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.elementwise import in_ranges
 from lodestone.operators.spatial import affinity, nearest_labelled, sparse_distances, with_annotation
-from lodestone.runtime import cut
+from lodestone.runtime import cut, plain_plans
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def _stretched(xy: np.ndarray, reach: float | None, aspect: float | None) -> boo
     return bool(values[-1] > aspect * max(values[0], 1e-12))
 
 
-def spectral_clustering(edges: DataFrame, nodes: DataFrame, max_size: int | None = None, min_size: int = 1, dim: int = 2, cut_threshold: float = 0.7, largest: int = 4000, rounds: int = 60, positions: DataFrame | None = None, position_range: float | None = None, max_aspect_ratio: float | None = None) -> DataFrame:
+def spectral_clustering(edges: DataFrame, nodes: DataFrame, max_size: int | None = None, min_size: int = 1, dim: int = 2, cut_threshold: float = 0.7, largest: int = 4000, rounds: int = 30, positions: DataFrame | None = None, position_range: float | None = None, max_aspect_ratio: float | None = None) -> DataFrame:
     """(node, cluster), named by the smallest node. Connected components are independent tasks; each is split by normalised cuts.
 
     Components of more than ``largest`` nodes are halved first, all at once and as often as it takes: the second eigenvector
@@ -127,7 +128,7 @@ def _halved(links: DataFrame, comp: DataFrame, big: DataFrame, rounds: int) -> D
     for k in range(rounds):
         # half a step of the random walk, freed of the constant vector
         step = e.join(v.select(F.col("node").alias("j"), "v"), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("p") * F.col("v")).alias("u"))
-        v = v.join(step, "node").select("node", "component", "d", ((F.col("v") + F.col("u")) / 2).alias("v"))
+        v = cut(v.join(step, "node").select("node", "component", "d", ((F.col("v") + F.col("u")) / 2).alias("v")))  # used twice a round
         if k % 10 == 9 or k == rounds - 1:
             mean = v.groupBy("component").agg(share("v").alias("m"), F.max(F.abs("v")).alias("s"))
             v = cut(v.join(F.broadcast(mean), "component").select("node", "component", "d", ((F.col("v") - F.col("m")) / F.greatest("s", F.lit(1e-300))).alias("v")))  # large components only: few
@@ -145,14 +146,79 @@ def segment(molecules: DataFrame, distance_scale: float, max_size: int | None =
     return spectral_clustering(affinity(d, distance_scale), molecules.select("obs"), max_size, **kw)
 
 
-def find_regions(points: DataFrame, weights: DataFrame, k: int = 15, position_weight: float = 3.0, group: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """(obs, region): connected components of the joint graph of position and label. Edges join each point to its k nearest
-    neighbours with ``position_weight``, times a twentieth where the strongest labels differ; both directions add up,
-    and edges not above ``threshold`` are cut."""
-    fine = points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    near = nearest_labelled(fine, fine, k + 1, group).filter("i <> j").select("i", "j", F.lit(float(position_weight)).alias("w"))
-    hard = weights.groupBy("obs").agg(F.max_by("category", "weight").alias("c"))
-    alike = near.join(hard.select(F.col("obs").alias("i"), F.col("c").alias("ci")), "i").join(hard.select(F.col("obs").alias("j"), F.col("c").alias("cj")), "j")
-    graph = alike.withColumn("w", F.col("w") * F.when(F.col("ci") == F.col("cj"), 1.0).otherwise(0.05)).groupBy("i", "j").agg(F.sum("w").alias("w"))
-    graph = cut(graph.union(graph.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w")).filter(F.col("w") > threshold))
-    return connected_components(graph, fine.select("obs")).select(F.col("node").alias("obs"), F.col("component").alias("region"))
+def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, rounds: int = 4, levels: int = 2) -> DataFrame:
+    """(node, community): parts of a weighted undirected graph (i, j, w; both directions) of high modularity, named by their least node.
+
+    In every round half of the nodes, by a hash, go to the community of a neighbour where the modularity grows most; when nothing
+    moves (or after ``rounds``), communities become nodes, at most ``levels`` times in all: parts stay finer than where modularity
+    is greatest. Rounds are joins and aggregations of the edge table."""
+    names = lambda c: F.col(c).cast("string").alias(c)
+    e = cut(edges.select(names("i"), names("j"), F.col("w").cast("double").alias("w")).filter("i is not null and j is not null and w > 0").groupBy("i", "j").agg(F.sum("w").alias("w")))
+    where = cut(nodes.select(F.col(nodes.columns[0]).cast("string").alias("node")).filter("node is not null").distinct().withColumn("community", F.col("node")))
+    total = e.agg(F.sum("w")).first()[0] or 0.0
+    if not total:
+        return where
+    for _ in range(levels):
+        degree = cut(e.groupBy(F.col("i").alias("node")).agg(F.sum("w").alias("d")))
+        at = cut(degree.select("node", F.col("node").alias("c"), "d"))
+        changed, quiet = 0, 0
+        for k in range(rounds):
+            size = at.groupBy("c").agg(F.sum("d").alias("t"))
+            # links of a node to the communities of its neighbours, not counting those to itself
+            links = e.filter("i <> j").join(at.select(F.col("node").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum("w").alias("w"))
+            own = at.select(F.col("node").alias("i"), F.col("c").alias("own"), "d")
+            gain = links.join(own, "i").join(size, "c").withColumn("g", F.col("w") - resolution * F.col("d") * (F.col("t") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)) / total)
+            stay = gain.groupBy("i").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("s"), F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("b"), F.first("own").alias("own"), F.first("d").alias("d"))
+            alone = size.select(F.col("c").alias("own"), F.col("t").alias("mine"))
+            stay = stay.join(alone, "own").withColumn("s", F.coalesce("s", -resolution * F.col("d") * (F.col("mine") - F.col("d")) / total))
+            moves = stay.filter((-F.col("b.g") > F.col("s") + 1e-12) & (F.pmod(F.xxhash64("i", F.lit(k // 2)), F.lit(2)) == k % 2)).select(F.col("i").alias("node"), F.col("b.c").alias("to"))
+            new = cut(at.join(moves, "node", "left").select("node", F.coalesce("to", "c").alias("c"), "d", F.col("to").isNotNull().alias("moved")))
+            n = new.agg(F.count_if("moved")).first()[0]
+            at, changed, quiet = new.drop("moved"), changed + n, 0 if n else quiet + 1
+            if quiet > 1:
+                break
+        where = cut(where.join(at.select(F.col("node").alias("community"), "c"), "community", "left").select("node", F.coalesce("c", "community").alias("community")))
+        if not changed:
+            break
+        part = at.select("node", "c")
+        e = cut(e.join(part.select(F.col("node").alias("i"), F.col("c").alias("a")), "i").join(part.select(F.col("node").alias("j"), F.col("c").alias("b")), "j").groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.sum("w").alias("w")))
+    least = where.groupBy("community").agg(F.min("node").alias("first"))
+    return where.join(least, "community").select("node", F.col("first").alias("community"))
+
+
+def label_neighbours(weights: DataFrame, k: int) -> DataFrame:
+    """(i, j): observations near each other in label space, over all batches: those of one strongest label, in order of its weight
+    (equals by a hash), are linked to the k / 2 next ones on either side. Ranks are counted in ranges."""
+    strong = weights.groupBy("obs").agg(F.max(F.struct("weight", "category")).alias("b")).select(F.col("obs").cast("string").alias("obs"), F.struct("b.category", F.round("b.weight", 6).alias("w"), F.xxhash64("obs").alias("h"), F.col("obs").cast("string").alias("o")).alias("key"))
+    parts = in_ranges(strong, "key")
+    run = F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = parts.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", run - F.col("_c")).drop("_c")  # a row a range
+    ranked = cut(parts.join(F.broadcast(before), "_p").select("obs", F.col("key.category").alias("c"), (F.col("_b") + F.col("_k")).alias("r")))
+    ahead = ranked.select(F.col("obs").alias("i"), F.col("c").alias("ci"), F.explode(F.sequence(F.col("r") + 1, F.col("r") + max(1, k // 2))).alias("r"))
+    half = ahead.join(ranked.select(F.col("obs").alias("j"), "c", "r"), "r").filter("c = ci").select("i", "j")
+    return half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j")))
+
+
+def find_regions(points: DataFrame, weights: DataFrame, k: int = 15, position_weight: float = 3.0, group: str | None = None, resolution: float = 1.0, annotation_connectivity: DataFrame | None = None, position_connectivity: DataFrame | None = None, cross_batch_factor: float = 1.0) -> DataFrame:
+    """(obs, region): communities of the joint graph of label and position, named by their least observation.
+
+    Positions link each point to its k nearest within its batch (``group``), labels to its k neighbours in label space over all
+    batches (or the given (i, j, w) tables do); both are made symmetric and each row sums to 1 at most, links between batches
+    count ``cross_batch_factor`` times, and the graph is (1 - w) label + w position with w = position_weight / (1 + position_weight)."""
+    fine = cut(points.filter("x is not null and y is not null and not isnan(x) and not isnan(y)"))
+    batch = fine.select(F.col("obs").cast("string").alias("node"), (F.col(group).cast("string") if group else F.lit("")).alias("g"))
+    names = lambda c: F.col(c).cast("string").alias(c)
+
+    def share(edges: DataFrame) -> DataFrame:
+        both = edges.filter("i <> j").unionByName(edges.filter("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.max("w").alias("w"))
+        return both.withColumn("w", F.col("w") / k)
+
+    near = position_connectivity.select(names("i"), names("j"), "w") if position_connectivity is not None else nearest_labelled(fine, fine, k + 1, group).select("i", "j", F.lit(1.0).alias("w"))
+    alike = annotation_connectivity.select(names("i"), names("j"), "w") if annotation_connectivity is not None else label_neighbours(weights.join(fine.select("obs"), "obs", "left_semi"), k).withColumn("w", F.lit(1.0))
+    if cross_batch_factor != 1:
+        alike = alike.join(batch.select(F.col("node").alias("i"), F.col("g").alias("gi")), "i").join(batch.select(F.col("node").alias("j"), F.col("g").alias("gj")), "j").select("i", "j", (F.col("w") * F.when(F.col("gi") == F.col("gj"), 1.0).otherwise(cross_batch_factor)).alias("w"))
+    w = position_weight / (1 + position_weight)
+    graph = share(near).withColumn("w", F.col("w") * w).unionByName(share(alike).withColumn("w", F.col("w") * (1 - w)))
+    with plain_plans(points.sparkSession):
+        found = communities(graph, batch.select("node"), resolution)
+    return found.select(F.col("node").alias("obs"), F.col("community").alias("region"))

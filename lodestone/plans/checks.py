@@ -364,3 +364,21 @@ def _(s, d):
 def _(s, d):
     layers = E.relabel(labels(s, d), matrix.lineages(s, d)).select("obs", F.col("category").alias("layer"))
     return A.merge_layers(clean_counts(s, d).join(layers, "obs").select("obs", "var", "layer", "value"), min_reads=150)
+
+
+@query("region_graph", space._PTS + """, k AS (SELECT p.category, count(*) AS n FROM p WHERE p.category IS NOT NULL GROUP BY 1)
+SELECT category, CAST(2 * sum(greatest(0, n - d)) AS BIGINT) AS links, true AS alike FROM k CROSS JOIN range(1, 4) r(d) GROUP BY category""")
+def _(s, d):
+    """Links in label space: of n observations of a label, in order, n - 1, n - 2 and n - 3 pairs, both ways."""
+    lab = one_hot(labels(s, d).join(space.points(s, d).select("obs"), "obs", "left_semi"))
+    e = graph.label_neighbours(lab, 6)
+    at = lab.select(F.col("obs").alias("i"), "category").join(e, "i").join(lab.select(F.col("obs").alias("j"), F.col("category").alias("other")), "j")
+    return at.groupBy("category").agg(F.count("*").alias("links"), F.bool_and(F.col("category") == F.col("other")).alias("alike"))
+
+
+@query("region_cover", space._PTS + "SELECT obs, true AS named FROM p")
+def _(s, d):
+    """Every point with coordinates lies in one region, which is named by one of its points."""
+    r = cut(space.QUERIES["find_regions"](s, d))
+    names = r.select(F.col("obs").alias("region"), F.col("region").alias("own"))
+    return r.join(names, "region", "left").select("obs", F.coalesce(F.col("own") == F.col("region"), F.lit(False)).alias("named"))
