@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.clusters import assign, describe, plain
 from lodestone.llm.mixing import mix
 from lodestone.llm.names import map_records
-from lodestone.llm.neighbours import mutual, nearest
+from lodestone.llm.neighbours import alike, nearest
 from lodestone.llm.packing import pack, packing_report
 from lodestone.llm.pii import find_items, redact
 from lodestone.llm.sampling import canonical, draw
@@ -26,7 +26,7 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutual(p1_neighbours(spark, sf_dir), 0.97)
+    return alike(*dense(read(spark, sf_dir, "counts")), 0.97)
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,8 @@ of the others are the k smallest names of their copies, at similarity 1, which i
 Defined results: see ``vectors.dense`` for null, missing and repeated rows. Fewer than two vectors give no rows. Ties
 go to the smaller name. The result is approximate in that a vector in none of the groups is missed; README.md has the
 recall measured against brute force.
+
+``alike`` finds the pairs beyond a similarity, each among the other's k most similar, without searching all neighbours.
 """
 
 from __future__ import annotations
@@ -37,6 +39,11 @@ WIDE, NARROW, LATER = 96, 8, 8
 BITS = (8, 4)
 #: Vectors of a group that are compared at once; similarities held at once.
 BLOCK, CELLS = 8192, 2_000_000
+#: Bits of a symbol of ``Codes``, most symbols, trees they are tried out with, most trees, share of pairs just as similar as asked
+#: for that may be missed, main axes of a sketch.
+SYMBOL_BITS, SYMBOLS, TRIALS, TREES, MISS, SKETCH = 6, 8, 16, 200, 2e-4, (32, 64, 128)
+#: About how many microseconds an entry, and the comparison of two sketches, takes; entries worked on at once.
+ENTRY_US, PAIR_US, CHUNK = 2.0, 0.05, 200_000
 #: Lists that a task merges.
 ENTRIES = 200_000
 PAIR = "array<struct<s:float,n:string>>"
@@ -104,9 +111,13 @@ def _moments(vec: DataFrame, size: int) -> tuple[int, np.ndarray]:
     return n, (np.array([s[i] for i in range(min(size, DIMENSIONS))]) / max(n, 1)).astype(np.float32) if n else np.zeros(min(size, DIMENSIONS), np.float32)
 
 
-def _best(x: Units, names: pa.Array, asks: np.ndarray, member: np.ndarray, group: np.ndarray, k: int) -> pa.Table:
-    """(k, c): for each asker of each group, its k best members but for itself."""
-    code = names.dictionary_encode().indices.to_numpy()
+def _best(x: Units, names: pa.Array, asks: np.ndarray, member: np.ndarray, group: np.ndarray, k: int, even: bool = False) -> pa.Table:
+    """(k, c): for each asker of each group, its k best members but for itself; even: as double precision and the names have it."""
+    coded = names.dictionary_encode()
+    code = coded.indices.to_numpy()
+    if even:
+        place = np.empty(len(coded.dictionary), np.int64)
+        place[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
     order = np.argsort(group, kind="stable")
     edge = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]]))
     askers, near, sims, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)], [np.zeros(0, np.int64)]
@@ -122,11 +133,21 @@ def _best(x: Units, names: pa.Array, asks: np.ndarray, member: np.ndarray, group
             sim[code[q][:, None] == code[members]] = -2
             best = np.argpartition(sim, len(members) - top, axis=1)[:, len(members) - top :]
             askers.append(q)
-            near.append(members[best].ravel())
-            sims.append(np.take_along_axis(sim, best, 1).ravel())
+            if even:
+                # all that may be among the best at six digits, of which ties go to the smaller names
+                least = np.take_along_axis(sim, best, 1).min(1, keepdims=True) - 2e-6
+                row, best = np.nonzero(sim >= least)
+                s = np.where(sim[row, best] > -2, x.pairs(q[row], members[best]), -2.0)
+                first = np.lexsort([place[code[members[best]]], -np.round(s, 6), row])
+                first = first[np.arange(len(row)) - np.searchsorted(row, row) < top]
+                near.append(members[best[first]])
+                sims.append(s[first])
+            else:
+                near.append(members[best].ravel())
+                sims.append(np.take_along_axis(sim, best, 1).ravel())
             ends.append(np.full(len(q), top))
     ends = np.concatenate([[0], np.cumsum(np.concatenate(ends))]).astype(np.int32)
-    c = pa.StructArray.from_arrays([pa.array(np.concatenate(sims).astype(np.float32)), names.take(pa.array(np.concatenate(near)))], names=["s", "n"])
+    c = pa.StructArray.from_arrays([pa.array(np.concatenate(sims).astype(np.float64 if even else np.float32)), names.take(pa.array(np.concatenate(near)))], names=["s", "n"])
     return pa.table({"k": names.take(pa.array(np.concatenate(askers))), "c": pa.ListArray.from_arrays(pa.array(ends), c)})
 
 
@@ -134,8 +155,9 @@ def _column(t: pa.Table, name: str) -> np.ndarray:
     return t.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _lists(found: DataFrame, k: int, tasks: int) -> DataFrame:
-    """(k, neighbour, similarity, rank) of rows (k, c) with lists of neighbours; each neighbour once, ties to the smaller name."""
+def _lists(found: DataFrame, k: int, tasks: int, even: bool = False) -> DataFrame:
+    """(k, neighbour, similarity, rank) of rows (k, c) with lists of neighbours; each neighbour once, ties at six digits to the smaller
+    name; even: similarities with all digits."""
 
     def merge(t: pa.Table) -> pa.Table:
         keys, lists = t.column("k").combine_chunks().dictionary_encode(), t.column("c").combine_chunks()
@@ -151,7 +173,7 @@ def _lists(found: DataFrame, k: int, tasks: int) -> DataFrame:
         order = order[first]
         rank = np.arange(len(order)) - np.searchsorted(row[order], row[order])
         order, rank = order[rank < k], rank[rank < k]
-        return pa.table({"k": keys.dictionary.take(pa.array(row[order])), "neighbour": names.take(pa.array(order)), "similarity": pa.array(np.minimum(1.0, s[order])), "rank": pa.array((rank + 1).astype(np.int32))})
+        return pa.table({"k": keys.dictionary.take(pa.array(row[order])), "neighbour": names.take(pa.array(order)), "similarity": pa.array(np.minimum(1.0, sims.to_numpy()[order] if even else s[order])), "rank": pa.array((rank + 1).astype(np.int32))})
 
     return found.groupBy(F.pmod(F.xxhash64("k"), F.lit(tasks)).alias("task")).applyInArrow(merge, "k string, neighbour string, similarity double, rank int")
 
@@ -176,13 +198,9 @@ def exact(vectors: DataFrame, size: int, k: int = 5, queries: DataFrame | None =
     return _lists(both.groupBy("i", "j").applyInArrow(compare, f"k string, c {PAIR}"), k, max(partitions(vec.sparkSession), asked * columns // ENTRIES))
 
 
-def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None, candidates: int | None = None, seed: int = 7) -> DataFrame:
-    """(k, neighbour, similarity, rank): the k most similar vectors of each vector of (k, v)."""
-    vec = cut(vectors)
-    n, mean = _moments(vec, size)
-    trees, candidates = trees or trees_for(n), candidates or candidates_for(n)
-
-    # copies: only crowds of them need care
+def _copies(vec: DataFrame, k: int) -> tuple[DataFrame | None, DataFrame]:
+    """(neighbours of the copies beyond the k + 1 smallest names of equal vectors, if any; the vectors without these)."""
+    # only crowds of copies need care
     digest = vec.withColumn("h", F.md5("v"))
     crowds = cut(digest.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > k + 1))
     copies, active = None, vec
@@ -195,7 +213,41 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None,
         rest = crowded.join(first.select("k"), "k", "left_anti").join(lists.select("h", "c", spread), ["h", "salt"])
         copies = rest.select("k", F.posexplode("c").alias("rank", "neighbour")).select("k", "neighbour", F.lit(1.0).alias("similarity"), (F.col("rank") + 1).alias("rank"))
         active = cut(vec.join(rest.select("k"), "k", "left_anti"))
+    return copies, active
+
 
+def _found(entries: DataFrame, vectors: DataFrame, size: int, k: int, tasks: int, even: bool = False) -> DataFrame:
+    """Rows (k, c): the best of each group for each that asks; entries: (k, tree, level, p, asks), groups by (tree, level, p)."""
+    groups = entries.groupBy("tree", "level", "p").agg(F.count("*").alias("m"), F.count_if("asks").alias("q")).filter("q > 0 and m > 1")
+    # a group of more than BLOCK is compared block by block: its askers meet every block of its members
+    groups = groups.select("tree", "level", "p", F.ceil(F.col("q") / BLOCK).cast("int").alias("bq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"))
+    seated = entries.join(groups.hint("merge"), ["tree", "level", "p"])
+    hash_ = F.xxhash64("k")
+    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    seat = lambda i, j, q, m: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), q.alias("asks"), m.alias("member"))
+    one = (F.col("bq") == 1) & (F.col("bm") == 1)
+    none = F.array().cast("array<struct<i:int,j:int,asks:boolean,member:boolean>>")
+    as_member = F.transform(span("bq"), lambda i: seat(i, F.pmod(hash_, F.col("bm")), F.lit(False), F.lit(True)))
+    as_asker = F.when(F.col("asks"), F.transform(span("bm"), lambda j: seat(F.pmod(hash_, F.col("bq")), j, F.lit(True), F.lit(False)))).otherwise(none)
+    seats = F.when(one, F.array(seat(F.lit(0), F.lit(0), F.col("asks"), F.lit(True)))).otherwise(F.concat(as_member, as_asker))
+    seated = seated.select("k", F.explode(seats).alias("s"), "tree", "level", "p").select("k", F.xxhash64("tree", "level", "p", "s.i", "s.j").alias("g"), "s.asks", "s.member")
+    # vectors join once, with the list of their seats
+    seated = seated.groupBy("k").agg(F.collect_list(F.struct("g", "asks", "member")).alias("s"))
+    routed = vectors.join(seated, "k").select("k", "v", F.explode("s").alias("s")).select("k", "v", "s.*")
+
+    def compare(t: pa.Table) -> pa.Table:
+        return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), _column(t, "asks").astype(bool), _column(t, "member").astype(bool), _column(t, "g"), k, even)
+
+    return routed.groupBy(F.pmod("g", F.lit(tasks)).alias("task")).applyInArrow(compare, f"k string, c {PAIR.replace('float', 'double') if even else PAIR}")
+
+
+def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None, candidates: int | None = None, seed: int = 7) -> DataFrame:
+    """(k, neighbour, similarity, rank): the k most similar vectors of each vector of (k, v)."""
+    vec = cut(vectors)
+    n, mean = _moments(vec, size)
+    trees, candidates = trees or trees_for(n), candidates or candidates_for(n)
+
+    copies, active = _copies(vec, k)
     hashes = Hashes(size, mean, trees, seed)
 
     def sign(batches):
@@ -230,28 +282,8 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None,
 
     entries = strings.join(chosen.select("k", "x"), "k").withColumn("level", F.explode(F.array(*[F.lit(i) for i in used]).cast("array<int>"))) if used else strings.withColumn("x", F.lit(1)).withColumn("level", F.lit(1))
     entries = entries.withColumn("p", F.expr(f"shiftright(h, {BITS[1]} * ({levels} - level))")).withColumn("asks", F.col("x") == F.col("level"))
-    groups = entries.groupBy("tree", "level", "p").agg(F.count("*").alias("m"), F.count_if("asks").alias("q")).filter("q > 0 and m > 1")
-    # a group of more than BLOCK is compared block by block: its askers meet every block of its members
-    groups = groups.select("tree", "level", "p", F.ceil(F.col("q") / BLOCK).cast("int").alias("bq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"))
-    seated = entries.join(groups.hint("merge"), ["tree", "level", "p"])
-    hash_ = F.xxhash64("k")
-    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    seat = lambda i, j, q, m: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), q.alias("asks"), m.alias("member"))
-    one = (F.col("bq") == 1) & (F.col("bm") == 1)
-    none = F.array().cast("array<struct<i:int,j:int,asks:boolean,member:boolean>>")
-    as_member = F.transform(span("bq"), lambda i: seat(i, F.pmod(hash_, F.col("bm")), F.lit(False), F.lit(True)))
-    as_asker = F.when(F.col("asks"), F.transform(span("bm"), lambda j: seat(F.pmod(hash_, F.col("bq")), j, F.lit(True), F.lit(False)))).otherwise(none)
-    seats = F.when(one, F.array(seat(F.lit(0), F.lit(0), F.col("asks"), F.lit(True)))).otherwise(F.concat(as_member, as_asker))
-    seated = seated.select("k", F.explode(seats).alias("s"), "tree", "level", "p").select("k", F.xxhash64("tree", "level", "p", "s.i", "s.j").alias("g"), "s.asks", "s.member")
     tasks = int(max(partitions(vec.sparkSession), n * trees * max(1, len(used)) // (4 * BLOCK)))
-    # vectors join once, with the list of their seats
-    seated = seated.groupBy("k").agg(F.collect_list(F.struct("g", "asks", "member")).alias("s"))
-    routed = active.join(seated, "k").select("k", "v", F.explode("s").alias("s")).select("k", "v", "s.*")
-
-    def compare(t: pa.Table) -> pa.Table:
-        return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), _column(t, "asks").astype(bool), _column(t, "member").astype(bool), _column(t, "g"), k)
-
-    found = routed.groupBy(F.pmod("g", F.lit(tasks)).alias("task")).applyInArrow(compare, f"k string, c {PAIR}")
+    found = _found(entries, active, size, k, tasks)
     merges = max(partitions(vec.sparkSession), n * trees // ENTRIES)
     lonely = chosen.filter("lonely").select("k")
     if lonely.take(1):
@@ -263,6 +295,199 @@ def nearest(vectors: DataFrame, size: int, k: int = 5, trees: int | None = None,
     return out.unionByName(copies) if copies is not None else out
 
 
+class Codes:
+    """Codes of directions that are alike: a symbol is the axis of a random rotation that the centred direction is closest to, and
+    on which side; a code is one tree's symbols. Besides its own code a direction gets those in which one of its two least
+    certain symbols is replaced by its second choice."""
+
+    def __init__(self, mean: np.ndarray, symbols: int, trees: int, seed: int):
+        d, rng = len(mean), np.random.default_rng(seed)
+        self.mean, self.symbols, self.trees = mean, symbols, trees
+        self.down = rng.standard_normal((d, 256)).astype(np.float32) / 16 if d > 256 else None
+        d = min(d, 256)
+        self.width = min(d, 1 << (SYMBOL_BITS - 1))
+        self.probes = 1 + (min(2, symbols) if self.width > 1 else 0)
+        self.turn = [np.hstack([np.linalg.qr(rng.standard_normal((d, self.width)))[0] for _ in range(symbols)]).astype(np.float32) if symbols else None for _ in range(trees)]
+
+    def choices(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, second, lead of the first) of each symbol in a tree."""
+        z = x - self.mean
+        z = z @ self.down if self.down is not None else z
+        y = (z @ self.turn[tree]).reshape(len(x), self.symbols, self.width)
+        size = np.abs(y)
+        pick = lambda a, i: np.take_along_axis(a, i[..., None], 2)[..., 0]
+        best = size.argmax(2)
+        lead = pick(size, best)
+        np.put_along_axis(size, best[..., None], -1, 2)
+        next_ = size.argmax(2)
+        symbol = lambda i: 2 * i + (pick(y, i) > 0)
+        return symbol(best), symbol(next_), lead - pick(size, next_)
+
+    def join(self, first: np.ndarray, second: np.ndarray, lead: np.ndarray, tree: int) -> np.ndarray:
+        """(rows, codes) of choices."""
+        n, symbols = first.shape
+        if not symbols:
+            return np.full((n, 1), tree, np.int64)
+        shift = SYMBOL_BITS * np.arange(symbols)
+        own = (first << shift).sum(1) | (tree << (SYMBOL_BITS * SYMBOLS))
+        out = [own]
+        if self.width > 1:
+            change, row, least = (second << shift) - (first << shift), np.arange(n), np.argsort(lead, axis=1, kind="stable")
+            out += [own + change[row, least[:, i]] for i in range(min(2, symbols))]
+        return np.stack(out, 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """(rows, trees x probes)"""
+        if not self.symbols:
+            return np.zeros((len(x), 1), np.int64)
+        return np.hstack([self.join(*self.choices(x, t), t) for t in range(self.trees)])
+
+
+def fitting(sample: np.ndarray, n: int, least: float, seed: int) -> tuple[int, int]:
+    """(symbols, trees) with which n directions like those of the sample take the least time, among those that miss at most
+    ``MISS`` of the pairs that are just as similar as ``least``; no symbols: all are compared.
+
+    How often such a pair has a code in common is tried out on the sample; rotations are random, so it only depends on how far
+    a direction is from the mean, and is averaged over directions that are about as far."""
+    rng = np.random.default_rng(seed)
+    codes = Codes(sample.mean(0), SYMBOLS, TRIALS, seed + 1)
+    aside = rng.standard_normal(sample.shape).astype(np.float32)
+    aside = unit(aside - (aside * sample).sum(1, keepdims=True) * sample)
+    other = least * sample + np.float32(np.sqrt(max(0.0, 1 - least * least))) * aside
+    far = np.argsort(np.argsort(np.linalg.norm(sample - codes.mean, axis=1))) * min(16, len(sample)) // len(sample)
+    met, chance = np.zeros((SYMBOLS + 1, len(sample))), np.zeros(SYMBOLS + 1)
+    for t in range(TRIALS):
+        a, b = codes.choices(sample, t), codes.choices(other, t)
+        for s in range(1, SYMBOLS + 1):
+            mine, theirs = codes.join(*[c[:, :s] for c in a], t), codes.join(*[c[:, :s] for c in b], t)
+            met[s] += (mine[:, :, None] == theirs[:, None]).any((1, 2)) / TRIALS
+            m = np.unique(mine, return_counts=True)[1].astype(float)
+            chance[s] += ((m * (m - 1)).sum() + 1) / (len(sample) * max(1, len(sample) - 1)) / TRIALS
+    d = min(sample.shape[1], 256)
+    best = (ENTRY_US + n * max(PAIR_US / 2, 2e-4 * d), 0, 1)
+    for s in range(1, SYMBOLS + 1):
+        q = np.bincount(far, met[s]) / np.bincount(far)
+        trees = next((t for t in range(1, TREES + 1) if ((1 - q) ** t @ np.bincount(far)) <= MISS * len(sample)), None)
+        if trees:
+            entries = 1 + (min(2, s) if codes.width > 1 else 0)
+            best = min(best, (trees * (entries * ENTRY_US + s * codes.width * (2e-4 * d + 6e-3) + chance[s] * n / 2 * PAIR_US), s, trees))
+    return best[1:]
+
+
+class Sketch:
+    """Coordinates along the main axes of a sample in a byte each: differences are never greater than those of the directions
+    but for the rounding, so no pair within ``reach`` is lost."""
+
+    def __init__(self, sample: np.ndarray, least: float):
+        some = sample[: max(64, 2_000_000 // sample.shape[1])]
+        axes = np.linalg.svd(some - some.mean(0), full_matrices=False)[2].T
+        limit = 2 - 2 * least
+        met = lambda x: ((np.square(x).sum(1)[:, None] + np.square(x).sum(1) - 2 * x @ x.T <= limit).sum(1) > 1).mean()
+        # as many axes as keep most of those apart that are
+        wanted = next((s for s in SKETCH if met(some @ axes[:, :s]) <= met(some) + 0.02), SKETCH[-1])
+        self.axes = axes[:, :wanted].copy()
+        at = sample @ self.axes
+        self.low = at.min(0)
+        self.step = np.maximum((at.max(0) - self.low) / 255, 1e-7).astype(np.float32)
+        self.reach = float(np.sqrt(max(0.0, 2 - 2 * (least - 1e-5))) + np.linalg.norm(self.step) + 1e-4)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((x @ self.axes - self.low) / self.step), 0, 255).astype(np.uint8)
+
+
+def _partners(code: np.ndarray, at: np.ndarray | None, reach: float) -> np.ndarray:
+    """Which entries, in order of their codes, have another of their code within reach; all of more than ``BLOCK`` alike."""
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(code) != 0, [True]]))
+    sizes = np.diff(edge)
+    if at is None:
+        return np.repeat(sizes > 1, sizes)
+    found = np.repeat(sizes > BLOCK, sizes)
+    small, after = np.repeat((sizes > 1) & (sizes <= 24), sizes), np.repeat(edge[1:], sizes) - np.arange(len(code))
+    i = np.flatnonzero(small)
+    for off in range(1, 24):
+        i = i[after[i] > off]
+        if not len(i):
+            break
+        gap = at[i] - at[i + off]
+        hit = i[np.einsum("ij,ij->i", gap, gap) <= reach * reach]
+        found[hit] = found[hit + off] = True
+    square = np.einsum("ij,ij->i", at, at)
+    for r in np.flatnonzero((sizes > 24) & (sizes <= BLOCK)):
+        a, b = edge[r], edge[r + 1]
+        step = max(16, CELLS // (b - a))
+        for first in range(a, b, step):
+            last = min(b, first + step)
+            near = square[first:last, None] + square[a:b] - 2 * (at[first:last] @ at[a:b].T) <= reach * reach + 1e-4
+            near[np.arange(last - first), np.arange(first - a, last - a)] = False
+            found[first:last] |= near.any(1)
+    return found
+
+
+def alike(vectors: DataFrame, size: int, least: float, k: int = 5, seed: int = 7) -> DataFrame:
+    """(obs_a, obs_b), a < b, of at least that similarity and each among the other's k most similar.
+
+    Whatever is less similar can't be part of a pair, so neighbours beyond ``least`` aren't searched: vectors meet where they share
+    a code (see ``Codes``); of those only the ones with a partner within reach (see ``Sketch``) are compared exactly. Copies beyond the
+    k + 1 smallest names are in nobody's k most similar."""
+    active = _copies(cut(vectors), k)[1]
+    spark, n = active.sparkSession, active.count()
+    nothing = spark.createDataFrame([], "obs_a string, obs_b string")
+    if n < 2:
+        return nothing
+    wanted = int(min(2048, max(256, 4_000_000 // min(size, DIMENSIONS))))
+    sample = [r["v"] for r in active.filter(F.pmod(F.xxhash64("k"), F.lit(n)) < wanted).select("v").limit(4 * wanted).collect()]
+    drawn = unit(folded(pd.Series(sample if len(sample) > 1 else [r["v"] for r in active.select("v").limit(wanted).collect()]), size))
+    symbols, trees = fitting(drawn, n, least, seed)
+    codes = Codes(drawn.mean(0), symbols, trees, seed)
+    # variables that share dimensions by hashing can be further apart there than they are
+    sketch = Sketch(drawn, least) if size <= DIMENSIONS else None
+    per = trees * codes.probes
+
+    def sign(batches):
+        step = max(64, CHUNK // per)
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                x = unit(folded(pd.Series(part.column("v").to_pylist()), size))
+                p = codes(x)
+                row = pa.array(np.repeat(np.arange(len(x)), per))
+                s = pa.array([r.tobytes() for r in sketch(x)] if sketch else [b""] * len(x), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(p.ravel()), part.column("k").take(row), s.take(row)], names=["p", "k", "s"])
+
+    def partners(batches):
+        def those(t: pa.Table, whole: int | None) -> pa.RecordBatch:
+            code = _column(t, "p")
+            at = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint8).reshape(len(code), -1) * sketch.step if sketch else None
+            found = pa.array(_partners(code, at, sketch.reach if sketch else 0.0) | (code == whole if whole is not None else False))
+            return pa.RecordBatch.from_arrays([t.column(c).filter(found).combine_chunks() for c in ("p", "k")], names=["p", "k"])
+
+        held, rows, whole = [], 0, None  # whole: a code of so many that it is passed on as it comes
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= CHUNK:
+                t = pa.Table.from_batches(held)
+                code = _column(t, "p")
+                first = int(np.searchsorted(code, code[-1]))
+                if first == 0:
+                    whole = code[-1]
+                until = rows if code[-1] == whole else first
+                yield those(t.slice(0, until), whole)
+                held = t.slice(until).to_batches()
+                rows -= until
+        if rows:
+            yield those(pa.Table.from_batches(held), whole)
+
+    tasks = max(partitions(spark), n * per // ENTRIES)
+    entries = active.mapInArrow(sign, "p long, k string, s binary").repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(partners, "p long, k string")
+    entries = cut(entries.select("k", F.lit(0).alias("tree"), F.lit(0).alias("level"), "p", F.lit(True).alias("asks")))
+    m = entries.count()
+    if not m:
+        return nothing
+    found = _found(entries, active, size, k, max(partitions(spark), m // (4 * BLOCK)), even=True)
+    return mutual(_lists(found, k, max(partitions(spark), m // ENTRIES), even=True), least)
+
+
 def mutual(neighbours: DataFrame, least: float) -> DataFrame:
     """(obs_a, obs_b), a < b, of at least that similarity and each among the other's neighbours."""
     near = neighbours.filter(F.col("similarity") >= least)

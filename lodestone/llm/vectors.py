@@ -89,9 +89,11 @@ class Units:
     """Directions of vectors, for exact cosines among them."""
 
     def __init__(self, column: pd.Series, size: int):
-        self.all = unit(stack(column, size)) if size <= DIMENSIONS else None
+        self.size, self.raw = size, stack(column, size) if size <= DIMENSIONS else None
+        self.all = unit(self.raw) if size <= DIMENSIONS else None
         if self.all is None:
             self.start, self.at, x = sparse(column)
+            self.raw = x
             row = np.repeat(np.arange(len(column)), np.diff(self.start))
             norm = np.sqrt(np.bincount(row, x.astype(np.float64) ** 2, len(column)))
             self.x = (x / np.maximum(norm, 1e-30)[row]).astype(np.float32)
@@ -118,5 +120,28 @@ class Units:
         return np.hstack([x @ self._part(others[k : k + step], variables).T for k in range(0, len(others), step)])
 
 
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Cosines of each of ``a`` with the one of ``b`` beside it, in double precision."""
+        out, step = np.zeros(len(a)), max(16, 2_000_000 // max(self.size, 1))
+        for at in range(0, len(a), step):
+            i, j = a[at : at + step], b[at : at + step]
+            if self.all is not None:
+                x, y = self.raw[i].astype(np.float64), self.raw[j].astype(np.float64)
+                dot, xx, yy = (np.einsum("ij,ij->i", *z) for z in ((x, y), (x, x), (y, y)))
+            else:
+                (p, x), (q, y) = self._entries(i), self._entries(j)
+                both, u, v = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+                dot, xx, yy = (np.bincount(z // self.size, w, len(i)) for z, w in ((both, x[u] * y[v]), (p, x * x), (q, y * y)))
+            out[at : at + step] = dot / np.sqrt(np.maximum(xx * yy, 1e-300))
+        return out
+
+    def _entries(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the row x dimensions + place, value) of rows of places and values."""
+        n = self.start[rows + 1] - self.start[rows]
+        row = np.repeat(np.arange(len(rows)), n)
+        s = np.repeat(self.start[rows], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        return row * self.size + self.at[s], self.raw[s].astype(np.float64)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)

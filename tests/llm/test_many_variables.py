@@ -49,3 +49,15 @@ def test_clusters_of_exact_directions(spark):
         assert len({got[i][0] for i in rows}) == 1
         centre = x[list(rows)].mean(0)
         assert all(abs(got[i][1] - np.linalg.norm(x[i] - centre)) < 1e-5 for i in rows)
+
+
+def test_alike_is_exact(spark):
+    from lodestone.llm.neighbours import alike
+
+    m = _matrix()
+    m[20:24] = m[:4] + 0.01
+    s = unit(m) @ unit(m).T
+    np.fill_diagonal(s, -2)
+    first = [set(np.argsort(-r, kind="stable")[:5].tolist()) for r in s]
+    true = {(f"o{i:02d}", f"o{j:02d}") for i in range(40) for j in range(i + 1, 40) if s[i, j] >= 0.97 and j in first[i] and i in first[j]}
+    assert {tuple(r) for r in alike(*dense(_counts(spark, m)), 0.97).collect()} == true and len(true) == 4
