@@ -42,8 +42,8 @@ BLOCK, CELLS = 8192, 2_000_000
 #: Bits of a symbol of ``Codes``, most symbols, trees they are tried out with, most trees, share of pairs just as similar as asked
 #: for that may be missed, main axes of a sketch.
 SYMBOL_BITS, SYMBOLS, TRIALS, TREES, MISS, SKETCH = 6, 8, 16, 200, 2e-4, (32, 64, 128)
-#: About how many microseconds an entry, and the comparison of two sketches, takes; entries worked on at once.
-ENTRY_US, PAIR_US, CHUNK = 2.0, 0.05, 200_000
+#: About how many microseconds an entry, and the comparison of two sketches, takes; entries worked on at once and held by a task.
+ENTRY_US, PAIR_US, CHUNK, HELD = 2.0, 0.05, 200_000, 500_000
 #: Lists that a task merges.
 ENTRIES = 200_000
 PAIR = "array<struct<s:float,n:string>>"
@@ -216,13 +216,13 @@ def _copies(vec: DataFrame, k: int) -> tuple[DataFrame | None, DataFrame]:
     return copies, active
 
 
-def _found(entries: DataFrame, vectors: DataFrame, size: int, k: int, tasks: int, even: bool = False) -> DataFrame:
-    """Rows (k, c): the best of each group for each that asks; entries: (k, tree, level, p, asks), groups by (tree, level, p)."""
+def _found(entries: DataFrame, vectors: DataFrame, size: int, k: int, tasks: int, on: str = "k", even: bool = False) -> DataFrame:
+    """Rows (k, c): the best of each group for each that asks; entries: (``on``, tree, level, p, asks), groups by (tree, level, p)."""
     groups = entries.groupBy("tree", "level", "p").agg(F.count("*").alias("m"), F.count_if("asks").alias("q")).filter("q > 0 and m > 1")
     # a group of more than BLOCK is compared block by block: its askers meet every block of its members
     groups = groups.select("tree", "level", "p", F.ceil(F.col("q") / BLOCK).cast("int").alias("bq"), F.ceil(F.col("m") / BLOCK).cast("int").alias("bm"))
     seated = entries.join(groups.hint("merge"), ["tree", "level", "p"])
-    hash_ = F.xxhash64("k")
+    hash_ = F.xxhash64(on)
     span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     seat = lambda i, j, q, m: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), q.alias("asks"), m.alias("member"))
     one = (F.col("bq") == 1) & (F.col("bm") == 1)
@@ -230,10 +230,10 @@ def _found(entries: DataFrame, vectors: DataFrame, size: int, k: int, tasks: int
     as_member = F.transform(span("bq"), lambda i: seat(i, F.pmod(hash_, F.col("bm")), F.lit(False), F.lit(True)))
     as_asker = F.when(F.col("asks"), F.transform(span("bm"), lambda j: seat(F.pmod(hash_, F.col("bq")), j, F.lit(True), F.lit(False)))).otherwise(none)
     seats = F.when(one, F.array(seat(F.lit(0), F.lit(0), F.col("asks"), F.lit(True)))).otherwise(F.concat(as_member, as_asker))
-    seated = seated.select("k", F.explode(seats).alias("s"), "tree", "level", "p").select("k", F.xxhash64("tree", "level", "p", "s.i", "s.j").alias("g"), "s.asks", "s.member")
+    seated = seated.select(on, F.explode(seats).alias("s"), "tree", "level", "p").select(on, F.xxhash64("tree", "level", "p", "s.i", "s.j").alias("g"), "s.asks", "s.member")
     # vectors join once, with the list of their seats
-    seated = seated.groupBy("k").agg(F.collect_list(F.struct("g", "asks", "member")).alias("s"))
-    routed = vectors.join(seated, "k").select("k", "v", F.explode("s").alias("s")).select("k", "v", "s.*")
+    seated = seated.groupBy(on).agg(F.collect_list(F.struct("g", "asks", "member")).alias("s"))
+    routed = vectors.join(seated, on).select("k", "v", F.explode("s").alias("s")).select("k", "v", "s.*")
 
     def compare(t: pa.Table) -> pa.Table:
         return _best(Units(t.column("v").to_pylist(), size), t.column("k").combine_chunks(), _column(t, "asks").astype(bool), _column(t, "member").astype(bool), _column(t, "g"), k, even)
@@ -442,49 +442,54 @@ def alike(vectors: DataFrame, size: int, least: float, k: int = 5, seed: int = 7
     # variables that share dimensions by hashing can be further apart there than they are
     sketch = Sketch(drawn, least) if size <= DIMENSIONS else None
     per = trees * codes.probes
+    entry = np.dtype([("p", "<i8"), ("id", "<i8"), ("s", "u1", (sketch.axes.shape[1] if sketch else 0,))])
+    tasks = int(max(4 * partitions(spark), n * per // HELD))
+    common, m = np.unique(codes(drawn), return_counts=True)
+    common = common[(m >= 8) & (m * n / len(drawn) > max(BLOCK, n / 256))]  # of so many vectors that they are compared in blocks anyway
 
     def sign(batches):
+        # entries travel packed, a row for each task in place of one for each entry
         step = max(64, CHUNK // per)
         for b in batches:
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 x = unit(folded(pd.Series(part.column("v").to_pylist()), size))
-                p = codes(x)
-                row = pa.array(np.repeat(np.arange(len(x)), per))
-                s = pa.array([r.tobytes() for r in sketch(x)] if sketch else [b""] * len(x), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(p.ravel()), part.column("k").take(row), s.take(row)], names=["p", "k", "s"])
-
-    def partners(batches):
-        def those(t: pa.Table, whole: int | None) -> pa.RecordBatch:
-            code = _column(t, "p")
-            at = np.frombuffer(b"".join(t.column("s").to_pylist()), np.uint8).reshape(len(code), -1) * sketch.step if sketch else None
-            found = pa.array(_partners(code, at, sketch.reach if sketch else 0.0) | (code == whole if whole is not None else False))
-            return pa.RecordBatch.from_arrays([t.column(c).filter(found).combine_chunks() for c in ("p", "k")], names=["p", "k"])
-
-        held, rows, whole = [], 0, None  # whole: a code of so many that it is passed on as it comes
-        for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= CHUNK:
-                t = pa.Table.from_batches(held)
-                code = _column(t, "p")
-                first = int(np.searchsorted(code, code[-1]))
-                if first == 0:
-                    whole = code[-1]
-                until = rows if code[-1] == whole else first
-                yield those(t.slice(0, until), whole)
-                held = t.slice(until).to_batches()
-                rows -= until
-        if rows:
-            yield those(pa.Table.from_batches(held), whole)
-
-    tasks = max(partitions(spark), n * per // ENTRIES)
-    entries = active.mapInArrow(sign, "p long, k string, s binary").repartition(tasks, "p").sortWithinPartitions("p").mapInArrow(partners, "p long, k string")
-    entries = cut(entries.select("k", F.lit(0).alias("tree"), F.lit(0).alias("level"), "p", F.lit(True).alias("asks")))
+                e = np.empty((len(x), per), entry)
+                e["p"], e["id"] = codes(x), part.column("id").to_numpy()[:, None]
+                if sketch:
+                    e["s"] = sketch(x)[:, None]
+                e = e.ravel()
+                task = ((e["p"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % tasks
+                often = np.isin(e["p"], common)
+                task[often] = tasks + (e["id"][often] & 0x7FFFFFFF) % tasks
+                order = np.argsort(task, kind="stable")
+                e, ends = e[order], np.cumsum(np.bincount(task, minlength=2 * tasks))
+                to = np.flatnonzero(np.diff(ends, prepend=0))
+                yield pa.RecordBatch.from_arrays([pa.array(to % tasks, pa.int32()), pa.array(to >= tasks), pa.array([e[a:z].tobytes() for a, z in zip(np.concatenate([[0], ends])[to], ends[to])], pa.binary())], names=["task", "often", "e"])
+
+    def partners(t: pa.Table) -> pa.Table:
+        read = lambda rows: np.frombuffer(b"".join(rows.column("e").to_pylist()), entry)
+        whole, e = read(t.filter(t.column("often"))), read(t.filter(pc.invert(t.column("often"))))
+        e = e[np.argsort(e["p"], kind="stable")]
+        code, found, at = e["p"].copy(), np.zeros(len(e), bool), 0
+        while at < len(e):
+            end = min(at + CHUNK, len(e))
+            if end < len(e):
+                end = int(np.searchsorted(code, code[end]))
+                end = end if end > at else int(np.searchsorted(code, code[at], "right"))
+            alone = sketch and (end - at <= BLOCK or code[at] != code[end - 1])
+            found[at:end] = _partners(code[at:end], e["s"][at:end] * sketch.step if alone else None, sketch.reach if alone else 0.0)
+            at = end
+        e = np.concatenate([whole, e[found]])
+        return pa.table({"id": e["id"].copy(), "p": e["p"].copy()})
+
+    active = active.withColumn("id", F.xxhash64("k"))
+    entries = active.select("v", "id").mapInArrow(sign, "task int, often boolean, e binary").groupBy("task").applyInArrow(partners, "id long, p long")
+    entries = cut(entries.select("id", F.lit(0).alias("tree"), F.lit(0).alias("level"), "p", F.lit(True).alias("asks")))
     m = entries.count()
     if not m:
         return nothing
-    found = _found(entries, active, size, k, max(partitions(spark), m // (4 * BLOCK)), even=True)
+    found = _found(entries, active, size, k, max(partitions(spark), m // (4 * BLOCK)), on="id", even=True)
     return mutual(_lists(found, k, max(partitions(spark), m // ENTRIES), even=True), least)
 
 

@@ -10,12 +10,31 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
 
 
+#: Values of vectors filled at once; values of one observation, as a multiple of the variables, that are sent in one row.
+VALUES, REPEATS = 4_000_000, 16
+
+
+def _latest(key: np.ndarray, t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places in order of their keys; of a repeated key the one with the latest version, among these the greatest value."""
+    order = np.argsort(key, kind="stable")
+    same = np.diff(key[order]) == 0
+    if same.any():
+        among = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        some = order[among]
+        known = ~np.isnan(x[some])
+        some = some[np.lexsort([np.where(known, x[some], 0), known, t[some], key[some]])]
+        order = np.concatenate([order[~among], some[np.concatenate([np.diff(key[some]) != 0, [True]])]])
+        order = order[np.argsort(key[order], kind="stable")]
+    return order
+
+
 def dense(counts: DataFrame, obs: str = "obs", var: str = "var", value: str = "value", version: str | None = "load_id") -> tuple[DataFrame, int]:
     """((k, v), dimensions): v holds the values as float32 bytes; beyond ``DIMENSIONS``, int32 places and then float32 values."""
     c = lambda n: F.col(f"`{n}`")
@@ -25,30 +44,45 @@ def dense(counts: DataFrame, obs: str = "obs", var: str = "var", value: str = "v
     names = sorted(r[0] for r in distinct.limit(DIMENSIONS + 1).collect())
     spark, few = counts.sparkSession, len(names) <= DIMENSIONS
     size = len(names) if few else distinct.count()
-    once = rows.groupBy("k", "d").agg(F.max_by("x", F.struct("t", F.when(~F.isnan("x"), F.col("x")).alias("x"))).alias("x"))
-    once = once.filter((F.col("x") != 0) & (F.abs("x") < float("inf")))
+    most = rows.groupBy("k").count().agg(F.max("count")).first()[0] or 0
+    if most > REPEATS * max(size, 100) or dict(rows.dtypes)["t"] not in ("tinyint", "smallint", "int", "bigint"):
+        # too many repeats for one row, or versions that aren't whole numbers
+        rows = rows.groupBy("k", "d").agg(F.max_by("x", F.struct("t", F.when(~F.isnan("x"), F.col("x")).alias("x"))).alias("x")).withColumn("t", F.lit(0))
     if few:
         table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "d string, i int")
-        once = once.join(F.broadcast(table), "d")  # at most DIMENSIONS rows
+        rows = rows.join(F.broadcast(table), "d")  # at most DIMENSIONS rows
     else:
-        once = once.join(distinct.withColumn("i", F.row_number().over(Window.orderBy("d")) - 1), "d")
-    packed = once.groupBy("k").agg(F.collect_list("i").alias("i"), F.collect_list(F.col("x").cast("float")).alias("x"))
-    if not few:
-        # in order of their places, so that equal vectors have equal bytes
-        packed = once.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("i", F.col("x").cast("float").alias("x")))).alias("s")).select("k", F.col("s.i").alias("i"), F.col("s.x").alias("x"))
+        rows = rows.join(distinct.withColumn("i", F.row_number().over(Window.orderBy("d")) - 1), "d")
+    # repeats are settled in ``fill``: lists hold no nulls, versions only travel where they differ
+    t, x = F.coalesce(F.col("t").cast("long"), F.lit(-(2**63))), F.coalesce("x", F.lit(float("nan")))
+    packed = rows.groupBy("k").agg(F.collect_list("i").alias("i"), F.collect_list(t).alias("t"), F.collect_list(x).alias("x"), F.min(t).alias("old"), F.max(t).alias("new"))
+    packed = packed.select("k", "i", F.when(F.col("old") < F.col("new"), F.col("t")).alias("t"), "x")
 
     def fill(batches):
-        for pdf in batches:
-            if not few:
-                yield pd.DataFrame({"k": pdf["k"], "v": [np.asarray(i, np.int32).tobytes() + np.asarray(x, np.float32).tobytes() for i, x in zip(pdf["i"], pdf["x"])]})
-                continue
-            out = np.zeros((len(pdf), size), np.float32)
-            n = pdf["i"].map(len).to_numpy()
-            if len(pdf):
-                np.add.at(out, (np.repeat(np.arange(len(pdf)), n), np.concatenate(pdf["i"].to_numpy())), np.concatenate(pdf["x"].to_numpy()))
-            yield pd.DataFrame({"k": pdf["k"], "v": [r.tobytes() for r in out]})
-
-    return packed.mapInPandas(fill, "k string, v binary"), size
+        step = max(16, VALUES // max(size, 1))
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                i, x = (part.column(c).flatten().to_numpy() for c in ("i", "x"))
+                length = part.column("i").value_lengths().to_numpy()
+                row, t = np.repeat(np.arange(len(part), dtype=np.int64), length), np.zeros(len(i), np.int64)
+                t[np.repeat(part.column("t").is_valid().to_numpy(zero_copy_only=False), length)] = part.column("t").flatten().to_numpy()
+                order = _latest(row * size + i, t, x)
+                order = order[(x[order] != 0) & np.isfinite(x[order])]
+                with np.errstate(over="ignore"):
+                    row, i, x = row[order], i[order], x[order].astype(np.float32)
+                n = np.bincount(row, minlength=len(part))
+                if few:
+                    out = np.zeros((len(part), size), np.float32)
+                    out[row, i] = x
+                    v = [r.tobytes() for r in out[n > 0]]
+                else:
+                    # in order of their places, so that equal vectors have equal bytes
+                    ends = np.cumsum(n)
+                    v = [i[z - m : z].tobytes() + x[z - m : z].tobytes() for z, m in zip(ends, n) if m]
+                yield pa.RecordBatch.from_arrays([part.column("k").filter(pa.array(n > 0)), pa.array(v, pa.binary())], names=["k", "v"])
+
+    return packed.mapInArrow(fill, "k string, v binary"), size
 
 
 def block(size: int) -> int:
