@@ -229,3 +229,16 @@ def test_alike_of_few(spark):
     assert [tuple(r) for r in alike(*dense(counts(spark, np.array([[2.0], [3.0]]))), 0.97).collect()] == [("o0000", "o0001")]
     copies = np.array([[1, 2, 3, 0]] * 30 + [[0, 1, 0, 5]], float)
     assert {tuple(r) for r in alike(*dense(counts(spark, copies)), 0.97).collect()} == pairs_by_brute_force(copies, 0.97)
+
+
+def test_repeats_are_settled_alike_by_either_way(spark, monkeypatch):
+    from lodestone.llm import vectors
+
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", "u", 2.0, 1), ("a", "u", nan, 1), ("a", "u", 9.0, None), ("a", "v", 3.0, 1), ("a", "v", 4.0, 1), ("a", "w", 5.0, 1), ("a", "w", None, 2), ("b", "u", inf, 3), ("b", "v", -1.0, -5), ("b", "v", 7.0, None)]
+    table = spark.createDataFrame(rows * 3, "obs string, var string, value double, load_id int")
+    for kind in ("int", "bigint", "string"):
+        for repeats in (16, 0):
+            monkeypatch.setattr(vectors, "REPEATS", repeats)
+            got = {r["k"]: np.frombuffer(r["v"], np.float32).tolist() for r in dense(table.withColumn("load_id", table["load_id"].cast(kind)))[0].collect()}
+            assert got == {"a": [2.0, 4.0, 0.0], "b": [0.0, -1.0, 0.0]}
