@@ -123,9 +123,14 @@ def plain_label(c):
     return F.nullif(F.regexp_replace(F.lower(c), r"[\s\p{Z}_-]+", ""), F.lit(""))
 
 
+def all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(obs, var, value) of the count matrix: positive values, with repeated rows."""
+    return read(spark, sf_dir, "counts").filter("obs is not null and var is not null and value > 0 and not isnan(value)").select("obs", "var", "value")
+
+
 def clean_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obs, var, value) of the count matrix: positive values, repeated rows once."""
-    c = read(spark, sf_dir, "counts").filter("obs is not null and var is not null and value > 0 and not isnan(value)")
+    c = all_counts(spark, sf_dir)
     return c.groupBy("obs", "var").agg(F.max("value").alias("value"))
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import packed
 from lodestone.operators.elementwise import normalise
+from lodestone.runtime import cut
 
 
 def get_sum(x: DataFrame, axis: str = "obs") -> DataFrame:
@@ -38,7 +44,92 @@ def soft_profiles(x: DataFrame, weights: DataFrame) -> DataFrame:
 
 def refine_reference(x: DataFrame, weights: DataFrame, profiles: DataFrame, regularization: float = 1e-3) -> tuple[DataFrame, DataFrame]:
     """One expectation-maximisation step of the read model p(obs, var, category) = p(var | category) p(category | obs) n: new (profiles, weights).
-    ``regularization`` is added to the profiles as a share of the uniform profile."""
+    ``regularization`` is added to the profiles as a share of the uniform profile.
+
+    Entries are shuffled packed by observation, and shares are block products in tasks, as long as the profiles can be sent
+    there; beyond ``packed.ENTRIES`` of them they are joins."""
+    names = x.select("var").filter("var is not null").distinct()
+    cats = profiles.select("category").filter("category is not null").distinct()
+    if names.count() * cats.count() > packed.ENTRIES:
+        return _refined_by_joins(x, weights, profiles, regularization)
+    var, cat = (sorted(r[0] for r in d.collect()) for d in (names, cats))
+    soft = weights.filter("category is not null and weight is not null").groupBy("obs").agg(F.collect_list("category").alias("c"), F.collect_list("weight").alias("w"))
+    rows = cut(packed.gathered(x, var).join(soft, "obs"))
+    p = profiles.filter("p is not null").select("var", "category", "p").toPandas()  # of checked size
+    m = np.zeros((len(var), len(cat)))
+    i, j = pd.Index(var).get_indexer(p["var"]), pd.Index(cat).get_indexer(p["category"])
+    np.add.at(m, (i[i >= 0], j[i >= 0]), p["p"].to_numpy(float)[i >= 0])
+    return refined(rows, m, var, cat, regularization)
+
+
+def refined(rows: DataFrame, m: np.ndarray, var: list[str], cat: list[str], regularization: float = 1e-3, repeats: str = "sum") -> tuple[DataFrame, DataFrame]:
+    """``refine_reference`` of gathered rows with lists of their categories ``c`` and weights ``w``, and profiles ``m`` (var by category)."""
+    m = m + regularization / max(len(var), 1)
+    m = m / m.sum(0)
+    known, size = pa.array(cat, pa.string()), len(cat)
+
+    def shares(r: packed.Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weights of a block and where there are any, and its reads over what the model expects."""
+        lists = r.batch.column("c")
+        row = np.repeat(np.arange(len(r.names)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        at = pc.index_in(lists.flatten(), known).to_numpy(zero_copy_only=False)
+        ok = ~np.isnan(at.astype(float))
+        cell = row[ok] * size + at[ok].astype(np.int64)
+        w = np.bincount(cell, r.batch.column("w").flatten().to_numpy(zero_copy_only=False)[ok], len(r.names) * size).reshape(-1, size)
+        there = np.bincount(cell, minlength=len(r.names) * size).reshape(-1, size) > 0
+        z = w @ m.T
+        return w, there, np.divide(r.block, z, out=np.zeros_like(z), where=z != 0)
+
+    def reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.zeros((len(var), 3 * size))
+        for r in packed.spread(batches, len(var), repeats):
+            w, there, ratio = shares(r)
+            s[:, :size] += m * (ratio.T @ w)
+            for k, entries in ((1, r.block > 0), (2, ratio > 0)):
+                s[:, k * size : (k + 1) * size] += entries.T.astype(np.float32) @ there.astype(np.float32)
+        yield packed.chunks(s)
+
+    def reweighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in packed.spread(batches, len(var), repeats):
+            w, there, ratio = shares(r)
+            yield packed.long(r.names, cat, w * (ratio @ m), there.ravel(), ("obs", "category", "weight"))
+
+    sums = packed.total(rows.mapInArrow(reads, "c int, m binary"), len(var), 3 * size)
+    i, j = np.nonzero(sums[:, size : 2 * size] > 0)
+    p = pd.DataFrame({"var": np.array(var, object)[i], "category": np.array(cat, object)[j], "p": sums[i, j], "some": sums[i, j + 2 * size] > 0})
+    p = rows.sparkSession.createDataFrame(p, "var string, category string, p double, some boolean").select("var", "category", F.when(F.col("some"), F.col("p")).alias("p"))  # null where nothing was expected
+    new_p = normalise(p, "category", "p")
+    return new_p, normalise(rows.mapInArrow(reweighed, f"obs {packed.kind(rows)}, category string, weight double"), "obs", "weight")
+
+
+def refine_labelled(x: DataFrame, labels: DataFrame, own: float, other: float, regularization: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """``refine_reference`` of the labelled observations' own profiles, with the weight ``own`` for the category of the label and
+    ``other`` for every other one. Of repeated entries the greatest counts; entries are shuffled once."""
+    var = sorted(r[0] for r in x.select("var").filter("var is not null").distinct().limit(packed.NAMES + 1).collect())
+    rows = cut(packed.gathered(x, var).join(labels.filter("category is not null").select("obs", "category"), "obs")) if len(var) <= packed.NAMES else None
+    cat = sorted(r[0] for r in (labels.filter("category is not null") if rows is None else rows).select("category").distinct().limit(packed.ENTRIES + 1).collect())
+    if rows is None or len(var) * len(cat) > packed.ENTRIES:
+        single = x.groupBy("obs", "var").agg(F.max("value").alias("value"))
+        every = labels.select(F.col("category").alias("c")).filter("c is not null").distinct()
+        soft = labels.filter("category is not null").crossJoin(every).select("obs", F.col("c").alias("category"), F.when(F.col("c") == F.col("category"), own).otherwise(other).alias("weight"))
+        return _refined_by_joins(single, soft, reference_profiles(single, labels), regularization)
+    known = pa.array(cat, pa.string())
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = np.zeros((len(var), len(cat)))
+        for r in packed.spread(batches, len(var), "max"):
+            to = pc.index_in(r.batch.column("category"), known).to_numpy(zero_copy_only=False)
+            for c in np.unique(to):
+                s[:, c] += r.block[to == c].sum(0)
+        yield packed.chunks(s)
+
+    m = packed.total(rows.mapInArrow(sums, "c int, m binary"), len(var), len(cat))
+    c = F.array(*[F.lit(v) for v in cat]) if cat else F.array().cast("array<string>")
+    soft = rows.withColumn("c", c).withColumn("w", F.transform("c", lambda v: F.when(v == F.col("category"), own).otherwise(other)))
+    return refined(soft, np.divide(m, m.sum(0), out=np.zeros_like(m), where=m.sum(0) != 0), var, cat, regularization, "max")
+
+
+def _refined_by_joins(x: DataFrame, weights: DataFrame, profiles: DataFrame, regularization: float) -> tuple[DataFrame, DataFrame]:
     g = x.select("var").distinct().count()
     cats = profiles.select("category").distinct()
     grid = x.select("var").distinct().crossJoin(F.broadcast(cats)).join(profiles, ["var", "category"], "left").fillna(0.0, ["p"])

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ ENTRIES, NAMES = 50_000_000, 1_000_000
 CELLS = 4_000_000
 #: Most entries of a matrix of variables by variables.
 SQUARE = 4096
+#: Kinds of gathered values by their bytes.
+WIDTHS = {1: "u1", 2: "u2", 8: "f8"}
 
 
 def small(df: DataFrame, row: str, column: str, value: str, name: str = "matrix", rows: list[str] | None = None) -> tuple[np.ndarray, list[str], list[str]]:
@@ -51,6 +54,32 @@ def packed(x: DataFrame, var: list[str]) -> DataFrame:
     return x.filter("value is not null").join(table, "var", "left").groupBy("obs").agg(F.collect_list(F.struct(at, F.col("value").cast("double").alias("x"))).alias("s"))
 
 
+def gathered(x: DataFrame, var: list[str]) -> DataFrame:
+    """(obs, parts): the entries of each row in parts of bytes, packed batch by batch before they are shuffled: places in ``var`` as the
+    smallest integers that hold them, and values, in one or two bytes each where all of a batch are whole and fit. Other variables,
+    and null rows or values, are left out."""
+    place, names = np.dtype("u1" if len(var) <= 1 << 8 else "u2" if len(var) <= 1 << 16 else "u4"), pa.array(var, pa.string())
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = pc.index_in(batch.column("var"), names)
+            keep = pc.and_(pc.and_(pc.is_valid(at), pc.is_valid(batch.column("value"))), pc.is_valid(batch.column("obs")))
+            batch, at = batch.filter(keep), at.filter(keep).to_numpy(zero_copy_only=False)
+            obs, value = batch.column("obs").dictionary_encode(), batch.column("value").to_numpy(zero_copy_only=False)
+            code = obs.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            whole = ((value >= 0) & (value < 1 << 16) & (value == np.floor(value))).all()
+            width = 8 if not whole else 2 if (value >= 1 << 8).any() else 1
+            ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(obs.dictionary)))])
+            columns = []
+            for v in (at[order].astype(place), value[order].astype(WIDTHS[width])):
+                columns.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v.tobytes())]))
+            yield pa.RecordBatch.from_arrays([obs.dictionary, *columns], names=["obs", "a", "x"])
+
+    parts = x.select("obs", "var", F.col("value").cast("double").alias("value")).mapInArrow(bundle, f"obs {kind(x)}, a binary, x binary")
+    return parts.groupBy("obs").agg(F.collect_list(F.struct("a", "x")).alias("parts"))
+
+
 @dataclass
 class Rows:
     """Some rows: their names, the dense block over the known variables, and all stored entries (row, value) of them."""
@@ -82,6 +111,35 @@ def dense(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[Rows]:
             yield Rows(part.column("obs"), block, row, value, part)
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, one value after the other, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", "u1")
+    return (data[ends[0] : ends[-1]], np.diff(ends).astype(np.int64)) if len(ends) else (data[:0], np.zeros(0, np.int64))
+
+
+def spread(batches: Iterable[pa.RecordBatch], size: int, repeats: str = "sum") -> Iterator[Rows]:
+    """As ``dense``, of gathered rows; of repeated entries the sum or the greatest (``max``) counts."""
+    place, step = 1 if size <= 1 << 8 else 2 if size <= 1 << 16 else 4, max(16, CELLS // max(size, 1))
+    for whole in batches:
+        for a in range(0, whole.num_rows, step):
+            batch = whole.slice(a, step)
+            lists = batch.column("parts")
+            (a_at, a_size), (x_at, x_size) = (_bytes(c) for c in lists.flatten().flatten())
+            n, owner = a_size // place, np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at, row, value = a_at.view(f"u{place}"), np.repeat(owner, n), np.zeros(n.sum())
+            for width, what in WIDTHS.items():
+                there = x_size == n * width
+                value[np.repeat(there, n)] = x_at[np.repeat(there, x_size)].view(what)
+            cell = row.astype(np.int64) * size + at.astype(np.int64)
+            if repeats == "max":
+                order = np.lexsort([value, cell])
+                last = np.diff(cell[order], append=-1) != 0
+                cell, value = cell[order[last]], value[order[last]]
+            block = np.bincount(cell, value, batch.num_rows * size).reshape(batch.num_rows, size)
+            yield Rows(batch.column("obs"), block, cell // max(size, 1), value, batch)
+
+
 def per_block(rows: DataFrame, size: int, run: Callable[[Rows], pa.RecordBatch], schema: str) -> DataFrame:
     """``run`` on dense blocks of packed rows."""
 

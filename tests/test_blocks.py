@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lodestone.functions.nnls import nnls, nnls_rows
 from lodestone.functions.transport import fit_marginals, fit_rows
 from lodestone.operators import aggregate as A
@@ -121,3 +122,30 @@ def test_bead_profiles_integrate_to_their_area(shape):
     _, number, area = molecules.bead_profile(shape, 0.2)
     r = np.linspace(0, 4, 400_001)
     assert np.trapezoid(2 * np.pi * r * number(r), r) == pytest.approx(area, rel=1e-3) and number(np.array([0.0]))[0] == 1
+
+
+def test_refinement_in_blocks_equals_joins(spark):
+    x = spark.createDataFrame([("a", "g1", 3.0), ("a", "g2", 1.5), ("b", "g2", 70000.0), ("b", "g3", 2.0), ("c", "g3", 4.0), (None, "g1", 1.0)], "obs string, var string, value double")
+    w = spark.createDataFrame([("a", "A", 0.7), ("a", "B", 0.3), ("b", "B", 1.0), ("b", "Z", 1.0), ("c", "A", 0.0)], "obs string, category string, weight double")
+    p = A.soft_profiles(x, w).filter("category <> 'Z'")
+    key = lambda d: {r[:2]: r[2] for r in map(tuple, d.collect())}
+    for got, want in zip(A.refine_reference(x, w, p), A._refined_by_joins(x.filter("obs is not null"), w, p, 1e-3)):
+        assert key(got) == pytest.approx(key(want))
+    repeated = x.unionByName(spark.createDataFrame([("a", "g1", 2.0)], x.schema)).filter("obs is not null")
+    hard = spark.createDataFrame([("a", "A"), ("b", "B")], "obs string, category string")
+    soft = spark.createDataFrame([(o, c, 0.9 if (o == "a") == (c == "A") else 0.1) for o in "ab" for c in "AB"], "obs string, category string, weight double")
+    for got, want in zip(A.refine_labelled(repeated, hard, 0.9, 0.1), A._refined_by_joins(x, soft, A.reference_profiles(x, hard), 1e-3)):
+        assert key(got) == pytest.approx(key(want))
+
+
+def test_refinement_shuffles_no_entry_by_category(spark):
+    d, sc = "/root/testdata/sf0.001", spark.sparkContext
+
+    def shuffled():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = shuffled()
+    assert queries()["refine_reference"](spark, d).count() == 1152
+    assert shuffled() - before < spark.read.parquet(f"{d}/counts.parquet").count()
