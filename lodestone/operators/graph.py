@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.elementwise import in_ranges
 from lodestone.operators.spatial import affinity, nearest_labelled, sparse_distances, with_annotation
-from lodestone.runtime import cut, plain_plans
+from lodestone.runtime import cut, partitions, plain_plans
 
+#: Rows of links and nodes of one task, and most nodes of components that are split together.
+BIN, STACKED = 131_072, 256
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest name of a component. Alternates large-star and small-star steps on the edges until
@@ -65,6 +67,73 @@ def _bisect(w: np.ndarray, threshold: float, dim: int, max_size: int | None, min
     return label
 
 
+def _bisect_all(c: np.ndarray, i: np.ndarray, j: np.ndarray, w: np.ndarray, threshold: float, dim: int, max_size: int | None, min_size: int, xy: np.ndarray, reach: float | None = None, aspect: float | None = None) -> np.ndarray:
+    """Labels, unique over all, of the parts of every component (numbered by node, ``c``) of the links (i, j, w), as by ``_bisect``.
+    Parts of one size are halved together, from the largest down, as halves are smaller; components of more than
+    ``STACKED`` nodes one after the other."""
+    size = np.bincount(c)
+    nodes = np.argsort(c, kind="stable")
+    start = np.cumsum(size) - size
+    local = np.empty(len(c), int)
+    local[nodes] = np.arange(len(c)) - np.repeat(start, size)
+    order = np.argsort(size[c[i]], kind="stable")
+    i, j, w = i[order], j[order], w[order]
+    label, done, pending = np.zeros(len(c), int), 0, {}
+    sizes = size[c[i]]
+    slot = np.zeros(len(size), int)
+    for k in range(int(size.max(initial=0)), 0, -1):
+        own = np.flatnonzero(size == k)
+        e = slice(*np.searchsorted(sizes, [k, k + 1])) if len(own) else slice(0, 0)
+        slot[own] = np.arange(len(own))
+        at = nodes[start[own][:, None] + np.arange(k)]
+        if k > STACKED:
+            ends = np.argsort(slot[c[i[e]]], kind="stable")
+            for each, links in zip(at, np.split(ends, np.cumsum(np.bincount(slot[c[i[e]]], minlength=len(own)))[:-1])):
+                m = np.zeros((k, k))
+                np.maximum.at(m, (local[i[e]][links], local[j[e]][links]), w[e][links])
+                parts = _bisect(np.maximum(m, m.T), threshold, dim, max_size, min_size, xy[each], reach, aspect)
+                label[each] = done + parts
+                done += parts.max() + 1
+            continue
+        stacks = pending.pop(k, [])
+        if len(own):
+            m = np.zeros((len(own), k, k))
+            np.maximum.at(m, (slot[c[i[e]]], local[i[e]], local[j[e]]), w[e])
+            stacks.append((np.maximum(m, m.transpose(0, 2, 1)), at))
+        step = max(1, STACKED**2 * 16 // k**2)
+        for m, at in ((m[a : a + step], at[a : a + step]) for m, at in stacks for a in range(0, len(at), step)):
+            side = _halves_of(m, threshold, dim, max_size, min_size, xy[at], reach, aspect)
+            n = side.sum(1)
+            whole = n == 0
+            label[at[whole]] = (done + np.arange(whole.sum()))[:, None]
+            done += whole.sum()
+            for half, count in ((side, n), (~side, k - n)):
+                place = np.argsort(~half, axis=1, kind="stable")
+                for a in np.unique(count[~whole]):
+                    r = np.flatnonzero(~whole & (count == a))
+                    q = place[r, :a]
+                    pending.setdefault(int(a), []).append((m[r[:, None, None], q[:, :, None], q[:, None, :]], at[r[:, None], q]))
+    return label
+
+
+def _halves_of(m: np.ndarray, threshold: float, dim: int, max_size: int | None, min_size: int, xy: np.ndarray, reach: float | None, aspect: float | None) -> np.ndarray:
+    """Which nodes are in the first half of each of a stack of graphs of one size; none where the graph stays whole."""
+    k = m.shape[1]
+    if k < 2 * min_size or k < 2:
+        return np.zeros(m.shape[:2], bool)
+    degree = np.maximum(m.sum(2), 1e-12)
+    vector = np.linalg.eigh(m / np.sqrt(degree[:, :, None] * degree[:, None, :]))[1][:, :, -2] / np.sqrt(degree)
+    signs = (vector > 0).any(1) & (vector <= 0).any(1)
+    side = vector > np.where(signs, 0, np.sort(vector, axis=1)[:, k // 2])[:, None]
+    cost = np.einsum("nij,ni,nj->n", m, side * 1.0, ~side * 1.0) / np.maximum(m.sum((1, 2)) / 2, 1e-12)
+    compact = 1 / (1 + 2 * dim * ((k / 2) ** (1 / dim) - 1)) if k > 2 else 1.0
+    split = (cost / max(compact, 1e-12) <= threshold) | bool(max_size and k > max_size)
+    if k > 2 and (reach is not None or aspect is not None):
+        split |= np.array([_stretched(p, reach, aspect) for p in xy])
+    least = np.minimum(side.sum(1), k - side.sum(1))
+    return side & (split & (least >= max(1, min_size)))[:, None]
+
+
 def _stretched(xy: np.ndarray, reach: float | None, aspect: float | None) -> bool:
     if reach is not None and np.ptp(xy, axis=0).max() > reach:
         return True
@@ -75,15 +144,16 @@ def _stretched(xy: np.ndarray, reach: float | None, aspect: float | None) -> boo
 
 
 def spectral_clustering(edges: DataFrame, nodes: DataFrame, max_size: int | None = None, min_size: int = 1, dim: int = 2, cut_threshold: float = 0.7, largest: int = 4000, rounds: int = 30, positions: DataFrame | None = None, position_range: float | None = None, max_aspect_ratio: float | None = None) -> DataFrame:
-    """(node, cluster), named by the smallest node. Connected components are independent tasks; each is split by normalised cuts.
+    """(node, cluster), named by the smallest node. Connected components are split by normalised cuts, many in a task.
 
     Components of more than ``largest`` nodes are halved first, all at once and as often as it takes: the second eigenvector
     comes from ``rounds`` power steps, joins of the edge table, and its sign halves the component (its median where one side
     has less than a hundredth); halves that fall apart are components of their own. With ``positions`` (node, x, y), parts wider
     than ``position_range``, or longer than ``max_aspect_ratio`` times their width, are split too."""
     names = lambda c: F.col(c).cast("string").alias(c)
-    links = cut(edges.select(names("i"), names("j"), F.col("w").cast("double").alias("w")).filter("i is not null and j is not null and i <> j and w > 0"))
-    links = cut(links.union(links.select("j", "i", "w")).groupBy("i", "j").agg(F.max("w").alias("w")))
+    way = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), "w")
+    links = edges.select(names("i"), names("j"), F.col("w").cast("double").alias("w")).filter("i is not null and j is not null and i <> j and w > 0")
+    links = cut(links.select(F.inline(F.array(way("i", "j"), way("j", "i")))).groupBy("i", "j").agg(F.max("w").alias("w")))
     every = nodes.select(F.col(nodes.columns[0]).cast("string").alias("node")).filter("node is not null").distinct()
     comp = cut(connected_components(links, every))
     while True:
@@ -101,19 +171,20 @@ def spectral_clustering(edges: DataFrame, nodes: DataFrame, max_size: int | None
     shape = (position_range, max_aspect_ratio) if positions is not None else (None, None)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = np.array(sorted(set(pdf["i"])))
-        place = pd.Index(found)
-        i, j = place.get_indexer(pdf["i"]), place.get_indexer(pdf["j"])
-        w = np.zeros((len(found), len(found)))
-        np.maximum.at(w, (i, j), pdf["w"])
-        w = np.maximum(w, w.T)
-        xy = np.zeros((len(found), 2))
+        found, i = np.unique(pdf["i"].to_numpy(object), return_inverse=True)
+        j = pd.Index(found).get_indexer(pdf["j"])
+        c, xy = np.zeros(len(found), int), np.zeros((len(found), 2))
+        c[i] = pd.factorize(pdf["component"])[0]
         xy[i] = pdf[["x", "y"]].to_numpy(float)
-        label = _bisect(w, cut_threshold, dim, max_size, min_size, np.nan_to_num(xy), *shape)
-        first = [found[label == k][0] for k in range(label.max() + 1)]
-        return pd.DataFrame({"node": found, "cluster": [first[k] for k in label]})
+        linked = i != j
+        label = _bisect_all(c, i[linked], j[linked], pdf["w"].to_numpy(float)[linked], cut_threshold, dim, max_size, min_size, np.nan_to_num(xy), *shape)
+        first = np.full(len(found), len(found))
+        np.minimum.at(first, label, np.arange(len(found)))
+        return pd.DataFrame({"node": found, "cluster": found[first[label]]})
 
-    return both.groupBy("component").applyInPandas(run, "node string, cluster string")
+    # a task takes many components: most have a few nodes
+    bins = max(partitions(links.sparkSession), (links.count() + comp.count()) // BIN)
+    return both.groupBy(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin")).applyInPandas(run, "node string, cluster string")
 
 
 def _halved(links: DataFrame, comp: DataFrame, big: DataFrame, rounds: int) -> DataFrame:

@@ -87,6 +87,45 @@ def test_large_components_are_halved_first(spark):
     assert len(c) == 120 and len(sizes) > 1 and sizes.max() <= 70
 
 
+def test_many_components_in_few_tasks(spark, monkeypatch):
+    edges = [(f"c{k:04d}n{a}", f"c{k:04d}n{b}", 0.1 if (a < 2) != (b < 2) else 1.0) for k in range(600) for a, b in ((0, 1), (2, 3), (1, 2))]
+    e = spark.createDataFrame(edges, "i string, j string, w double")
+    nodes = spark.createDataFrame([(f"c{k:04d}n{a}",) for k in range(600) for a in range(4)] + [("alone",)], "obs string")
+    began = spark.sparkContext.accumulator(0)
+    group = type(e.groupBy("i")).applyInPandas
+
+    def counted(self, f, schema):
+        def run(pdf):
+            began.add(1)
+            return f(pdf)
+
+        return group(self, run, schema)
+
+    monkeypatch.setattr(type(e.groupBy("i")), "applyInPandas", counted)
+    found = graph.spectral_clustering(e, nodes)
+    assert {r["node"]: r["cluster"] for r in found.collect()} == {f"c{k:04d}n{a}": f"c{k:04d}n{a - a % 2}" for k in range(600) for a in range(4)} | {"alone": "alone"}
+    assert began.value < 100
+
+
+@pytest.mark.parametrize("rule", [(0.7, 2, 50, 1, None, None), (0.7, 2, 20, 3, 2.5, None), (0.3, 3, None, 1, None, 2.0)])
+def test_components_split_together_equal_single_ones(rule):
+    rng = np.random.default_rng(6)
+    threshold, dim, most, least, reach, aspect = rule
+    sizes = [300, 90, *rng.integers(1, 14, 40)]
+    c = rng.permutation(np.repeat(np.arange(len(sizes)), sizes))
+    xy = rng.random((len(c), 2)) * np.sqrt(np.array(sizes)[c])[:, None]
+    m = np.exp(-2 * ((xy[:, None] - xy) ** 2).sum(2)) * (c[:, None] == c)
+    m[m < 0.01] = 0
+    np.fill_diagonal(m, 0)
+    i, j = np.nonzero(m)
+    label = graph._bisect_all(c, i, j, m[i, j], threshold, dim, most, least, xy, reach, aspect)
+    for k in range(len(sizes)):
+        own = np.flatnonzero(c == k)
+        want = graph._bisect(m[np.ix_(own, own)], threshold, dim, most, least, xy[own], reach, aspect)
+        assert len(set(zip(want, label[own]))) == len(set(want)) == len(set(label[own]))
+    assert len(set(zip(c, label))) == len(set(label))
+
+
 def test_communities(spark):
     edges = [(f"{s}{i}", f"{s}{j}", 1.0) for s in "abc" for i in range(8) for j in range(8) if i != j] + [("a0", "b0", 0.1), ("b0", "a0", 0.1), ("b1", "c1", 0.1), ("c1", "b1", 0.1)]
     nodes = spark.createDataFrame([(f"{s}{i}",) for s in "abc" for i in range(8)] + [("alone",)], "obs string")
