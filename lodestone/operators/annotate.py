@@ -59,6 +59,11 @@ def annotate_nnls(x: DataFrame, profiles: DataFrame, priors: DataFrame) -> DataF
 def annotate_projection(x: DataFrame, profiles: DataFrame, priors: DataFrame, metric: str = "bc2", deconvolution: str | bool | None = None) -> DataFrame:
     """Overlaps with the profiles, freed of the profiles' overlaps among each other ('linear' for bc, else 'nnls'; False: not)."""
     m, var, cat = profile_matrix(profiles)
+    return per_row(x, var, cat, projection_of(m, metric, deconvolution))
+
+
+def projection_of(m: np.ndarray, metric: str = "bc2", deconvolution: str | bool | None = None) -> Callable[[Rows], np.ndarray]:
+    """``annotate_projection`` as a function of dense rows over the variables of profiles ``m``."""
     how = ("linear" if metric == "bc" else "nnls") if deconvolution is None else deconvolution
     kernel = overlap_kernel(m, metric)
     solve = freed(kernel(_matrix_rows(m.T))[0], how) if how else lambda v: v
@@ -67,7 +72,7 @@ def annotate_projection(x: DataFrame, profiles: DataFrame, priors: DataFrame, me
         w = solve(kernel(r)[0])
         return np.maximum(0, w) ** 2 if metric == "bc" else w
 
-    return per_row(x, var, cat, run)
+    return run
 
 
 def _matrix_rows(m: np.ndarray) -> Rows:

@@ -2,25 +2,180 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.annotate import annotate
+from lodestone.functions.nnls import nnls_rows
+from lodestone.operators.annotate import annotate, projection_of
 from lodestone.operators.elementwise import normalize_total, row_mode
-from lodestone.operators.platform import random_platform_effect
+from lodestone.operators.packed import CELLS, ENTRIES, NAMES, Rows
+from lodestone.operators.platform import random_platform_effect, rescaling_factors
 from lodestone.operators.spatial import bin_points, periodic_distance
-from lodestone.operators.split import hand_out, split_exact
+from lodestone.operators.split import exact_block, hand_out, split_exact
 from lodestone.operators.aggregate import reference_profiles
-from lodestone.runtime import cut
+from lodestone.runtime import cut, partitions
+
+#: Bins along a side of a tile, most molecules of a tile, and molecules of a task.
+TILE, MOST, TASK = 32, 4_000_000, 500_000
 
 
 def annotate_molecules(molecules: DataFrame, reference: DataFrame, labels: DataFrame, bin_size: float, shifts: int = 2, method: str = "nnls", **kw) -> DataFrame:
     """(obs, category) of molecules (obs, x, y, gene): for every shift of the grid, bins become observations, are annotated and split
-    exactly, and the split counts are handed out to the molecules; the most frequent label over all shifts counts."""
+    exactly, and the split counts are handed out to the molecules; the most frequent label over all shifts counts.
+
+    Where a bin's label follows from the bin and the profiles alone (nnls and projection, no other options), tiles of the plane
+    are annotated as a whole, each by one task that holds the molecules of all of its bins."""
+    tiled = _in_tiles(molecules, reference, labels, bin_size, shifts, method, kw)
+    return _by_shifts(molecules, reference, labels, bin_size, shifts, method, **kw) if tiled is None else tiled
+
+
+def _in_tiles(molecules: DataFrame, reference: DataFrame, labels: DataFrame, bin_size: float, shifts: int, method: str, kw: dict) -> DataFrame | None:
+    """``annotate_molecules`` tile by tile; None where it can't be: other methods and options, variables that ``annotate`` may leave out as
+    constant, tiles of more than ``MOST`` molecules."""
+    if not (method == "projection" and not kw.keys() - {"metric", "deconvolution"} or method == "nnls" and not kw):
+        return None
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    whole = fine("x") & fine("y") & F.col("obs").isNotNull() & F.col("gene").isNotNull()
+    low = molecules.filter(whole).agg(F.min("x"), F.min("y")).first()
+    if low[0] is None:
+        return None
+    cell, side, halo = bin_size / shifts, TILE * shifts, shifts - 1
+    place = lambda c, m: F.coalesce(F.floor((F.col(c) - m) / cell), F.lit(0)).cast("long").alias(f"s{c}")
+    placed = molecules.select("obs", F.when(whole, F.col("gene")).alias("gene"), place("x", low[0]), place("y", low[1]))
+    tile = lambda c: F.floor(F.col(f"s{c}") / side).cast("long").alias(f"t{c}")
+    count = cut(placed.filter("gene is not null").groupBy(tile("x"), tile("y"), "gene").agg(F.count("*").alias("n")))
+    top = count.groupBy("tx", "ty").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).first()
+    clean = labels.filter("category is not null").select("obs", "category")
+    if top["n"] > MOST or count.select("gene").distinct().count() > NAMES or clean.groupBy("obs").count().filter("count > 1").take(1):
+        return None
+    # (category, var) of the reference: reads, and the least and the greatest value
+    known = cut(reference.select("obs", "var", "value").filter("value > 0").join(clean, "obs", "left").groupBy("category", "var").agg(F.sum("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+    if known.select("category").distinct().count() * known.select("var").distinct().count() > ENTRIES:
+        return None
+    known, reads = known.toPandas(), {r[0]: float(r[1]) for r in count.groupBy("gene").agg(F.sum("n")).toLocalIterator()}
+    ends = known.groupby("var").agg({"s": "sum", "lo": "min", "hi": "max"})
+    common = sorted(set(reads) & set(ends.index))
+    if not common or (ends["lo"] >= ends["hi"]).loc[common].any() or not _varied(placed, top, side, shifts, common):
+        return None
+    sums = known.dropna(subset=["category"]).pivot(index="var", columns="category", values="s").fillna(0.0)
+    sums = sums.sort_index().sort_index(axis=1)
+    own = sums.reindex(common).fillna(0.0).to_numpy()
+    if method == "projection":
+        a, b = ends["s"].loc[common].to_numpy()[None], np.array([reads[v] for v in common])[None]
+        own = own * rescaling_factors(a / a.sum(), b / b.sum())[:, None]
+    in_use, cats = np.flatnonzero((own > 0).any(1)), np.flatnonzero((own > 0).any(0))
+    if not len(cats):
+        return None
+    profile = own[np.ix_(in_use, cats)]
+    profile = profile / profile.sum(0)
+    solve = projection_of(profile, **kw) if method == "projection" else lambda r, g=profile.T @ profile: nnls_rows(g, r.block @ profile)
+    var, cat = list(sums.index), pa.array(list(sums.columns), pa.string())
+    m = sums.to_numpy() / sums.to_numpy().sum(0) + 1e-3 / len(var)
+    m = m / m.sum(0)
+    shared = np.searchsorted(var, common)  # variables of the reference that are measured
+
+    def label(bins: np.ndarray, names: pa.Array, gene: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, category) of every read that is handed out, in order; cells are bins times variables."""
+        block = np.bincount(bins * len(var) + gene, minlength=size * len(var)).reshape(size, len(var)).astype(float)
+        some = np.flatnonzero(block[:, shared].sum(1) > 0)
+        part = block[np.ix_(some, shared)]
+        row, at = np.nonzero(part)
+        w = np.maximum(0, solve(Rows(names.take(pa.array(some)), part[:, in_use], row, part[row, at], None)))
+        s = w.sum(1, keepdims=True)
+        share = np.zeros((len(some), len(cat)))
+        share[:, cats] = np.divide(w, s, out=np.full_like(w, 1 / len(cats)), where=s > 0)
+        i, k, j, n = exact_block(m, block[some], share, names.take(pa.array(some)), None, 0)
+        order = np.lexsort([k, j, i])
+        n = n[order].astype(np.int64)
+        return np.repeat(some[i[order]] * len(var) + j[order], n), np.repeat(k[order], n)
+
+    def vote(sx: np.ndarray, sy: np.ndarray, gene: np.ndarray, own: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Categories of molecules in order of variable and name, -1 for none, in the bins of one shift that hold molecules of the tile's own."""
+        out = np.full(len(sx), -1)
+        bx, by = (sx + a) // shifts, (sy + b) // shifts
+        wide = by.max() - by.min() + 1
+        key = (bx - bx.min()) * wide + by - by.min()
+        mine = np.zeros(key.max() + 1, bool)
+        mine[key[own]] = True
+        at = np.flatnonzero((gene >= 0) & mine[key])
+        there = np.zeros(len(mine), bool)
+        there[key[at]] = True
+        used, bins = np.flatnonzero(there), (np.cumsum(there) - 1)[key[at]]
+        order = np.argsort(bins.astype(np.uint16) if len(used) < 1 << 16 else bins, kind="stable")
+        at, bins = at[order], bins[order]
+        step = max(16, CELLS // len(var))
+        for low in range(0, len(used), step):
+            e = slice(*np.searchsorted(bins, [low, low + step]))
+            u = used[low : low + step]
+            names = pa.array([f"{p}_{q}" for p, q in zip(u // wide + bx.min(), u % wide + by.min())], pa.string())
+            to, k = label(bins[e] - low, names, gene[at[e]], len(u))
+            cells = (bins[e] - low) * len(var) + gene[at[e]]
+            begin = np.flatnonzero(np.diff(cells, prepend=-1))
+            n = np.diff(begin, append=len(cells))
+            first = np.repeat(np.searchsorted(to, cells[begin]) - begin, n) + np.arange(len(cells))
+            ok = first < np.repeat(np.searchsorted(to, cells[begin], "right"), n)
+            out[at[e][ok]] = k[first[ok]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        obs = t.column("obs").combine_chunks()
+        tx, ty, sx, sy, gene = (t.column(c).to_numpy() for c in ("tx", "ty", "sx", "sy", "g"))
+        order = np.lexsort([ty, tx])
+        new = np.flatnonzero((np.diff(tx[order]) != 0) | (np.diff(ty[order]) != 0)) + 1
+        for part in np.split(order, new):
+            names = obs.take(pa.array(part))
+            sort = pc.sort_indices(names).to_numpy()
+            sort = sort[np.argsort(gene[part[sort]], kind="stable")]
+            names, part = names.take(pa.array(sort)), part[sort]
+            x, y, g = sx[part], sy[part], gene[part]
+            own = (x // side == tx[part]) & (y // side == ty[part])
+            if not own.any():
+                continue
+            votes = np.stack([vote(x, y, g, own, a, b)[own] for a in range(shifts) for b in range(shifts)], 1)
+            score = np.stack([(votes == votes[:, [c]]).sum(1) * (len(cat) + 1) - votes[:, c] - (votes[:, c] < 0) * (votes.shape[1] + 1) * (len(cat) + 1) for c in range(votes.shape[1])], 1)
+            best = votes[np.arange(len(votes)), score.argmax(1)]
+            yield pa.RecordBatch.from_arrays([names.filter(pa.array(own)), cat.take(pa.array(best, mask=best < 0))], names=["obs", "category"])
+
+    spark = molecules.sparkSession
+    table = F.broadcast(spark.createDataFrame(pd.DataFrame({"gene": pd.Series(var, dtype=object), "g": np.arange(len(var), dtype=np.int32)}), "gene string, g int")) if len(var) <= NAMES else None
+    if table is None:
+        return None
+    near = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(f"s{c}") + d) / side).cast("long") for d in (-halo, halo)])))
+    rows = placed.join(table, "gene", "left").select("obs", "sx", "sy", F.coalesce("g", F.lit(-1)).alias("g")).withColumn("tx", near("x")).withColumn("ty", near("y"))
+    tasks = max(partitions(spark), int(sum(reads.values()) // TASK) + 1)
+    return rows.repartition(tasks, "tx", "ty").mapInArrow(run, f"obs {molecules.schema['obs'].dataType.simpleString()}, category string")
+
+
+def _varied(placed: DataFrame, tile, side: int, shifts: int, names: list[str]) -> bool:
+    """Whether, for every shift, each variable has unequal counts in two bins within the tile: then none is constant over all bins."""
+    inside = placed.filter((F.floor(F.col("sx") / side) == tile["tx"]) & (F.floor(F.col("sy") / side) == tile["ty"]) & F.col("gene").isNotNull())
+    n = inside.groupBy("sx", "sy", "gene").agg(F.count("*").alias("n")).toPandas()  # at most MOST
+    for a in range(shifts):
+        for b in range(shifts):
+            bins = n.assign(bx=(n["sx"] + a) // shifts, by=(n["sy"] + b) // shifts)
+            for c, k, t in (("bx", a, "tx"), ("by", b, "ty")):
+                first = bins[c] * shifts - k
+                bins = bins[(first >= tile[t] * side) & (first + shifts <= (tile[t] + 1) * side)]
+            sums = bins.groupby(["bx", "by", "gene"])["n"].sum().unstack(fill_value=0).reindex(columns=names, fill_value=0)
+            # what only other bins hold is not constant if a bin here holds none of it
+            if len(sums) < 1 or not ((sums.min() < sums.max()) | (sums.max() == 0)).all():
+                return False
+    return True
+
+
+def _by_shifts(molecules: DataFrame, reference: DataFrame, labels: DataFrame, bin_size: float, shifts: int, method: str, **kw) -> DataFrame:
+    """``annotate_molecules`` shift by shift, each over the whole plane."""
     names, parts = [], []
     profiles = reference_profiles(reference, labels)
     for a in range(shifts):
@@ -43,6 +198,14 @@ def distribute_molecules(x: DataFrame, positions: DataFrame, width: float, seed:
     return rows.select("obs", F.col("var").alias("gene"), (F.col("x") + width * F.randn(seed)).alias("x"), (F.col("y") + width * F.randn(seed + 1)).alias("y"))
 
 
+def named_molecules(x: DataFrame, positions: DataFrame, width: float, seed: int = 0) -> DataFrame:
+    """As ``distribute_molecules``, named obs|gene|k, with places drawn by hashes of the names: reading it again gives the same."""
+    u = lambda k: (F.pmod(F.xxhash64("obs", "var", "_k", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    rows = x.filter("value >= 1").join(positions, "obs").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("value").cast("int"))))
+    rows = rows.withColumn("_r", width * F.sqrt(-2 * F.log(u(1)))).withColumn("_a", 2 * np.pi * u(2))
+    return rows.select(F.concat_ws("|", "obs", "var", F.col("_k").cast("string")).alias("obs"), F.col("var").alias("gene"), (F.col("x") + F.col("_r") * F.cos("_a")).alias("x"), (F.col("y") + F.col("_r") * F.sin("_a")).alias("y"))
+
+
 #: Weights below this count as 0.
 LEAST = 1e-3
 _SOFT = 1.16

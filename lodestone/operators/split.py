@@ -35,35 +35,40 @@ def split_exact(x: DataFrame, weights: DataFrame, profiles: DataFrame, min_count
         fine = ~np.isnan(place.astype(float))
         share = np.zeros((n, len(cat)))
         np.add.at(share, (row[fine], place[fine].astype(int)), value[fine])
-        counts = r.block
-        total = counts.sum(1, keepdims=True)
-        share = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
-        if min_counts is not None:
-            good = share * total >= min_counts
-            good[np.arange(n), share.argmax(1)] = True
-            share = share * good
-            share = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
-        a, b = fit_rows(m, counts, share * total, delta)
-        out = []
-        for at in range(0, n, max(1, 2_000_000 // max(1, len(var)))):
-            part = slice(at, at + max(1, 2_000_000 // max(1, len(var))))
-            i, j = np.nonzero(counts[part])
-            i = i + at
-            values = a[i, j][:, None] * m[j] * b[i]
-            # the rows are exact whatever the fit
-            sums = values.sum(1, keepdims=True)
-            ways = share[i] > 0
-            values = np.where(sums > 0, values / np.where(sums > 0, sums, 1), ways / np.maximum(ways.sum(1, keepdims=True), 1)) * counts[i, j][:, None]
-            if seed is not None:
-                values = _whole(values, counts[i, j], i, r.names, seed)
-            e, k = np.nonzero(values > 0)
-            out.append((i[e], k, j[e], values[e, k]))
-        i, k, j, values = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3 + (np.zeros(0),)
+        i, k, j, values = exact_block(m, r.block, share, r.names, min_counts, seed, delta)
         return pa.RecordBatch.from_arrays([r.names.take(pa.array(i)), names.take(pa.array(k)), pa.array(var, pa.string()).take(pa.array(j)), pa.array(values)], names=["obs", "category", "var", "value"])
 
     return per_block(rows, len(var), run, f"obs {kind(x)}, category string, var string, value double")
 
 
+def exact_block(m: np.ndarray, counts: np.ndarray, share: np.ndarray, names: pa.Array, min_counts: float | None, seed: int | None, delta: float = 1e-5) -> tuple[np.ndarray, ...]:
+    """``split_exact`` of a dense block with the weights ``share``: (row, category, variable, value) of all positive values."""
+    n, total = len(names), counts.sum(1, keepdims=True)
+    share = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+    if min_counts is not None:
+        good = share * total >= min_counts
+        good[np.arange(n), share.argmax(1)] = True
+        share = share * good
+        share = share / np.maximum(share.sum(1, keepdims=True), 1e-300)
+    a, b = fit_rows(m, counts, share * total, delta)
+    out = []
+    for at in range(0, n, max(1, 2_000_000 // max(1, len(m)))):
+        part = slice(at, at + max(1, 2_000_000 // max(1, len(m))))
+        i, j = np.nonzero(counts[part])
+        i = i + at
+        values = a[i, j][:, None] * m[j] * b[i]
+        # the rows are exact whatever the fit
+        sums = values.sum(1, keepdims=True)
+        ways = share[i] > 0
+        values = np.where(sums > 0, values / np.where(sums > 0, sums, 1), ways / np.maximum(ways.sum(1, keepdims=True), 1)) * counts[i, j][:, None]
+        if seed is not None:
+            values = _whole(values, counts[i, j], i, names, seed)
+        e, k = np.nonzero(values > 0)
+        out.append((i[e], k, j[e], values[e, k]))
+    i, k, j, values = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3 + (np.zeros(0),)
+    return i, k, j, values
+
+
 def _whole(values: np.ndarray, counts: np.ndarray, row: np.ndarray, names: pa.Array, seed: int) -> np.ndarray:
     """Floors of the values, and the remaining reads drawn by the fractions, from a generator for each observation; observations
     whose counts aren't whole stay as they are."""

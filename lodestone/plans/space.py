@@ -295,7 +295,7 @@ def _(s, d):
     """Counts of all sections as molecules around their observations, the sections moved apart in the plane."""
     x, p = clean_counts(s, d), points(s, d)
     n = S.codes(p, ["sample", "section"], "c").select("obs", (F.col("x") + F.col("c") * 10000).alias("x"), "y")
-    m = cut(molecules.distribute_molecules(x, n, 2.0).withColumn("obs", F.format_string("m%d", F.monotonically_increasing_id())))
+    m = molecules.named_molecules(x, n, 2.0)
     return molecules.annotate_molecules(m, x, labels(s, d), 60.0, 2, "projection", deconvolution=False)
 
 

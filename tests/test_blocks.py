@@ -188,3 +188,18 @@ def test_refinement_shuffles_no_entry_by_category(spark):
     before = shuffled()
     assert queries()["refine_reference"](spark, d).count() == 1152
     assert shuffled() - before < spark.read.parquet(f"{d}/counts.parquet").count()
+
+
+@pytest.mark.parametrize("method", ["projection", "nnls"])
+def test_molecules_in_tiles_equal_those_by_shifts(spark, monkeypatch, method):
+    monkeypatch.setattr(molecules, "TILE", 4)
+    rng = np.random.default_rng(7)
+    mine = [(f"m{i}", *map(float, rng.random(2) * 100), f"g{rng.integers(7)}") for i in range(900)]
+    m = spark.createDataFrame([*mine, ("far", 2000.0, 5.0, "g1"), ("lost", None, 5.0, "g1"), ("bare", 5.0, 5.0, None)], "obs string, x double, y double, gene string")
+    reference = long(spark, rng.poisson(3 * rng.random((3, 6))[np.arange(30) % 3]))
+    labels = spark.createDataFrame([(f"o{i}", "ABC"[i % 3]) for i in range(30)], "obs string, category string")
+    kw = {"deconvolution": False} if method == "projection" else {}
+    tiled = molecules._in_tiles(m, reference, labels, 12.0, 2, method, kw)
+    assert tiled is not None and molecules._in_tiles(m, reference, labels, 12.0, 2, "OT", {}) is None
+    got, want = ({r["obs"]: r["category"] for r in d.collect()} for d in (tiled, molecules._by_shifts(m.filter("x is not null and gene is not null"), reference, labels, 12.0, 2, method, **kw)))
+    assert got == want | {"lost": None, "bare": None} and tiled.count() == 903
